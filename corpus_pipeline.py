@@ -5,19 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import simhash
-from corvane.llm.common import materialize, table
+from corvane.llm import langid, packing, passages, simhash, toxicity
+from corvane.llm.common import materialize, table, tune
+from corvane.llm.queries import tokenizer_path
+
+#: Texts whose best language scores below this are in none of the learned languages.
+MIN_LANGUAGE_SCORE = 0.1
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language stay; those without a letter or too unlike every language go."""
+    tune(spark)
+    predict = langid.predictor(langid.train(docs), spark)
+    judged = docs.withColumn("__language", predict(F.col("text")))
+    return judged.filter((F.col("__language.lang") != langid.UNKNOWN) & (F.col("__language.score") >= MIN_LANGUAGE_SCORE)).drop("__language")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of being toxic is below the threshold stay."""
+    tune(spark)
+    score = toxicity.scorer(toxicity.train(docs, table(spark, sf_dir, "labels")), spark)
+    return docs.withColumn("__toxicity", score(F.col("text"))).filter(F.col("__toxicity.toxic") < toxicity.THRESHOLD).drop("__toxicity")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that with the smallest doc_id."""
-    kept = simhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each SimHash group stays: that with the smallest doc_id. Rows without an id stay."""
+    tune(spark)
+    kept = materialize(simhash.near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
+    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.filter("copies > 1").head(1):
+        stay = stay.dropDuplicates(["doc_id"])
+    return stay.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines and sentences are cut from all documents but their first."""
+    tune(spark)
+    cut = passages.dedupe(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of the documents, packed."""
+    tune(spark)
+    return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("simhash", simhash_stage)]
+STAGES = [
+    ("language", language_stage),
+    ("toxicity", toxicity_stage),
+    ("simhash", simhash_stage),
+    ("passages", passages_stage),
+    ("packing", packing_stage),
+]
 
-#: The stages learn models and compare fingerprints; SQL can't express them.
+#: The stages learn models, compare fingerprints and search for packings; SQL can't express them.
 ORACLE_SQL = None
 
 
