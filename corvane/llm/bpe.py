@@ -19,10 +19,13 @@ import hashlib
 import heapq
 import json
 import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,8 @@ LEAF_CHARS = 4096
 SPREAD_CHARS = 65_536
 #: Words with more symbols than this are encoded by halves.
 LEAF_SYMBOLS = 256
-CACHE_ENTRIES = 400_000
+#: Chunks and words, each, that a worker keeps.
+CACHE_ENTRIES = 500_000
 #: The separators of str.split() that the tokenizer takes for text.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")
@@ -108,55 +112,117 @@ class SymbolBpe:
         return self.join(self.tree(symbols[:mid]), self.tree(symbols[mid:]))
 
 
+#: Below this code point letters, numbers and lower case are the same in all versions of Unicode, and texts are in NFC as they are.
+_PLAIN = 0x250
+
+
+def _class(kind: str) -> str:
+    """Members of a general category below _PLAIN, for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(_PLAIN) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The tokenizer's split of a chunk into words, for plain chunks.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
+_NOT_PLAIN = re.compile(f"[^\t-\r\x20-\x7e\xa1-\u012f\u0131-{chr(_PLAIN - 1)}]|<\\|")
+
+
+#: The same for whole texts, in the syntax of Arrow's regular expressions; chunks() must split them at ASCII white space only.
+_ODD_TEXT = f"[^\\t-\\r\\x20-\\x7e\\x{{a1}}-\\x{{12f}}\\x{{131}}-\\x{{{_PLAIN - 1:x}}}]|<\\|"
+
+
+class _Memo(dict):
+    """Values of a function by argument, made when first asked for; up to `most` of them stay, as common ones come early."""
+
+    def __init__(self, make, most: int = CACHE_ENTRIES):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(self) < self.most and len(key) <= LEAF_SYMBOLS:
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids and decoded text of chunks, kept for chunks that come again."""
+    """Tokens of chunks: ids as little-endian unsigned 32-bit integers, and decoded text with a space before each token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.path = path
-        self.special = list(self.tok.get_added_tokens_decoder().values())
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.symbols: SymbolBpe | None = None
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a run without white space; its very long words go through the tree."""
-        if len(chunk) <= LEAF_SYMBOLS or any(s.content in chunk for s in self.special):
-            return self.tok.encode(chunk, add_special_tokens=False).ids
+        self.word_tokens = _Memo(self._word_tokens)
+        self.word_ids = _Memo(self._word_ids, 2 * CACHE_ENTRIES)
+        self.plain_ids = _Memo(lambda c: b"".join(map(self.word_ids.__getitem__, _WORDS.findall(c))))
+        self.chunk_ids = _Memo(lambda c: b"".join([self.word_tokens[w][0] for w in _WORDS.findall(c.lower())]) if not _NOT_PLAIN.search(c) else self._odd_chunk(c)[0])
+        self.chunk_text = _Memo(lambda c: "".join([self.word_tokens[w][1] for w in _WORDS.findall(c.lower())]) if not _NOT_PLAIN.search(c) else self._odd_chunk(c)[1])
+
+    def _tokens(self, raw: str) -> list[tuple[int, str]]:
+        """(id, token) of a word in the tokenizer's byte alphabet; a very long one goes through the tree."""
+        if len(raw) <= LEAF_SYMBOLS:
+            return [(t.id, t.value) for t in self.tok.model.tokenize(raw)]
         self.symbols = self.symbols or SymbolBpe(self.path)
+        return [(self.symbols.vocab[t], t) for t in self.symbols.encode(raw)]
+
+    @staticmethod
+    def _pack(tokens: list[tuple[int, str]]) -> tuple[bytes, str]:
+        return b"".join([i.to_bytes(4, "little") for i, _ in tokens]), "".join([" " + t for _, t in tokens])
+
+    def _word_tokens(self, word: str) -> tuple[bytes, str]:
+        """Ids and text of a word of a plain chunk, in lower case."""
+        return self._pack(self._tokens(word if word.isascii() else self.tok.pre_tokenizer.pre_tokenize_str(word)[0][0]))
+
+    def _word_ids(self, word: str) -> bytes:
+        raw = word if word.isascii() else self.tok.pre_tokenizer.pre_tokenize_str(word)[0][0]
+        if len(raw) > LEAF_SYMBOLS:
+            return self._word_tokens(word)[0]
+        ids = [t.id for t in self.tok.model.tokenize(raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _odd_chunk(self, chunk: str) -> tuple[bytes, str]:
+        """Ids and text of a chunk with rarer characters or special tokens, by the library but for very long words."""
+        if len(chunk) <= LEAF_SYMBOLS or any(s in chunk for s in self.special):
+            e = self.tok.encode(chunk, add_special_tokens=False)
+            return self._pack(list(zip(e.ids, e.tokens, strict=True)))
         words = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk))
-        return [self.symbols.vocab[t] for w, _ in words for t in self.symbols.encode(w)]
-
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids of one chunk as little-endian unsigned 32-bit integers, and their decoded text with a leading space."""
-        if (got := self.known.get(chunk)) is None:
-            ids = self.encode_chunk(chunk)
-            text = self.tok.decode(ids, skip_special_tokens=False)
-            got = (np.array(ids, "<u4").tobytes(), " " + text if ids else "")
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            if len(chunk) <= LEAF_SYMBOLS:
-                self.known[chunk] = got
-        return got
+        return self._pack([t for w, _ in words for t in self._tokens(w)])
 
     def ids(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        known, parts = self.known, chunks(text)
-        try:
-            return b"".join([known[c][0] for c in parts])
-        except KeyError:
-            return b"".join([self.chunk(c)[0] for c in parts])
+        """Ids of a whole text."""
+        return b"".join(map(self.chunk_ids.__getitem__, chunks(text)))
+
+    def batch_ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each whole text of an array of strings without nulls.
+
+        Plain texts are split and their distinct chunks found by Arrow, so each
+        of those is looked up once a batch, and numpy lays out the ids.
+        """
+        odd = pc.match_substring_regex(texts, _ODD_TEXT)
+        units = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        coded = units.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        every = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)
+        known = list(map(self.plain_ids.__getitem__, pc.binary_join(every, " ")[0].as_py().split(" "))) if len(distinct) else []
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), "<u4")
+        start = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        end = np.cumsum(n)
+        flat = ids[np.repeat(start[at] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)]
+        cuts = np.concatenate([[0], end])[units.offsets.to_numpy()]
+        out = [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[k] = np.frombuffer(self.ids(texts[k].as_py()), "<u4")
+        return out
 
     def leaf(self, text: str) -> Part:
         """A part of a text on its own."""
         units = chunks(text)
-        known = self.known
-        try:
-            got = [known[c] for c in units]
-        except KeyError:
-            got = [self.chunk(c) for c in units]
-        return Part(units, got, open_left=bool(units) and _joins(text[0]), open_right=bool(units) and _joins(text[-1]), blank=bool(text) and not units)
+        return Part(units, list(map(self.chunk_ids.__getitem__, units)), list(map(self.chunk_text.__getitem__, units)), open_left=bool(units) and _joins(text[0]), open_right=bool(units) and _joins(text[-1]), blank=bool(text) and not units)
 
     def join(self, a: Part, b: Part) -> Part:
         """Two neighbouring parts as one.
@@ -168,18 +234,18 @@ class Encoder:
         if not a.units or not b.units:
             left = a.open_left if a.units else b.open_left and not a.blank
             right = b.open_right if b.units else a.open_right and not b.blank
-            return Part(a.units + b.units, a.got + b.got, left, right, a.blank or b.blank)
+            return Part(a.units + b.units, a.ids + b.ids, a.texts + b.texts, left, right, a.blank or b.blank)
         if not (a.open_right and b.open_left):
-            return Part(a.units + b.units, a.got + b.got, a.open_left, b.open_right)
+            return Part(a.units + b.units, a.ids + b.ids, a.texts + b.texts, a.open_left, b.open_right)
         k = 1
         while True:
             left, right = a.units[-k:], b.units[:k]
             window = chunks(" ".join(left) + " ".join(right))
-            got = [self.chunk(c) for c in window]
+            ids = [self.chunk_ids[c] for c in window]
             whole_left, whole_right = k >= len(a.units), k >= len(b.units)
-            if (whole_left or (k > 1 and got[0] == a.got[-k])) and (whole_right or (k > 1 and got[-1] == b.got[k - 1])):
-                units = a.units[: max(0, len(a.units) - k)] + window + b.units[k:]
-                return Part(units, a.got[: max(0, len(a.got) - k)] + got + b.got[k:], a.open_left, b.open_right)
+            if (whole_left or (k > 1 and ids[0] == a.ids[-k])) and (whole_right or (k > 1 and ids[-1] == b.ids[k - 1])):
+                rest, texts = max(0, len(a.units) - k), [self.chunk_text[c] for c in window]
+                return Part(a.units[:rest] + window + b.units[k:], a.ids[:rest] + ids + b.ids[k:], a.texts[:rest] + texts + b.texts[k:], a.open_left, b.open_right)
             k += 1
 
     def tree(self, text: str) -> Part:
@@ -196,12 +262,16 @@ class Encoder:
 
 
 class Part:
-    """Encoded part of a text: its units and what each gives; open_left/right: the part's end touches a unit; blank: white space only."""
+    """Encoded part of a text: its units with their ids and texts; open_left/right: the part's end touches a unit; blank: white space only."""
+
+    __slots__ = ("units", "ids", "texts", "open_left", "open_right", "blank")
 
-    __slots__ = ("units", "got", "open_left", "open_right", "blank")
+    def __init__(self, units: list[str], ids: list[bytes], texts: list[str], open_left: bool, open_right: bool, blank: bool = False):
+        self.units, self.ids, self.texts, self.open_left, self.open_right, self.blank = units, ids, texts, open_left, open_right, blank
 
-    def __init__(self, units: list[str], got: list[tuple[bytes, str]], open_left: bool, open_right: bool, blank: bool = False):
-        self.units, self.got, self.open_left, self.open_right, self.blank = units, got, open_left, open_right, blank
+    def joined(self) -> tuple[bytes, str]:
+        """Ids and decoded text of the whole part."""
+        return b"".join(self.ids), "".join(self.texts)[1:]
 
 
 def _joins(char: str) -> bool:
@@ -219,8 +289,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _row(part: Part) -> tuple[int, str, str]:
-    ids = b"".join([g[0] for g in part.got])
-    text = "".join([g[1] for g in part.got])[1:]
+    ids, text = part.joined()
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
@@ -237,10 +306,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in it:
-            parts = [enc.tree(t or "") for t in b.column(1).to_pylist()]
-            ids = [np.frombuffer(b"".join([g[0] for g in p.got]), "<u4") for p in parts]
-            text = ["".join([g[1] for g in p.got])[1:] for p in parts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
+            parts = [enc.tree(t or "").joined() for t in b.column(1).to_pylist()]
+            ids = [np.frombuffer(p[0], "<u4") for p in parts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([p[1] for p in parts], pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, f"doc_id {kind}, ids array<int>, decoded string")
@@ -280,7 +348,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             cols: list[list] = [[] for _ in range(6)]
             for t in b.column(4).to_pylist():
                 p = enc.tree(t)
-                row = (p.units, [g[0] for g in p.got], [g[1] for g in p.got], p.open_left, p.open_right, p.blank)
+                row = (p.units, p.ids, p.texts, p.open_left, p.open_right, p.blank)
                 for c, v in zip(cols, row):
                     c.append(v)
             kinds = (pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.bool_())
@@ -291,7 +359,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def rejoin(table: pa.Table) -> pa.Table:
         enc = encoder(path)
         rows = sorted(table.to_pylist(), key=lambda r: r["at"])
-        part = enc.fold([Part(r["units"], list(zip(r["ids"], r["texts"])), r["open_left"], r["open_right"], r["blank"]) for r in rows])
+        part = enc.fold([Part(r["units"], r["ids"], r["texts"], r["open_left"], r["open_right"], r["blank"]) for r in rows])
         n, a, b = _row(part)
         return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "n_tokens": pa.array([n], pa.int64()), "ids_sha256": [a], "decoded_sha256": [b]})
 

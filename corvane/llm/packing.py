@@ -17,7 +17,7 @@ from corvane.llm.common import materialize
 CAPACITY = 2048
 END_ID = 0
 #: Nodes of the branch-and-bound; when they are used up, the best packing so far stands.
-NODES = 2_000
+NODES = 200
 #: Fillings that are tried around one largest document.
 BRANCHES = 8
 #: Split lengths that the lower bound tries; any of them gives a valid bound.
@@ -171,11 +171,10 @@ def pieces(docs: DataFrame, path: str, cap: int = CAPACITY, id_col: str = "doc_i
         enc, block, end = encoder(path), TaskContext.get().partitionId(), END_ID.to_bytes(4, "little")
         for b in it:
             rows: list[tuple[int, int, int, int, int]] = []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = enc.ids(t or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * cap)):
-                    piece = ids[at : at + 4 * cap]
-                    rows.append((i, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            for i, ids in enumerate(enc.batch_ids(b.column(1).fill_null(""))):
+                for k, at in enumerate(range(0, len(ids) + 1, cap)):
+                    piece = ids[at : at + cap].tobytes() + (end if at + cap > len(ids) else b"")
+                    rows.append((i, k, at, len(piece) // 4, zlib.crc32(piece)))
             got = np.array(rows, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(got[:, 0])), pa.array(got[:, 1].astype(np.int32)), pa.array(got[:, 2]), pa.array(got[:, 3]), pa.array(got[:, 4]), pa.array(np.full(len(got), block, np.int32))],
