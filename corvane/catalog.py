@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corvane.plans import evidence, operations, retrieval, routing
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "ret11_lexical_search"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "ret4_bm25_topk"
+_MODULES = (retrieval, routing, evidence, operations)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
