@@ -1,0 +1,442 @@
+"""The ten operators against brute force, and on odd rows."""
+
+import base64
+import gzip
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from corvane.llm import bpe, common, flatgraph, langid, packing, passages, simhash, spotsigs, toxicity, urlrep, warc
+from corvane.llm.queries import tokenizer_path
+
+PATH = tokenizer_path()
+DOC = "doc_id bigint, text string, lang string, fp string, digest int, spans string, removed_spans int, bucket int, class_id int"
+WORDS = "the cat sat on a mat and dog ran over hill with sun moon star river tree house stone bird fish".split()
+
+
+def docs_of(spark, texts, langs=None):
+    rows = [(i, t, (langs or ["en"] * len(texts))[i], "x", 1, "y", 2, 3, 4) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def odd_docs(spark):
+    """Nulls, empty and long texts, ties and repeated rows; every column name that operators use inside is taken."""
+    long = " ".join(random.Random(1).choices(WORDS, k=40_000)) + " " + "x" * 70_000
+    rows = [(None, "no id here at all, my friend"), (1, None), (2, ""), (3, "   "), (4, "same text of six words here"), (5, "same text of six words here"), (5, "same text of six words here"), (6, long), (7, "?!"), (8, "日本語のテキスト 😀")]
+    return spark.createDataFrame([(i, t, "en", "x", 1, "y", 2, 3, 4) for i, t in rows], DOC)
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], DOC)
+
+
+# 1 embedding near-duplicates
+
+
+def test_flatgraph_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 16))
+    rows = []
+    for i in range(900):
+        v = centres[rng.integers(60)] + rng.normal(size=16) * rng.choice([0.05, 0.3])
+        rows.append((i, [float(x) for x in v], int(rng.integers(2)) if i % 50 else None))
+    rows += [(900 + i, rows[3][1], rows[3][2]) for i in range(5)] + [(990, None, 1), (991, [0.0] * 16, 1), (992, [float("nan")] * 16, 1), (993, [None] + [1.0] * 15, 1), (None, rows[3][1], 0), (994, [1.0], 1)]
+    got = {r.vec_id: r for r in flatgraph.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    assert len(got) == len(rows)
+    good = [(i, np.array(v, np.float32).astype(float), lab) for i, v, lab in rows if i is not None and i < 990 and lab is not None]
+    x = np.array([v for _, v, _ in good])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    same = np.array([g[2] for g in good])
+    near = (x @ x.T >= 0.93) & (same[:, None] == same)
+    np.fill_diagonal(near, False)
+    mine = np.array([got[g[0]].n_links for g in good])
+    assert (mine <= near.sum(1)).all()
+    assert mine.sum() >= 0.9 * near.sum()
+    if (mine == near.sum(1)).all():
+        a, b = np.nonzero(near)
+        root = common.forest(a, b, len(good))
+        assert all(got[g[0]].component_id == good[root[k]][0] for k, g in enumerate(good))
+    for i in (990, 991, 992, 993, 994, 0):
+        assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept
+    assert got[None].n_links == 0 and not got[None].kept
+
+
+def test_flatgraph_empty(spark):
+    assert flatgraph.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
+
+
+# 2 BPE
+
+
+def reference_ids(tok, text):
+    return tok.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_equals_the_library():
+    tok, enc, rng = Tokenizer.from_file(PATH), bpe.Encoder(PATH), random.Random(4)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "aAbB's 't're don't  ", "éèêçßäöüñÀİıſ", "0123456789½²", "!?.,;:'\"<>|", "\x1c\x1d\x85\xa0\t\n ", "日本語中文ΣσςΑ", "e\u0301\u0327 a", "😀👍🏽"]
+    texts = ["", " ", "<|endoftext|>a<|startoftext|>"]
+    for _ in range(400):
+        alphabet = rng.choice([rng.choice(alphabets), "".join(alphabets)])
+        texts.append("".join(rng.choice(alphabet) for _ in range(rng.choice([1, 5, 60, 700]))))
+    texts += ["".join(rng.choice(a) for _ in range(9000)) for a in ("ab", "etaoinshrdlu", "日本語")]
+    before, bpe.LEAF_CHARS = bpe.LEAF_CHARS, 50
+    try:
+        for t in texts:
+            ids, text = enc.tree(t).joined()
+            want = reference_ids(tok, t)
+            assert np.frombuffer(ids, "<u4").tolist() == want
+            assert text == tok.decode(want, skip_special_tokens=False)
+    finally:
+        bpe.LEAF_CHARS = before
+    import pyarrow as pa
+
+    assert [x.tolist() for x in enc.batch_ids(pa.array(texts))] == [reference_ids(tok, t) for t in texts]
+
+
+def test_symbol_merges_join_exactly():
+    rng, s = random.Random(5), bpe.SymbolBpe(PATH)
+    for _ in range(200):
+        word = "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 60)))
+        symbols = [*word[:-1], word[-1] + s.end]
+        k = rng.randrange(1, len(symbols))
+        assert s.join(s.merge(symbols[:k]), s.merge(symbols[k:])) == s.merge(symbols)
+
+
+def test_bpe_digests_of_odd_rows(spark):
+    tok = Tokenizer.from_file(PATH)
+    src = odd_docs(spark)
+    got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(src, PATH).collect())
+    want = []
+    for r in src.collect():
+        ids = reference_ids(tok, r.text or "")
+        want.append((r.doc_id or -1, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want)
+    assert bpe.digests(empty_docs(spark), PATH).count() == 0
+    assert [r.ids for r in bpe.encode(src.filter("doc_id = 4"), PATH).collect()] == [reference_ids(tok, "same text of six words here")]
+
+
+# 3 WARC
+
+
+def test_warc_round_trip(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i % 3}</p>") for i in range(20)] + [(30, None, None), (31, "ü x", ""), (None, "u", "<p>1</p>"), (0, "http://h/0", "<p>0</p>")]
+    src = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = sorted(((r.page_id is None, r.page_id or 0), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(src).collect())
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    want = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        again = first[h or ""] != i
+        want.append(((i is None, i or 0), len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None))
+    assert got == sorted(want)
+    assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_warc_normaliser(tmp_path):
+    recs = [warc.record(i, "http://h/", b"x" * n, warc.digest_of(b"x" * n), None, False) for i, n in enumerate((0, 5, 700_000, 9))]
+    # a whole-file stream, and one whose members end within records
+    blob = b"".join(recs)
+    for name, data in (("one", gzip.compress(blob)), ("many", b"".join(gzip.compress(blob[i : i + 1000]) for i in range(0, len(blob), 1000)))):
+        src, dst = tmp_path / f"{name}.warc.gz", tmp_path / f"{name}-out.warc.gz"
+        src.write_bytes(data)
+        assert warc.normalise(f"file://{src}", f"file://{dst}") == 4
+        out = dst.read_bytes()
+        offsets = [eval(x) for x in (tmp_path / f"{name}-out.warc.gz.idx").read_text().splitlines()]
+        assert [zlib.decompress(out[o : o + n], 31) for o, n in offsets] == recs
+        assert [r["payload_bytes"] for r in warc.read_archive(f"file://{dst}")] == [0, 5, 700_000, 9]
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(blob)[:-20])
+    with pytest.raises(ValueError):
+        warc.normalise(f"file://{tmp_path}/cut.gz", f"file://{tmp_path}/cut-out.gz")
+
+
+# 4 SimHash
+
+
+def brute_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_equals_brute_force(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(WORDS, k=rng.choice([2, 5, 80]))) for _ in range(60)]
+    texts += [t + " end" for t in texts[:30]] + texts[:10] + ["Ä B\u00a0c D É", None, "", "\u2003x y"]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
+    fps = [brute_fingerprint(t) for t in texts]
+    assert [got[i].fingerprint for i in range(len(texts))] == [f"{x:016x}" for x in fps]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    root = common.forest([p[0] for p in pairs], [p[1] for p in pairs], len(texts))
+    assert [got[i].component_id for i in range(len(texts))] == root.tolist()
+
+
+def test_gray_index_finds_all():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 50).astype(np.uint64)
+    fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 50).astype(np.uint64)) for _ in range(8)]))
+    index = simhash.GrayIndex(fps)
+    found = {(int(a), int(b)) for qs, hs in index.search(fps) for a, b in zip(qs, hs)}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    assert found == set(zip(*(x.tolist() for x in np.nonzero(near))))
+    for one in (fps[:1], fps[:16], fps[:17]):
+        assert sum(len(h) for _, h in simhash.GrayIndex(one).search(one, 0)) == len(one)
+
+
+def test_simhash_odd_rows(spark):
+    got = simhash.near_duplicates(odd_docs(spark)).collect()
+    assert len(got) == 10 and {r.component_id for r in got if r.doc_id == 5} == {4}
+    assert [r.component_id for r in got if r.doc_id in (1, 2, 3)] == [1, 1, 1]
+    assert simhash.near_duplicates(empty_docs(spark)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 50)]
+    got = {r.id: r.comp for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    root = common.forest([e[0] for e in edges], [e[1] for e in edges], 3000)
+    assert got == {i: int(root[i]) for e in edges if e[0] != e[1] for i in e}
+
+
+# 5 toxicity
+
+
+def test_toxicity_chain(spark):
+    rng = random.Random(9)
+    texts, toxic = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        w = rng.choices(WORDS, k=60)
+        if bad:
+            w[rng.randrange(60)] = rng.choice(["idiot", "moron", "scum", "trash"])
+        texts.append(" ".join(w))
+        toxic.append(int(bad))
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic) if i % 2 == 0] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.detect(docs, labels).collect()}
+    held = [i for i in range(600) if i % 2]
+    assert sum(got[i].toxic == bool(toxic[i]) for i in held) >= 0.97 * len(held)
+    assert all(0 <= got[i].p_insult <= 1 for i in held)
+    assert {r.toxic for r in toxicity.detect(docs, labels.filter("toxic = 0")).collect()} == {False}
+    assert len(toxicity.detect(odd_docs(spark), labels).collect()) == 10
+    assert toxicity.detect(empty_docs(spark), labels).count() == 0
+
+
+# 6 URL filters
+
+
+def test_url_verdicts(spark):
+    urls = ["http://A.Example.com/en/x?q#f", "https://www.example.com/en/", "x://sub.www.example.com/en/q", "http://a.net/es/1", "http://net/fr/", "http://b.org", None, "no scheme", "://h#f", "http://example.com", "HTTP://notexample.com/en/", "http://bad.org/x"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(100 + i, "http://bad.org/y") for i in range(60)] + [(200 + i, "http://good.org/y") for i in range(60)], "page_id bigint, url string")
+    outcomes = spark.createDataFrame([(100 + i, 1) for i in range(60)] + [(200 + i, int(i == 0)) for i in range(60)] + [(None, 1), (11, None)], "page_id bigint, bad int")
+    got = {r.page_id: r for r in urlrep.judge(pages, outcomes).collect()}
+    assert (got[0].host, got[0].path, got[0].rule, got[0].verdict) == ("a.example.com", "/en/x", "example.com/en/", "block")
+    assert [got[i].rule for i in range(1, 6)] == ["www.example.com/en/", "www.example.com/en/", "net/es/", "net/fr/", None]
+    assert (got[6].host, got[6].path, got[7].host, got[8].host, got[8].path) == ("", "", "", "h", "")
+    assert got[9].rule is None and got[10].rule == "com/"
+    assert got[11].verdict == "block" and got[200].verdict == "allow"
+    assert urlrep.judge(pages.limit(0), outcomes).count() == 0 and urlrep.judge(pages, outcomes.limit(0)).filter("rule is null and verdict = 'block'").count() == 0
+
+
+# 7 substring dedup
+
+
+def test_passages(spark):
+    rng = random.Random(10)
+    sentence = lambda: " ".join(rng.choices(WORDS, k=14)).capitalize() + "."
+    shared = " ".join(sentence() for _ in range(5))
+    texts = [f"{sentence()}\n{shared}\n{sentence()}", f"{shared}\n{sentence()}", f"{sentence()} {shared} {sentence()}", f"{sentence()}\nShort line.\nShort line.", "Short line."]
+    rows = passages.dedupe(docs_of(spark, texts)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert got[0].text == texts[0] and got[0].removed_spans == []
+    assert shared not in got[1].text and shared not in got[2].text
+    for i in (1, 2):
+        kept = "".join(c for k, c in enumerate(texts[i]) if not any(a <= k < b for a, b in got[i].removed_spans))
+        assert kept == got[i].text
+        assert not any(s in got[i].text for s in re.findall(r"[A-Z][^.]+\.", shared)[:-1])
+    assert got[3].text == texts[3] and got[4].text == texts[4] and rows[0].fp == "x"
+
+
+def test_passages_units_cover_offsets():
+    text = "One two three four five six seven eight nine. Ten, e.g. this one has also more than eight words!\n\nlast"
+    for _, a, b in passages.units(text):
+        assert 0 <= a < b <= len(text)
+    assert [text[a:b] for d, a, b in passages.units(text)][1].startswith("One") and passages.cut("abcdef", [(1, 3), (4, 5)]) == "adf"
+
+
+def test_passages_odd_rows(spark):
+    got = passages.dedupe(odd_docs(spark)).collect()
+    assert len(got) == 10 and [r.text for r in got if r.doc_id is None] == ["no id here at all, my friend"]
+    assert {r.text for r in got if r.doc_id == 5} == {""} and [r.text for r in got if r.doc_id == 4] == ["same text of six words here"]
+    assert passages.dedupe(empty_docs(spark)).count() == 0
+
+
+# 8 SpotSigs
+
+
+def brute_signatures(text):
+    words = re.findall(r"[^\W_]+", text.lower())
+    runs, content = [True], []
+    for w in words:
+        if w in spotsigs.ANCHORS:
+            runs[-1] = True
+        else:
+            content.append(w)
+            runs.append(False)
+    spots = [" ".join(content[i : i + 3]) for i in range(len(content)) if runs[i]]
+    if len(spots) * spotsigs.SPARSE < len(words):
+        spots = [" ".join(words[i : i + 3]) for i in range(len(words))]
+    return set(spots)
+
+
+def test_spotsigs_compare(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(WORDS, k=rng.choice([0, 1, 4, 40]))) for _ in range(30)] + ["the of the", "Ünïcode ça été, 日本 x", "a b c d"]
+    got = {r.doc_id: r for r in spotsigs.compare_edited(docs_of(spark, texts)).collect()}
+    order = sorted(range(len(texts)), reverse=True)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, i in enumerate(order):
+        after = texts[order[(k + 1) % len(order)]]
+        third = len(texts[i]) // 3
+        edited = texts[i][: len(texts[i]) - third] + after[:third]
+        assert got[i].n_chars == len(texts[i]) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a = brute_signatures(texts[i])
+        assert len(got[i].fingerprint) == 8 * len(a)
+        assert abs(got[i].near_edited - like(a, brute_signatures(edited))) < 1e-9
+        assert abs(got[i].near_next - like(a, brute_signatures(after))) < 1e-9
+
+
+def test_spotsigs_long_runs_and_odd_rows(spark):
+    rows = spotsigs.compare_edited(odd_docs(spark)).collect()
+    assert len(rows) == 10 and len({r.fingerprint for r in rows if r.doc_id in (4, 5)}) == 1
+    assert spotsigs.compare_edited(empty_docs(spark)).count() == 0
+    assert spotsigs.compare_edited(docs_of(spark, ["the " * 50_000])).first().near_next == 1.0  # the only text is its own next
+
+
+def test_spotsigs_similar_equals_brute_force(spark):
+    rng = random.Random(12)
+    base = [rng.choices(WORDS + [f"w{i}" for i in range(40)], k=120) for _ in range(12)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:k] + ["extra"] + w[k + 1 :]) for w in base for k in (5, 60)] + [" ".join(base[0])]
+    members, links = spotsigs.similar(docs_of(spark, texts))
+    cls = {r.doc_id: r.class_id for r in members.collect()}
+    assert cls[len(texts) - 1] == 0
+    sets = {i: brute_signatures(t) for i, t in enumerate(texts[:-1])}
+    want = {tuple(sorted((cls[i], cls[j]))) for i, j in itertools.combinations(sets, 2) if sets[i] != sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert {(r.a, r.b) for r in links.collect()} == want and want
+
+
+# 9 language
+
+
+def test_language_held_out(spark):
+    rng = random.Random(13)
+    syllables = {"en": "the ing tion and er", "de": "sch keit ung der ein", "fr": "eau eux que les ment"}
+    texts, langs = [], []
+    for i in range(300):
+        lang = ("en", "de", "fr")[i % 3]
+        texts.append(" ".join("".join(rng.choices(syllables[lang].split(), k=2)) for _ in range(30)))
+        langs.append(lang if i % 17 else None)
+    got = {r.doc_id: r for r in langid.identify(docs_of(spark, texts, langs)).collect()}
+    held = [i for i in got if got[i].held_out]
+    assert held == [i for i in held if zlib.crc32(str(i).encode()) % 3 == 1] and len(held) > 50
+    assert sum(got[i].lang_pred == ("en", "de", "fr")[i % 3] for i in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    odd = {r.doc_id: r for r in langid.identify(odd_docs(spark)).collect()}
+    assert [odd[i].lang_pred for i in (1, 2, 3, 7)] == ["und"] * 4 and odd[None].held_out is False
+    assert langid.identify(empty_docs(spark)).count() == 0
+
+
+# 10 packing
+
+
+def optimum(lengths, cap):
+    """Fewest bins by exhaustive search."""
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in dict.fromkeys(rooms):
+            if k >= lengths[i]:
+                rest = list(rooms)
+                rest.remove(k)
+                place(i + 1, rest + [k - lengths[i]])
+        place(i + 1, rooms + [cap - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    rng = random.Random(14)
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, 60) for _ in range(rng.randrange(1, 9))), reverse=True)
+        hist = {n: lengths.count(n) for n in lengths}
+        packed = packing.pack_histogram(hist, 60)
+        assert all(sum(n * k for n, k in f) <= 60 for f, _ in packed)
+        used = {}
+        for f, m in packed:
+            for n, k in f:
+                used[n] = used.get(n, 0) + m * k
+        assert used == hist and sum(m for _, m in packed) == optimum(lengths, 60)
+
+
+def test_best_fit_decreasing_is_not_the_last_word():
+    hist = {6: 1, 5: 2, 4: 2, 3: 2}  # 6+4, 5+5, 4+3+3; best fit decreasing takes three too
+    assert sum(m for _, m in packing.pack_histogram(hist, 10)) == 3
+    hist = {44: 2, 24: 3, 22: 2, 21: 1, 17: 2, 8: 3, 6: 2}
+    assert sum(m for _, m in packing.pack_histogram(hist, 61)) == optimum(sorted([n for n, c in hist.items() for _ in range(c)], reverse=True), 61)
+
+
+def test_packing_is_whole(spark):
+    tok = Tokenizer.from_file(PATH)
+    src = odd_docs(spark)
+    rows = packing.pack(src, PATH).collect()
+    want = {}
+    for r in src.collect():
+        ids = reference_ids(tok, r.text or "") + [0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            piece = np.array(ids[at : at + 2048], "<u4").tobytes()
+            want.setdefault((r.doc_id, k, at, len(piece) // 4, zlib.crc32(piece)), []).append(1)
+    got = {}
+    for r in rows:
+        got.setdefault((r.doc_id, r.piece, r.start, r.length, r.ids_crc32), []).append(1)
+    assert got == want
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert at.get(r.sequence_id, 0) == r.offset
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 2048 and len(at) == -(-sum(r.length for r in rows) // 2048)
+    assert packing.pack(empty_docs(spark), PATH).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_stages_keep_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.count()
+        docs = common.materialize(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        if k < 4:
+            assert docs.columns == columns and 0.5 * before < docs.count() <= before
+    assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
