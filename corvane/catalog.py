@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import evidence, operations, retrieval, routing
+from corvane.plans import answers, evidence, operations, retrieval, routing
 
 FLAGSHIP = "ret4_bm25_topk"
-_MODULES = (retrieval, routing, evidence, operations)
+_MODULES = (retrieval, routing, evidence, operations, answers)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
