@@ -42,7 +42,7 @@ def rul15_plan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rul13_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.panel(_state(spark, sf_dir))
+    return answers.panel(_state(spark, sf_dir)).withColumn("seq", F.col("seq").cast("long"))
 
 
 def flt13_answer_guard(spark: SparkSession, sf_dir: str) -> DataFrame:

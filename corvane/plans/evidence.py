@@ -37,7 +37,7 @@ def evd8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def srt5_summary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.summary_links(evidence.links(_linked(spark, sf_dir), by="page_id"), 3, by="page_id").select("page_id", "place", "url", evidence.raw_url(F.col("url")).alias("raw_url"))
+    return evidence.summary_links(evidence.links(_linked(spark, sf_dir), by="page_id"), 3, by="page_id").select("page_id", F.col("place").cast("long").alias("place"), "url", evidence.raw_url(F.col("url")).alias("raw_url"))
 
 
 def evd9_source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ def evd12_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evd13_selected_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.select_sentences(t(spark, sf_dir, "documents"), KEYWORDS, 4)
+    chosen = evidence.select_sentences(t(spark, sf_dir, "documents"), KEYWORDS, 4)
+    return chosen.withColumn("place", F.col("place").cast("long"))
 
 
 def evd14_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,25 @@ def evd4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evd5_evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sources(spark, sf_dir)
     found = s.select("brief_id", F.get("agents", F.lit(0)).alias("agent"), F.col("ord").alias("rank"), "source_id", (F.col("ord") % 97 / 10.0).alias("score"), (_quality() - 4).alias("quality"))
-    return evidence.pack(found, per_agent=2)
+    return evidence.pack(found, per_agent=2).withColumn("place", F.col("place").cast("long"))
+
+
+def evd6_source_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = evd5_evidence_pack(spark, sf_dir)
+    area = evidence.picks(packed, ("security", "retrieval"))
+    panel = evidence.picks(packed, ("security", "retrieval"), 2, fall_back_per_agent=True)
+    return area.withColumn("variant", F.lit("area")).unionByName(panel.withColumn("variant", F.lit("panel"))).withColumn("n", F.col("n").cast("long"))
+
+
+def evd15_document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", evidence.document_status(F.col("text"), F.col("doc_id") % 6 > 0).alias("status"))
+
+
+def agg16_theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of each topic word over the corpus, by language."""
+    words = ("the", "ing", "que", "sch", "ción")
+    d = t(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(*(F.sum(T.occurrences(F.lower("text"), w)).alias(f"n{i}") for i, w in enumerate(words)))
 
 
 def evd17_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         evd8_links, srt5_summary_links, evd9_source_types, evd10_page_text, evd3_snippets, evd12_sentences, evd13_selected_sentences, evd14_themes, evd4_quality,
-        evd5_evidence_pack, evd17_curation, evd16_clean_sections, evd20_audit,
+        evd5_evidence_pack, evd6_source_picks, evd15_document_status, agg16_theme_counts, evd17_curation, evd16_clean_sections, evd20_audit,
     )
 }
 
@@ -163,6 +182,16 @@ _BUCKET = "CASE " + " ".join(f"WHEN {c} THEN '{b}'" for c, b in [
 ]) + " ELSE 'requirements' END"
 _AGENTS = "[" + ", ".join(map(_lit, evidence.AGENTS)) + "]"
 
+PACK = f"""
+WITH {SOURCES}, f AS (SELECT brief_id, agent, ord AS rank, source_id, ord % 97 / 10.0 AS score, {QUALITY} - 4 AS quality FROM src),
+s AS (SELECT brief_id, source_id, min(agent) AS agent_rank, arg_min(score, (agent, rank)) AS score, arg_min(quality, (agent, rank)) AS quality, min((agent, rank)) AS seen, list_sort(list(DISTINCT agent)) AS agents FROM f GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY agent_rank, quality DESC, score DESC, seen) AS place FROM s),
+e AS (SELECT *, unnest(agents) AS agent FROM p),
+c AS (SELECT *, max(CASE WHEN quality >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY brief_id, agent) AS good, row_number() OVER (PARTITION BY brief_id, agent, quality >= 0 ORDER BY place) AS n, min(place) OVER (PARTITION BY brief_id, agent) AS fp FROM e),
+h AS (SELECT brief_id, source_id, min((agent, place)) AS shown FROM c WHERE CASE WHEN good = 1 THEN quality >= 0 AND n <= 2 ELSE place = fp END GROUP BY ALL)
+SELECT brief_id, source_id, score::DOUBLE AS score, quality, place, shown IS NOT NULL AS display, 'E' || row_number() OVER (PARTITION BY brief_id ORDER BY shown NULLS LAST, place) AS label,
+  array_to_string(list_transform(agents, lambda a: ({_AGENTS})[a + 1]), ',') AS used_by FROM p LEFT JOIN h USING (brief_id, source_id)"""
+
 ORACLE_SQL = {
     "evd8_links": f"WITH {LINKS} SELECT * FROM links",
     "srt5_summary_links": f"""
@@ -178,15 +207,16 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place
 WITH d AS (SELECT doc_id, lower(text || ' ' || ({_TOPICS})[1 + doc_id % {len(TOPICS)}] || ' ' || ({_TOPICS})[1 + n_chars % {len(TOPICS)}]) AS t FROM documents), s AS (SELECT doc_id, unnest([{_THEMES}]) AS x FROM d)
 SELECT doc_id, coalesce(string_agg(x.name, ',' ORDER BY x.score DESC, x.name DESC) FILTER (x.score > 0), '') AS themes FROM s GROUP BY doc_id""",
     "evd4_quality": f"WITH {SOURCES} SELECT ord AS doc_id, {QUALITY} AS quality FROM src",
-    "evd5_evidence_pack": f"""
-WITH {SOURCES}, f AS (SELECT brief_id, agent, ord AS rank, source_id, ord % 97 / 10.0 AS score, {QUALITY} - 4 AS quality FROM src),
-s AS (SELECT brief_id, source_id, min(agent) AS agent_rank, arg_min(score, (agent, rank)) AS score, arg_min(quality, (agent, rank)) AS quality, min((agent, rank)) AS seen, list_sort(list(DISTINCT agent)) AS agents FROM f GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY agent_rank, quality DESC, score DESC, seen) AS place FROM s),
-e AS (SELECT *, unnest(agents) AS agent FROM p),
-c AS (SELECT *, max(CASE WHEN quality >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY brief_id, agent) AS good, row_number() OVER (PARTITION BY brief_id, agent, quality >= 0 ORDER BY place) AS n, min(place) OVER (PARTITION BY brief_id, agent) AS fp FROM e),
-h AS (SELECT brief_id, source_id, min((agent, place)) AS shown FROM c WHERE CASE WHEN good = 1 THEN quality >= 0 AND n <= 2 ELSE place = fp END GROUP BY ALL)
-SELECT brief_id, source_id, score::DOUBLE AS score, quality, place, shown IS NOT NULL AS display, 'E' || row_number() OVER (PARTITION BY brief_id ORDER BY shown NULLS LAST, place) AS label,
-  array_to_string(list_transform(agents, lambda a: ({_AGENTS})[a + 1]), ',') AS used_by FROM p LEFT JOIN h USING (brief_id, source_id)""",
+    "evd5_evidence_pack": PACK,
+    "evd6_source_picks": f"""
+WITH pack AS ({PACK}), used AS (SELECT brief_id, source_id, quality, place, unnest(string_split(used_by, ',')) AS agent FROM pack),
+u AS (SELECT *, CASE agent WHEN 'security' THEN 1 ELSE 2 END AS ord FROM used WHERE agent IN ('security', 'retrieval')),
+g AS (SELECT *, max(CASE WHEN quality >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY brief_id) AS ga, max(CASE WHEN quality >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY brief_id, ord) AS gp FROM u),
+a AS (SELECT brief_id, source_id, min((ord, place)) AS at_ FROM g WHERE quality >= 0 OR ga = 0 GROUP BY ALL), p AS (SELECT brief_id, source_id, min((ord, place)) AS at_ FROM g WHERE quality >= 0 OR gp = 0 GROUP BY ALL)
+SELECT brief_id, row_number() OVER (PARTITION BY brief_id ORDER BY at_) AS n, source_id, 'area' AS variant FROM a QUALIFY n <= 3
+UNION ALL SELECT brief_id, row_number() OVER (PARTITION BY brief_id ORDER BY at_) AS n, source_id, 'panel' FROM p QUALIFY n <= 2""",
+    "evd15_document_status": r"SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'failed' WHEN len(regexp_extract_all(text, '\S+')) < 80 THEN 'short' ELSE 'full' END AS status FROM documents",
+    "agg16_theme_counts": "SELECT lang, " + ", ".join(f"sum({_count('lower(text)', w)})::BIGINT AS n{i}" for i, w in enumerate(("the", "ing", "que", "sch", "ción"))) + " FROM documents GROUP BY lang",
     "evd17_curation": f"""
 WITH {SOURCES}, a AS (SELECT * REPLACE (trim(snippet) AS snippet) FROM src QUALIFY row_number() OVER (PARTITION BY brief_id, source_id ORDER BY ord) = 1),
 b AS (SELECT *, lower(concat_ws(' ', title, section, snippet)) AS shown, lower(concat_ws(' ', source_id, title, section, snippet, source_path)) AS txt FROM a WHERE length(snippet) >= 45 AND element_type NOT IN ('code_fence', 'mermaid', 'reference')),

@@ -130,6 +130,13 @@ def src2_manifest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.validate(_manifest(spark, sf_dir))
 
 
+def src4_manifest_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = t(spark, sf_dir, "documents").select(
+        F.concat(F.when(F.col("doc_id") % 10 == 0, "corpus/routing/").otherwise("corpus/"), "lang", F.lit("/"), F.when(F.col("doc_id") % 25 == 0, "README").otherwise(F.concat(F.lit("my_file-"), F.col("doc_id").cast("string"))), F.lit(".md")).alias("path")
+    )
+    return manifest.generate(p, {"de": "german", "fr": "french"}).withColumn("section_tags", F.array_join("section_tags", ","))
+
+
 def src3_manifest_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.by_path(_manifest(spark, sf_dir)).select("path", "position")
 
@@ -172,7 +179,7 @@ QUERIES = {
     for f in (
         win9_sliding_counts, ops4_spikes, ops5_alerts, win10_last_n, ops1_rate_limit, ops2_two_level_limit, ops3_calendar_budget, ops3_deep_budget, ops6_snapshot, ops7_identity,
         agg9_percentile_nearest, agg10_percentile_rounded, agg11_percentile_linear, agg12_latency_summary, agg13_status_counts, evl1_recall_mrr_ndcg, evl7_gate,
-        evl3_micro_accuracy, src19_counts_by, src8_table_match, src2_manifest_validate, src3_manifest_by_path, flt6_ingestible, src7_missing_vectors,
+        evl3_micro_accuracy, src19_counts_by, src8_table_match, src2_manifest_validate, src4_manifest_generate, src3_manifest_by_path, flt6_ingestible, src7_missing_vectors,
         rel1_pricing_summary, rel2_revenue_by_nation, rel3_rollup, rel4_session_windows,
     )
 }
@@ -223,6 +230,11 @@ SELECT *, n_stored = n_chunks AND missing = 0 AND extra = 0 AS matches FROM n"""
     "src2_manifest_validate": f"""
 WITH {MANIFEST} SELECT position, 'missing license' AS error FROM m WHERE license IS NULL UNION ALL SELECT position, 'missing trust_tier' FROM m WHERE trust_tier = ''
 UNION ALL SELECT position, 'duplicate path ' || path FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY position) AS n FROM m) WHERE n > 1""",
+    "src4_manifest_generate": """
+WITH p AS (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN 'corpus/routing/' ELSE 'corpus/' END || lang || '/' || CASE WHEN doc_id % 25 = 0 THEN 'README' ELSE 'my_file-' || doc_id END || '.md' AS path,
+  CASE lang WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE 'general' END AS domain FROM documents)
+SELECT path, CASE WHEN doc_id % 25 = 0 THEN 'Readme' ELSE 'My File ' || doc_id END AS title, CASE WHEN doc_id % 10 = 0 THEN 'routing' ELSE 'knowledge' END AS namespace,
+  CASE WHEN doc_id % 10 = 0 THEN 'routing-card' ELSE 'research-bundle' END AS content_kind, domain, array_to_string(list_sort([lang, domain]), ',') AS section_tags, doc_id % 25 <> 0 AS ingest FROM p""",
     "src3_manifest_by_path": f"WITH {MANIFEST} SELECT path, max(position) AS position FROM m GROUP BY path",
     "flt6_ingestible": f"WITH {MANIFEST} SELECT position, path FROM m WHERE coalesce(ingest, true)",
     "src7_missing_vectors": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = d.doc_id AND md5(vec_id::VARCHAR) = md5((d.doc_id - d.doc_id % 2)::VARCHAR))",

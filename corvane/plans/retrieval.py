@@ -69,7 +69,7 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 
 def _named(ranking: DataFrame) -> DataFrame:
-    return ranking.select("query_id", F.col("chunk_ord").alias("doc_id"), "score", "rank")
+    return ranking.select("query_id", F.col("chunk_ord").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def ret4_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def _dense(spark: SparkSession, sf_dir: str, k: int = 10, **more) -> DataFrame:
 
 
 def _hits(ranking: DataFrame) -> DataFrame:
-    return ranking.select("query_id", F.col("chunk_ord").alias("vec_id"), "score", "rank")
+    return ranking.select("query_id", F.col("chunk_ord").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def ret18_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
