@@ -225,3 +225,24 @@ def test_streams_agree_with_batch(spark, tmp_path):
     log = requests.write_log(requests.alerts(requests.read(spark, str(tmp_path / "in")), 0.5), str(tmp_path / "log"), str(tmp_path / "ck2"))
     log.awaitTermination(120)
     assert spark.read.json(str(tmp_path / "log")).count() == len(rows)
+
+
+def test_answers(spark):
+    from corvane.operators import answers
+
+    df = spark.createDataFrame([('{"A1": "x", "A2": " "}',), ("A1 = a=b\nnone\nA1=c\n=d\nA3= ",), (None,)], "s string")
+    assert [r[0] for r in df.select(answers.parse_answers(F.col("s"))).collect()] == [{"A1": "x"}, {"A1": "c"}, {}]
+    m = spark.createDataFrame([([[0, 1], [0], [1, 2], []],)], "m array<array<int>>")
+    assert m.select(answers.claimed_gains(F.col("m"), F.array(F.lit(2), F.lit(2), F.lit(1)))).first()[0] == [2, 0, 2, 0]
+    good = "Agentic reasoning trace [E1]: decision rationale, tradeoff, validation"
+    a = spark.createDataFrame([(good,), (good + " x.md",), (good + " A12: y",), ("plain",)], "s string")
+    assert [r[0] for r in a.select(answers.answer_issue(F.col("s"))).collect()] == [None, "generated answer exposed internal marker '.md'", "generated answer exposed raw attribute codes", "generated answer omitted evidence labels"]
+    b = spark.createDataFrame([(1, "exact terms")], "brief_id long, brief string")
+    assert answers.specialists(b).count() == 4
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
