@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import materialize
+
 # Seed words of the two weak categories; a labelled toxic text has a category if it has one of its words.
 INSULT = frozenset("idiot idiots moron morons stupid dumb fool fools loser losers clown clowns imbecile jerk ignorant".split())
 DEGRADING = frozenset("trash garbage scum vermin worthless pathetic disgusting filthy vile subhuman parasite parasites despicable".split())
@@ -110,32 +112,14 @@ class Chain:
         return out
 
 
-def fit(sets: list[set[str]], labels: np.ndarray, categories: tuple[str, ...]) -> Chain:
-    """A chain over word sets and a 0/1 matrix with a column per category.
+def fit(sets: list[set[str]], labels: np.ndarray, chosen: list[str], categories: tuple[str, ...] = CHAIN) -> Chain:
+    """A chain over feature sets and a 0/1 matrix with a column per category, on the chosen features.
 
-    Features are the words whose presence tells most about any category (by
-    chi-square), of those in MIN_DOCS texts or more. Rows are dealt into folds
-    in turn, so equal texts in a row differ in fold.
+    Rows are dealt into folds in turn.
     """
-    if not sets or not labels.any():
-        return Chain(categories)
-    seen: dict[str, np.ndarray] = {}
-    for s, y in zip(sets, labels, strict=True):
-        for w in s:
-            got = seen.get(w)
-            if got is None:
-                got = seen[w] = np.zeros(len(categories) + 1)
-            got[0] += 1
-            got[1:] += y
-    n, total = len(sets), labels.sum(0)
-    names = sorted(w for w, c in seen.items() if c[0] >= MIN_DOCS and c[-1] > 0)
-    if not names:
+    if not chosen or not labels.any():
         return Chain(categories)
-    c = np.array([seen[w] for w in names])
-    expected = c[:, :1] * total / n
-    chi = ((c[:, 1:] - expected) ** 2 / np.maximum(expected * (1 - c[:, :1] / n), 1e-9)).max(1)
-    chosen = sorted(names[i] for i in np.argsort(-chi, kind="stable")[:FEATURES])
-    columns = {w: k for k, w in enumerate(chosen)}
+    n, columns = len(sets), {w: k for k, w in enumerate(chosen)}
     x = np.zeros((n, len(chosen)))
     for i, s in enumerate(sets):
         x[i, [columns[w] for w in columns.keys() & s]] = 1
@@ -153,27 +137,46 @@ def fit(sets: list[set[str]], labels: np.ndarray, categories: tuple[str, ...]) -
     return Chain(categories, columns, weights)
 
 
+def choose(bags: DataFrame, most: int = FEATURES) -> list[str]:
+    """The features of bags (bag, and a 0/1 column per category) whose presence tells most about any category, by chi-square.
+
+    Of those in MIN_DOCS texts or more, and in one toxic text at least.
+    """
+    total = bags.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in CHAIN)).first()
+    n = total["n"]
+    if not n or not total["toxic"]:
+        return []
+    seen = bags.select(F.explode("bag").alias("feature"), *CHAIN).groupBy("feature").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in CHAIN))
+    seen = seen.filter((F.col("n") >= MIN_DOCS) & (F.col("toxic") > 0))
+    expected = {c: F.col("n") * (total[c] / n) for c in CHAIN}
+    chi = F.greatest(*(F.pow(F.col(c) - e, 2) / F.greatest(e * (1 - F.col("n") / n), F.lit(1e-9)) for c, e in expected.items()))
+    return sorted(r["feature"] for r in seen.orderBy(F.desc(F.round(chi, 6)), "feature").limit(most).collect())
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Chain:
     """Fit on `rows` labelled documents at most, in the order of a hash of the id.
 
     labels has (doc_id, toxic); rows with a null in either are not used, and a
-    document labelled more than once is toxic if any label says so. Executors
-    reduce texts to their features; the driver gets those only.
+    document labelled more than once is toxic if any label says so. Texts become
+    feature bags on the executors, where the features are chosen too; the driver
+    gets the chosen features of each sampled text only.
     """
 
-    def bags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bagged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(sorted(features(t))) for t in b.column(1).to_pylist()], pa.string())], ["toxic", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(features(t)) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["h", "toxic", "bag"])
 
     known = labels.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("labelled").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("labelled")
     known = known.orderBy(order, "labelled").limit(rows)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = src.join(known, src.doc_id == known.labelled).filter("text is not null").select("labelled", "toxic", "text")
-    got = sample.orderBy(order, "labelled", "text").limit(rows).select("toxic", "text").mapInArrow(bags, "toxic int, bag string").collect()
-    sets = [set(r["bag"].split()) for r in got]
-    y = np.array([[r["toxic"] and bool(s & INSULT), r["toxic"] and bool(s & DEGRADING), r["toxic"]] for r, s in zip(got, sets)], bool).reshape(-1, 3)
-    return fit(sets, y, CHAIN)
+    sample = src.join(known, src.doc_id == known.labelled).filter("text is not null").select(order.alias("h"), "toxic", "text")
+    bags = materialize(sample.mapInArrow(bagged, "h bigint, toxic int, bag array<string>"), "bags")
+    has = lambda words: F.arrays_overlap("bag", F.array(*map(F.lit, sorted(words)))).cast("int") * F.col("toxic")
+    bags = bags.withColumn("insult", has(INSULT)).withColumn("degrading", has(DEGRADING))
+    chosen = choose(bags)
+    got = bags.select("h", *CHAIN, F.array_intersect("bag", F.array(*map(F.lit, chosen or [""]))).alias("bag")).orderBy("h", "bag").limit(rows).collect()
+    return fit([set(r["bag"]) for r in got], np.array([[r[c] for c in CHAIN] for r in got], bool).reshape(-1, len(CHAIN)), chosen)
 
 
 def scorer(chain: Chain, spark):
