@@ -35,7 +35,7 @@ SPREAD_CHARS = 65_536
 #: Words with more symbols than this are encoded by halves.
 LEAF_SYMBOLS = 256
 #: Chunks and words, each, that a worker keeps.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: The separators of str.split() that the tokenizer takes for text.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")

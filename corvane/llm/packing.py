@@ -17,7 +17,7 @@ from corvane.llm.common import materialize
 CAPACITY = 2048
 END_ID = 0
 #: Nodes of the branch-and-bound; when they are used up, the best packing so far stands.
-NODES = 200
+NODES = 60
 #: Fillings that are tried around one largest document.
 BRANCHES = 8
 #: Split lengths that the lower bound tries; any of them gives a valid bound.
