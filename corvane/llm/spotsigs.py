@@ -10,6 +10,7 @@ size, on each set's rarest signatures, and verifies by Jaccard.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,8 +136,8 @@ def bucket_of(value: str, bounds: list) -> Column:
     )
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs (doc_id, text and more) with next_<c> of the next row in descending order of doc_id; the last row's next is the first.
+def with_next(docs: DataFrame, derive: Callable[[Column], Column]) -> DataFrame:
+    """docs (doc_id, text) with sigs = derive(text), and next_text and next_sigs of the next row in descending order of doc_id; the last row's next is the first.
 
     Rows are dealt into buckets of id ranges, each sorted in one task. The first
     row of each bucket, one row per bucket, is the next of the bucket before.
@@ -155,12 +156,14 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         F.coalesce(F.lead("bucket").over(ring), F.first("bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("bucket"),
     )
     heads = dealt.join(F.broadcast(tops), "bucket").filter(F.col("doc_id").eqNullSafe(F.col("top_id")))
-    heads = heads.groupBy("bucket").agg(*(F.min_by(c, "tie").alias(f"head_{c}") for c in columns))
-    heads = materialize(after.join(heads, "bucket").select(F.col("of").alias("head_of"), *(f"head_{c}" for c in columns)), "heads")
+    heads = materialize(heads.groupBy("bucket").agg(F.min_by("text", "tie").alias("head_text")), "tops")
+    heads = after.join(heads, "bucket").select(F.col("of").alias("head_of"), "head_text", derive(F.col("head_text")).alias("head_sigs"))
+    heads = materialize(heads, "heads")
     w = Window.partitionBy("bucket").orderBy(*order)
-    led = dealt.select("*", *(F.lead(c).over(w).alias(f"lead_{c}") for c in columns))
+    led = dealt.withColumn("sigs", derive(F.col("text")))
+    led = led.select("*", *(F.lead(c).over(w).alias(f"lead_{c}") for c in ("text", "sigs")))
     joined = led.join(heads.hint("merge"), led.bucket == heads.head_of)
-    return joined.select(*docs.columns, *(F.coalesce(f"lead_{c}", f"head_{c}").alias(f"next_{c}") for c in columns))
+    return joined.select(*docs.columns, "sigs", *(F.coalesce(f"lead_{c}", f"head_{c}").alias(f"next_{c}") for c in ("text", "sigs")))
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
@@ -174,7 +177,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no rows; extra columns are ignored.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    paired = with_next(src.withColumn("sigs", signatures(F.col("text"), chain)), ["text", "sigs"])
+    paired = with_next(src, lambda text: signatures(text, chain))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
