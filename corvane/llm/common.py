@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        path = tempfile.mkdtemp(prefix="corvane-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own_dirs[app] = f"file://{path}"
     return _own_dirs[app]
 
 
