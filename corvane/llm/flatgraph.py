@@ -5,6 +5,8 @@ centroids. Each shard builds a robust-pruned neighbour graph; the adjacency
 lists of a vector from all its shards are united. Each vector is then searched
 for in its home shard, with what its neighbours elsewhere add: greedily from
 the shard's medoid, and from the first hit on by expanding everything in range.
+An audit then compares each vector with every shard that can hold a partner of
+it, and adds the links that the graph has missed.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ DEGREE = 32
 CANDIDATES = 96
 ALPHA = 1.2
 BEAM = 32
+#: Cosines that the audit holds at once.
+AUDIT_CELLS = 1 << 22
 
 
 def valid(embedding: str, label: str) -> Column:
@@ -149,11 +153,22 @@ class Searcher:
         return np.array(sorted(hits), np.int64)
 
 
+def in_reach(x: np.ndarray, c: np.ndarray, home: int, radius: float) -> np.ndarray:
+    """Whether a vector at cosine radius or more of each x, whose nearest centroid is c[home], can have each c as its nearest.
+
+    Vectors nearer to c[k] than to c[home] fill a half-space; x reaches it if its
+    angle to that is no more than the radius's.
+    """
+    gap, sine = c[home] - c, np.sqrt(max(0.0, 1 - radius * radius)) if radius >= 0 else np.inf
+    return x @ gap.T <= np.sqrt((gap * gap).sum(1)) * sine + 1e-9
+
+
 def near_duplicates(vectors: DataFrame, radius: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Two vectors link if their labels are equal and not null and their cosine in
-    double precision is radius or more; each found pair is verified so. Vectors
+    double precision is radius or more; each found pair is verified so, and the
+    audit misses none, so the values are exact. Vectors
     that are null, zero, or hold null or non-finite components link with nothing,
     nor do vectors of different lengths or rows with a null id (component_id
     null, not kept). Equal vectors are one node of the graph and count as links
@@ -166,17 +181,19 @@ def near_duplicates(vectors: DataFrame, radius: float = COSINE, id_col: str = "v
     classes = materialize(
         src.filter("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size")).withColumn("dim", F.size("vec")), "classes"
     )
-    marks = spark.sparkContext.broadcast(centroids(classes))  # MAX_CENTROIDS and one per label at most
+    marks = spark.sparkContext.broadcast(list(centroids(classes).items()))  # MAX_CENTROIDS and one per label at most
 
     def assign(it):
+        number = {key: k for k, (key, _) in enumerate(marks.value)}
         for pdf in it:
             rows = []
             for (label, dim), g in pdf.groupby(["label", "dim"]):
-                c = marks.value[(label, dim)]
+                g_no = number[(label, dim)]
+                c = marks.value[g_no][1]
                 x = unit(g["vec"])
                 near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP] if len(c) else np.zeros((len(g), 1), int)
                 for place in range(near.shape[1]):
-                    rows.append(pd.DataFrame({"shard": [f"{label}/{dim}/{k}" for k in near[:, place]], "home": place == 0, "cls": g["cls"].to_numpy(), "size": g["size"].to_numpy(), "vec": g["vec"].to_numpy()}))
+                    rows.append(pd.DataFrame({"shard": [f"{g_no}/{k}" for k in near[:, place]], "home": place == 0, "cls": g["cls"].to_numpy(), "size": g["size"].to_numpy(), "vec": g["vec"].to_numpy()}))
             if rows:
                 yield pd.concat(rows)
 
@@ -216,8 +233,47 @@ def near_duplicates(vectors: DataFrame, radius: float = COSINE, id_col: str = "v
 
     searched = inside.select("shard", "home", "cls", "size", "vec", "near").unionByName(rim).groupBy("shard").applyInPandas(search, "cls bigint, n_links bigint, other bigint")
     searched = materialize(searched, "searched")
-    comps = components(searched.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
-    counts = searched.filter("other is null").select("cls", "n_links")
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A shard's home vectors as one row for itself, and for each later shard those that can have a partner there."""
+        g_no, k = map(int, pdf["shard"].iloc[0].split("/"))
+        c, x = marks.value[g_no][1], unit(pdf["vec"])
+        cls, size = pdf["cls"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
+        goes = in_reach(x, c, k, radius) if len(c) else np.ones((len(x), 1), bool)
+        goes[:, k] = True
+        rows = [(f"{g_no}/{j}", j == k, cls[m].tobytes(), size[m].tobytes(), x[m].tobytes()) for j, m in enumerate(goes.T) if j >= k and m.any()]
+        return pd.DataFrame(rows, columns=["shard", "own", "cls", "size", "vec"])
+
+    def audit(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of a shard's home vectors with each other and with those sent there: a count for each vector that has some, and a spanning forest."""
+        sent = [(np.frombuffer(r.cls, np.int64), np.frombuffer(r.size, np.int64), np.frombuffer(r.vec).reshape(len(r.cls) // 8, -1)) for r in pdf.sort_values("own", ascending=False).itertuples()]
+        if not pdf["own"].any():  # no vector has its home here
+            return pd.DataFrame({"cls": [], "n_links": [], "other": []}).astype({"cls": "int64", "n_links": "Int64", "other": "Int64"})
+        cls, size = np.concatenate([c for c, _, _ in sent]), np.concatenate([n for _, n, _ in sent])
+        own, first = sent[0][2], 0
+        count, root = np.zeros(len(cls), np.int64), np.arange(len(cls))
+        for k, (_, _, x) in enumerate(sent):
+            step = max(1, AUDIT_CELLS // len(own))
+            for at in range(0, len(x), step):
+                a, b = np.nonzero(x[at : at + step] @ own.T >= radius)
+                a += first + at
+                a, b = a[a != b], b[a != b]
+                np.add.at(count, a, size[b])
+                if k:
+                    np.add.at(count, b, size[a])
+                if (root[a] != root[b]).any():
+                    root = forest(root[a], root[b], len(root))[root]
+            first += len(x)
+        some, far = np.flatnonzero(count), np.flatnonzero(root != np.arange(len(cls)))
+        found = pd.DataFrame({"cls": cls[some], "n_links": count[some], "other": None})
+        edges = pd.DataFrame({"cls": cls[far], "n_links": None, "other": cls[root[far]]})
+        return pd.concat([found, edges]).astype({"cls": "int64", "n_links": "Int64", "other": "Int64"})
+
+    sent = members.filter("home").groupBy("shard").applyInPandas(send, "shard string, own boolean, cls binary, size binary, vec binary")
+    audited = materialize(sent.groupBy("shard").applyInPandas(audit, "cls bigint, n_links bigint, other bigint"), "audited")
+    edges = searched.unionByName(audited).filter("other is not null")
+    comps = components(edges.select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    exact = audited.filter("other is null").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    counts = classes.select("cls", "size").join(exact, "cls", "left").select("cls", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     named = counts.join(comps, counts.cls == comps.id, "left").select("cls", "n_links", F.coalesce("comp", "cls").alias("component_id"))
     keyed = materialize(classes.select("label", "vec", "cls").join(named, "cls").drop("cls"), "named")
     linked = src.filter("ok").join(keyed, ["label", "vec"]).select("vec_id", "n_links", "component_id")

@@ -69,6 +69,21 @@ def test_flatgraph_equals_brute_force(spark):
     assert got[None].n_links == 0 and not got[None].kept
 
 
+def test_flatgraph_finds_all_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "SHARD_ROWS", 20)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 24))
+    x[600:] = x[:600] / np.linalg.norm(x[:600], axis=1)[:, None] + rng.normal(size=(600, 24)) * 0.37 / 24**0.5
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    got = {r.vec_id: r for r in flatgraph.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")).collect()}
+    y = flatgraph.unit(x)
+    near = y @ y.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near.sum() > 400
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == common.forest(*np.nonzero(near), len(x)).tolist()
+
+
 def test_flatgraph_empty(spark):
     assert flatgraph.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
