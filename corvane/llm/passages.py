@@ -1,11 +1,14 @@
-"""Removal of repeated passages by hashing lines and the sentences in them."""
+"""Removal of repeated passages by hashing lines, sentences, runs of short sentences and anchored stretches of words."""
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,9 +16,16 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize
 
-#: Units with fewer words stay: short lines and sentences are common in clean text.
+#: Units with fewer words stay by themselves: short lines and sentences are common in clean text.
 MIN_LINE_WORDS = 5
 MIN_SENTENCE_WORDS = 8
+#: Words of a stretch between two anchors at least; an anchor's hash is the least of so many words on both sides.
+MIN_STRETCH_WORDS = 25
+ANCHOR_WORDS = 6
+#: Letters of scripts without spaces, each of which is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED_LETTER = re.compile(f"[{_UNSPACED}]")
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
 _LINE = re.compile(r"[^\n]*\n?")
 _SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?。！？]+[\"'”’)\]]*(?:\s+|$)|[.!?。！？]+|$)")
 
@@ -27,7 +37,8 @@ def normal(unit: str) -> str:
 
 
 def digest(kind: str, text: str) -> bytes:
-    return xxhash.xxh3_128_digest((kind + text).encode("utf-8", "surrogatepass"))
+    """96 bits: the digests are most of what is written and shuffled."""
+    return xxhash.xxh3_128_digest((kind + text).encode("utf-8", "surrogatepass"))[:12]
 
 
 def sentences(line: str, at: int) -> Iterator[tuple[int, int]]:
@@ -43,21 +54,93 @@ def sentences(line: str, at: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def n_words(norm: str) -> int:
+    """Words of a normal unit."""
+    if norm.isascii() or not _UNSPACED_LETTER.search(norm):
+        return norm.count(" ") + 1 if norm else 0
+    return len(_WORD.findall(norm))
+
+
+@lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    word = word if word.isascii() else unicodedata.normalize("NFC", word)
+    return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """For each code point: 0 for white space, 2 for a word of its own, else 1."""
+    kinds = np.ones(sys.maxunicode + 1, np.int8)
+    kinds[[c for c in range(0x3001) if chr(c).isspace()]] = 0
+    for first, last in re.findall("(.)-(.)", _UNSPACED):
+        kinds[ord(first) : ord(last) + 1] = 2
+    return kinds
+
+
+def word_starts(text: str) -> list[int]:
+    """Offsets of what _WORD finds."""
+    kinds = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    before = np.concatenate([np.zeros(1, np.int8), kinds[:-1]])
+    return np.flatnonzero((kinds == 2) | ((kinds == 1) & (before != 1))).tolist()
+
+
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """Words at which the hash of three words is less than those around it: a passage has the same ones wherever it stands."""
+    h = np.pad(hashes, (0, 2))
+    h = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    low = np.lib.stride_tricks.sliding_window_view(np.pad(h, ANCHOR_WORDS, constant_values=np.uint64((1 << 64) - 1)), ANCHOR_WORDS).min(1)
+    return np.flatnonzero((h < low[: len(h)]) & (h <= low[ANCHOR_WORDS + 1 :]))
+
+
+def stretches(text: str) -> Iterator[tuple[bytes, int, int]]:
+    """Units of whole words from each anchor to the first one MIN_STRETCH_WORDS or more behind it, wherever lines and sentences end."""
+    starts = word_starts(text)
+    if len(starts) < MIN_STRETCH_WORDS:
+        return
+    hashes = np.fromiter(map(_word_hash, _WORD.findall(text)), np.uint64, len(starts))
+    at = np.concatenate([[0], (mid := anchors(hashes))[mid > 0], [len(starts)]])
+    to = np.searchsorted(at, at + MIN_STRETCH_WORDS)
+    raw, edges = hashes.tobytes(), [*starts, len(text)]
+    for i, j in zip(at[to < len(at)].tolist(), at[to[to < len(at)]].tolist()):
+        yield xxhash.xxh3_128_digest(raw[8 * i : 8 * j], 1)[:12], edges[i], edges[j]
+
+
+def runs(parts: list[tuple[str, int, int, int]]) -> Iterator[tuple[bytes, int, int]]:
+    """Units around short sentences (normal, words, start, end): each with those after it, and with those before it, up to MIN_SENTENCE_WORDS."""
+    found = set()
+    for i in [i for i, p in enumerate(parts) if p[1] < MIN_SENTENCE_WORDS]:
+        for step in (1, -1):
+            k, n = i, parts[i][1]
+            while n < MIN_SENTENCE_WORDS and 0 <= k + step < len(parts):
+                k += step
+                n += parts[k][1]
+            if n >= MIN_SENTENCE_WORDS:
+                found.add((min(i, k), max(i, k)))
+    for i, k in sorted(found):
+        yield digest("r", " ".join(p[0] for p in parts[i : k + 1])), parts[i][2], parts[k][3]
+
+
 def units(text: str) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, start, end) of a text's lines and, in lines of several sentences, of its sentences; offsets in characters."""
+    """(digest, start, end) of a text's lines, sentences, runs of sentences with a short one, and stretches; offsets in characters."""
+    parts: list[tuple[str, int, int, int]] = []
     for m in _LINE.finditer(text):
         if m.start() == m.end():
             break
         line = m[0]
         norm = normal(line)
-        n = norm.count(" ") + 1 if norm else 0
+        n = n_words(norm)
         if n >= MIN_LINE_WORDS:
             yield digest("l", norm), m.start(), m.end()
-        if n >= MIN_SENTENCE_WORDS:
-            for start, end in sentences(line, m.start()):
-                part = normal(text[start:end])
-                if part.count(" ") + 1 >= MIN_SENTENCE_WORDS:
+        for start, end in sentences(line, m.start()) if n else ():
+            part = normal(text[start:end])
+            if k := n_words(part):
+                parts.append((part, k, start, end))
+                if k >= MIN_SENTENCE_WORDS:
                     yield digest("s", part), start, end
+    yield from runs(parts)
+    yield from stretches(text)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -103,8 +186,11 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with repeated units cut from the text, and removed_spans array<struct<start,stop>>.
 
-    Units are lines of MIN_LINE_WORDS words or more and sentences of
-    MIN_SENTENCE_WORDS or more. Of each unit that occurs more than once the
+    Units are lines of MIN_LINE_WORDS words or more, sentences of
+    MIN_SENTENCE_WORDS or more, runs of sentences that bring a short one to that
+    number, and stretches of MIN_STRETCH_WORDS or more between words that are
+    chosen by what stands around them, so that a long passage is found within
+    sentences and across lines. Of each unit that occurs more than once the
     occurrence with the smallest (doc_id, offset) stays, in that document only,
     and the others go; offsets are of the original text, in characters. Rows
     with a null id or text are kept as they are and are no occurrence. Rows with
@@ -118,8 +204,8 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna()
     found = materialize(occurrences(src), "units")
-    firsts = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
-    repeated = materialize(firsts.filter("first <> last").select("digest", "first"), "repeated")
+    firsts = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+    repeated = materialize(firsts.filter("n > 1").select("digest", "first"), "repeated")
     later = found.join(repeated, "digest").filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "stop")
     spans = materialize(later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
 

@@ -284,6 +284,27 @@ def test_passages(spark):
     assert got[3].text == texts[3] and got[4].text == texts[4] and rows[0].fp == "x"
 
 
+def test_passages_of_short_sentences_and_within_a_sentence(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    words = lambda n: " ".join(word() for _ in range(n))
+    short = " ".join(words(4).capitalize() + "." for _ in range(15))
+    inner, lone = words(200), "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(60)) + "。"
+    texts = [f"{words(9)} {x} {words(9)}" for x in (f"end. {short}", f"end. {short}", inner, inner)] + [f"甲。{lone}", f"乙。{lone}", "Yes. No.", "Yes. No."]
+    got = {r.doc_id: r.text for r in passages.dedupe(docs_of(spark, texts)).collect()}
+    assert all(got[i] == texts[i] for i in (0, 2, 4, 6, 7))
+    assert not any(s in got[1] for s in short.split(". "))
+    assert sum(w in got[3] for w in inner.split()) <= 60 and got[3].split()[:9] == texts[3].split()[:9] and got[3].split()[-9:] == texts[3].split()[-9:]
+    assert got[5] == "乙。"
+
+
+def test_passages_word_starts():
+    rng = random.Random(22)
+    for _ in range(200):
+        text = "".join(rng.choices("ab é日本ไท\u3000\x1c\x85\xa0\u2028\n\t😀𠀀\ud800", k=rng.randrange(40)))
+        assert passages.word_starts(text) == [m.start() for m in passages._WORD.finditer(text)]
+
+
 def test_passages_units_cover_offsets():
     text = "One two three four five six seven eight nine. Ten, e.g. this one has also more than eight words!\n\nlast"
     for _, a, b in passages.units(text):
