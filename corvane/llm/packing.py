@@ -17,7 +17,9 @@ from corvane.llm.common import materialize
 CAPACITY = 2048
 END_ID = 0
 #: Nodes of the branch-and-bound; when they are used up, the best packing so far stands.
-NODES = 60
+NODES = 2_000
+#: Rounds in which wasteful sequences of the incumbent are filled anew.
+MENDS = 100
 #: Fillings that are tried around one largest document.
 BRANCHES = 8
 #: Split lengths that the lower bound tries; any of them gives a valid bound.
@@ -29,16 +31,14 @@ Packing = list[tuple[tuple[tuple[int, int], ...], int]]
 
 def lower_bound(hist: dict[int, int], cap: int) -> int:
     """Sequences that any packing needs: the total, and Martello and Toth's bound for each split length."""
-    best = -(-sum(n * c for n, c in hist.items()) // cap)
-    splits = sorted(x for x in hist if 2 * x <= cap)
-    for k in [0, *splits[:: len(splits) // SPLITS + 1]]:
-        alone = sum(c for n, c in hist.items() if n > cap - k)
-        half = [(n, c) for n, c in hist.items() if cap - k >= n > cap // 2]
-        small = sum(n * c for n, c in hist.items() if cap // 2 >= n >= max(k, 1))
-        many = sum(c for _, c in half)
-        room = many * cap - sum(n * c for n, c in half)
-        best = max(best, alone + many + max(0, -(-(small - room) // cap)))
-    return best
+    n, c = np.array(sorted(hist.items()), np.int64).reshape(-1, 2).T
+    count, total = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(n * c)])
+    splits = n[2 * n <= cap]
+    k = np.concatenate([[0], splits[:: len(splits) // SPLITS + 1]])
+    mid, high, low = np.searchsorted(n, cap // 2, "right"), np.searchsorted(n, cap - k, "right"), np.searchsorted(n, np.maximum(k, 1))
+    many = count[high] - count[mid]
+    room = many * cap - (total[high] - total[mid])
+    return int(max(-(-total[-1] // cap), (count[-1] - count[high] + many + np.maximum(0, -(-(total[mid] - total[low] - room) // cap))).max()))
 
 
 def best_fit(hist: dict[int, int], cap: int) -> Packing:
@@ -72,6 +72,50 @@ def best_fit(hist: dict[int, int], cap: int) -> Packing:
     return [(f, m) for fillings in open_.values() for f, m in fillings.items()]
 
 
+def mend(hist: dict[int, int], cap: int, packing: Packing, bound: int) -> Packing:
+    """A packing with its wasteful sequences filled anew: their longest documents with two others that leave no waste, the rest by best fit.
+
+    In each round that is done to every kind of sequence with waste but the
+    widest gap, which is the end of a best-fit packing; it ends at the bound or
+    when a round finds nothing to fill.
+    """
+    best, used = packing, sum(m for _, m in packing)
+    left, done = np.zeros(cap + 1, np.int64), []
+    for n, c in hist.items():
+        left[n] = c
+    tail = packing
+    for _ in range(MENDS):
+        gaps = sorted(((cap - sum(n * k for n, k in f), f, m) for f, m in tail), key=lambda g: -g[0] * g[2])
+        last, changed = max((g[0] for g in gaps), default=0), False
+        for gap, f, m in gaps:
+            if not 0 < gap < last:
+                continue
+            (top, k), room = f[0], cap - f[0][0] * f[0][1]
+            while m and left[top] >= k and room > 1:
+                left[top] -= k
+                a = np.arange(1, (room + 1) // 2)  # shorter than half of the room
+                ready = np.minimum(left[a], left[room - a])
+                at = int(ready.argmax()) if len(a) else 0
+                times = int(min(m, ready[at], 1 + left[top] // k)) if len(a) else 0
+                left[top] += k
+                if not times or top in (a[at], room - a[at]):
+                    break
+                pair = (int(room - a[at]), int(a[at]))
+                times = max(1, min(times, -(-int(ready[at]) // 2)))
+                left[top] -= k * times
+                left[list(pair)] -= times
+                done.append((tuple(sorted([(top, k), (pair[0], 1), (pair[1], 1)], reverse=True)), times))
+                m, changed = m - times, True
+        if not changed:
+            break
+        tail = best_fit({int(n): int(left[n]) for n in np.flatnonzero(left)}, cap)
+        if (now := sum(m for _, m in done) + sum(m for _, m in tail)) < used:
+            best, used = [*done, *tail], now
+        if used <= bound:
+            break
+    return best
+
+
 def _put(open_: dict[int, dict[tuple, int]], room: int, filling: tuple, m: int) -> None:
     at = open_.setdefault(room, {})
     at[filling] = at.get(filling, 0) + m
@@ -124,8 +168,8 @@ def fillings(hist: dict[int, int], room: int, most: int) -> list[tuple[int, ...]
 def pack_histogram(hist: dict[int, int], cap: int = CAPACITY, nodes: int = NODES) -> Packing:
     """As few sequences as found for a histogram of lengths (length -> documents).
 
-    Best-fit decreasing is the first incumbent. While it is above the lower
-    bound, branch and bound completes one sequence at a time around the largest
+    Best-fit decreasing, mended where it wastes, is the first incumbent. While it
+    is above the lower bound, branch and bound completes one sequence at a time around the largest
     document that is left, with the undominated fillings, each applied to as
     many sequences as the counts allow, and drops a branch when the waste so far
     leaves no room for an improvement.
@@ -135,6 +179,9 @@ def pack_histogram(hist: dict[int, int], cap: int = CAPACITY, nodes: int = NODES
         return []
     best = best_fit(hist, cap)
     used, bound, total = sum(m for _, m in best), lower_bound(hist, cap), sum(n * c for n, c in hist.items())
+    if used > bound:
+        best = mend(hist, cap, best, bound)
+        used = sum(m for _, m in best)
     stack: list[tuple[dict[int, int], Packing, int, int]] = [(hist, [], 0, 0)]
     while stack and used > bound and nodes:
         left, done, sequences, waste = stack.pop()

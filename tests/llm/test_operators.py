@@ -440,6 +440,20 @@ def test_best_fit_decreasing_is_not_the_last_word():
     assert sum(m for _, m in packing.pack_histogram(hist, 61)) == optimum(sorted([n for n, c in hist.items() for _ in range(c)], reverse=True), 61)
 
 
+def test_wasteful_sequences_are_filled_anew():
+    r = random.Random(566)
+    cap, hist = r.choice([100, 200, 400]), {}
+    for _ in range(r.choice([60, 150, 300])):
+        x = r.randint(cap // 8, cap * 5 // 8)
+        hist[x] = hist.get(x, 0) + r.randint(1, 3)
+    packed, used = packing.pack_histogram(hist, cap), {}
+    for f, m in packed:
+        assert sum(n * k for n, k in f) <= cap
+        for n, k in f:
+            used[n] = used.get(n, 0) + m * k
+    assert used == hist and sum(m for _, m in packed) == packing.lower_bound(hist, cap) == 228
+
+
 def test_packing_is_whole(spark):
     tok = Tokenizer.from_file(PATH)
     src = odd_docs(spark)
