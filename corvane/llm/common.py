@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: whole texts are in one row each, so that batches stay small in bytes.
+#: Rows and bytes per Arrow batch: whole texts are in one row each, so that batches stay small in bytes.
 ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
+_written: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs in one process (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         path = tempfile.mkdtemp(prefix="corvane-")
@@ -46,12 +54,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    weakref.finalize(out, _written.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that nothing reads any more."""
+    for df in tables:
+        path = _written.get(id(df))
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
+    """Keep Arrow batches of whole texts small. Plans read these settings when they run, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """The same batches; after the last one, memory that this worker has freed goes back to the machine."""
+    yield from batches
+    release()
+
+
+def release() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +113,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m")), "low")
-        large = materialize(e.join(low, e.v == low.x).select("u", F.col("m").alias("v")).distinct(), "large")
+        lows = materialize(both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m")), "low")
+        large = materialize(e.join(lows, e.v == lows.x).select("u", F.col("m").alias("v")).distinct(), "large")
         low = materialize(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "low")
         small = large.join(low, large.u == low.x).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(low.select("x", "m")).distinct(), "edges")
+        old, e = e, materialize(small.union(low.select("x", "m")).distinct(), "edges")
+        discard(old, lows, large, low)
         state, before = _state(e), state
         if state == before:
             break
