@@ -1,12 +1,14 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
 Distinct vectors of a label are cut into overlapping shards by their nearest
-centroids. Each shard builds a robust-pruned neighbour graph; the adjacency
-lists of a vector from all its shards are united. Each vector is then searched
-for in its home shard, with what its neighbours elsewhere add: greedily from
-the shard's medoid, and from the first hit on by expanding everything in range.
-An audit then compares each vector with every shard that can hold a partner of
-it, and adds the links that the graph has missed.
+centroids; a shard that is too large for a task is dealt into parts. Each part
+builds a robust-pruned neighbour graph; the adjacency lists of a vector from
+all its parts are united. Each vector is then searched for in its home part,
+with what its neighbours elsewhere add: greedily from the part's medoid, and
+from the first hit on by expanding everything in range. An audit then measures
+what share of all links the graph has found: it compares each vector, in blocks
+of a bounded size, with every shard that can hold a partner of it, and verifies
+and adds what is missing.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, forest, materialize
+from corvane.llm.common import components, discard, forest, materialize
 
 COSINE = 0.93
 #: Vectors per shard that the number of centroids aims at, shards that hold a vector, and the bound of all centroids.
@@ -27,6 +29,9 @@ MAX_CENTROIDS = 4096
 SAMPLE_ROWS = 20_000
 #: Centroids are at least so far apart, so that a tight cluster is never cut by two of them.
 MAX_CENTROID_COSINE = 0.7
+#: Vectors of a part at most, about, where the graph is built; and of a block of the audit.
+PART_ROWS = 1024
+BLOCK_ROWS = 4096
 DEGREE = 32
 CANDIDATES = 96
 ALPHA = 1.2
@@ -49,12 +54,14 @@ def unit(vectors) -> np.ndarray:
 
 
 def centroids(classes: DataFrame) -> dict[tuple, np.ndarray]:
-    """For each (label, dimension): vectors of it far apart from each other, in number by its size; from a bounded sample."""
-    sizes = {(r["label"], r["dim"]): r["count"] for r in classes.groupBy("label", "dim").count().collect()}
+    """For each (label, dimension) of more than SHARD_ROWS vectors, the MAX_CENTROIDS largest: vectors of it far apart from each other, in number by its size; from a bounded sample."""
+    counts = classes.groupBy("label", "dim").count().filter(F.col("count") > SHARD_ROWS)
+    sizes = {(r["label"], r["dim"]): r["count"] for r in counts.orderBy(F.desc("count"), "label", "dim").limit(MAX_CENTROIDS).collect()}
     total = sum(sizes.values())
     share = min(1.0, SAMPLE_ROWS / max(total, 1))
     limit = int(share * (1 << 31))
-    sample = classes.filter(F.pmod(F.hash("cls"), F.lit(2147483647)) <= limit).select("label", "dim", "cls", "vec").orderBy("cls").limit(SAMPLE_ROWS).collect()
+    at_hash = F.pmod(F.xxhash64("label", "vec"), F.lit((1 << 31) - 1))
+    sample = classes.filter(at_hash <= limit).select("label", "dim", at_hash.alias("h"), "vec").orderBy("h", "label", "vec").limit(SAMPLE_ROWS).collect()
     groups: dict[tuple, list] = {}
     for r in sample:
         groups.setdefault((r["label"], r["dim"]), []).append(r["vec"])
@@ -104,7 +111,8 @@ def build(x: np.ndarray) -> list[np.ndarray]:
     for i, row in enumerate(out):
         for j in row:
             back[j].append(i)
-    return [np.array(sorted(a | set(b)), np.int64) for a, b in zip(out, back, strict=True)]
+    lists = [np.array(sorted(a | set(b)), np.int64) for a, b in zip(out, back, strict=True)]
+    return [row if len(row) <= 2 * DEGREE else np.array(sorted(robust_prune(x, i, row, 2 * DEGREE)), np.int64) for i, row in enumerate(lists)]
 
 
 class Searcher:
@@ -163,55 +171,77 @@ def in_reach(x: np.ndarray, c: np.ndarray, home: int, radius: float) -> np.ndarr
     return x @ gap.T <= np.sqrt((gap * gap).sum(1)) * sine + 1e-9
 
 
+def links_between(x: np.ndarray, y: np.ndarray | None, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (a in x, b in y) at a cosine of radius or more; without y all (a, b) and (b, a) within x but (a, a)."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    other = x if y is None else y
+    step = max(1, AUDIT_CELLS // max(len(other), 1))
+    for at in range(0, len(x), step):
+        a, b = np.nonzero(x[at : at + step] @ other.T >= radius)
+        a += at
+        if y is None:
+            a, b = a[a != b], b[a != b]
+        found.append((a, b))
+    a, b = zip(*found)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def near_duplicates(vectors: DataFrame, radius: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept.
+    """One row per vector: vec_id, n_links, component_id, kept, n_found.
 
     Two vectors link if their labels are equal and not null and their cosine in
-    double precision is radius or more; each found pair is verified so, and the
-    audit misses none, so the values are exact. Vectors
-    that are null, zero, or hold null or non-finite components link with nothing,
-    nor do vectors of different lengths or rows with a null id (component_id
-    null, not kept). Equal vectors are one node of the graph and count as links
-    of each other; repeated rows count as often as they occur. Extra columns are
+    double precision is radius or more. n_found is the number of a vector's links
+    that the graph has found, n_links that after the audit, which misses none:
+    sum(n_found) / sum(n_links) is the graph's recall. Vectors that are null,
+    zero, or hold null or non-finite components link with nothing, nor do vectors
+    of different lengths or rows with a null id (component_id null, not kept).
+    Equal vectors are one node of the graph and count as links of each other;
+    repeated rows count as often as they occur. Rows that share a vec_id but not
+    the vector each have the links of their own vector. Extra columns are
     ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
     src = src.withColumn("ok", valid("vec", "label") & F.col("vec_id").isNotNull())
-    classes = materialize(
-        src.filter("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size")).withColumn("dim", F.size("vec")), "classes"
-    )
-    marks = spark.sparkContext.broadcast(list(centroids(classes).items()))  # MAX_CENTROIDS and one per label at most
+    grouped = src.filter("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
+    # the number of a class comes with the row and is fixed once the table is written
+    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cls"), "label", "vec", "first", "size", F.size("vec").alias("dim")), "classes")
+    marks = spark.sparkContext.broadcast(list(centroids(classes).items()))  # MAX_CENTROIDS vectors at most
 
     def assign(it):
         number = {key: k for k, (key, _) in enumerate(marks.value)}
         for pdf in it:
             rows = []
             for (label, dim), g in pdf.groupby(["label", "dim"]):
-                g_no = number[(label, dim)]
-                c = marks.value[g_no][1]
+                g_no = number.get((label, dim))
+                c = marks.value[g_no][1] if g_no is not None else np.zeros((0, dim))
                 x = unit(g["vec"])
                 near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP] if len(c) else np.zeros((len(g), 1), int)
+                name = f"{g_no}" if g_no is not None else f"{label}:{dim}"
                 for place in range(near.shape[1]):
-                    rows.append(pd.DataFrame({"shard": [f"{g_no}/{k}" for k in near[:, place]], "home": place == 0, "cls": g["cls"].to_numpy(), "size": g["size"].to_numpy(), "vec": g["vec"].to_numpy()}))
+                    rows.append(pd.DataFrame({"shard": [f"{name}/{k}" for k in near[:, place]], "home": place == 0, "cls": g["cls"].to_numpy(), "size": g["size"].to_numpy(), "vec": g["vec"].to_numpy()}))
             if rows:
                 yield pd.concat(rows)
 
     vec_type = classes.schema["vec"].dataType.simpleString()
-    member_schema = f"shard string, home boolean, cls bigint, size bigint, vec {vec_type}"
-    members = materialize(classes.mapInPandas(assign, member_schema), "members")
+    assigned = materialize(classes.select("label", "dim", "cls", "size", "vec").mapInPandas(assign, f"shard string, home boolean, cls bigint, size bigint, vec {vec_type}"), "assigned")
+    counts = materialize(assigned.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home")), "counts")
+    dealt = lambda n, rows: F.pmod(F.xxhash64("cls"), F.ceil(F.greatest(F.col(n), F.lit(1)) / rows)).cast("int")
+    members = assigned.join(counts, "shard").select(
+        F.concat_ws("#", "shard", dealt("n", PART_ROWS)).alias("part"), F.concat_ws("#", "shard", dealt("n_home", BLOCK_ROWS)).alias("block"), "home", "cls", "size", "vec"
+    )
+    members = materialize(members, "members")
 
     def adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
         cls = pdf["cls"].to_numpy()
         near = build(unit(pdf["vec"]))
         return pd.DataFrame({"cls": cls, "near": [cls[a] for a in near]})
 
-    lists = members.groupBy("shard").applyInPandas(adjacency, "cls bigint, near array<bigint>")
+    lists = members.groupBy("part").applyInPandas(adjacency, "cls bigint, near array<bigint>")
     united = materialize(lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    inside = members.select("shard", "home", "cls", "size", "vec").join(united, "cls")
-    inside = materialize(inside, "inside")
-    rim = inside.select("shard", F.explode("near").alias("cls")).distinct().join(members.select("shard", "cls"), ["shard", "cls"], "left_anti")
-    rim = rim.join(classes.select("cls", "size", "vec"), "cls").select("shard", F.lit(None).cast("boolean").alias("home"), "cls", "size", "vec", F.lit(None).cast("array<bigint>").alias("near"))
+    inside = materialize(members.select("part", "home", "cls", "size", "vec").join(united, "cls"), "inside")
+    rim = inside.select("part", F.explode("near").alias("cls")).distinct().join(members.select("part", "cls"), ["part", "cls"], "left_anti")
+    rim = rim.join(classes.select("cls", "size", "vec"), "cls").select("part", F.lit(None).cast("boolean").alias("home"), "cls", "size", "vec", F.lit(None).cast("array<bigint>").alias("near"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pd.concat([pdf[pdf["home"].notna()], pdf[pdf["home"].isna()]])
@@ -223,59 +253,95 @@ def near_duplicates(vectors: DataFrame, radius: float = COSINE, id_col: str = "v
         root, rows = np.arange(len(x)), []
         for i in np.flatnonzero(home == True):  # noqa: E712  null is neither
             hits = searcher.search(int(i))
-            rows.append((cls[i], int(size[hits].sum() + size[i] - 1)))
-            if (root[hits] != root[i]).any():
-                root = forest(np.full(len(hits), root[i]), root[hits], len(root))[root]
-        found = pd.DataFrame(rows, columns=["cls", "n_links"]).assign(other=None)
-        far = np.flatnonzero(root != np.arange(len(x)))
-        edges = pd.DataFrame({"cls": cls[far], "n_links": None, "other": cls[root[far]]})
-        return pd.concat([found, edges]).astype({"cls": "int64", "n_links": "Int64", "other": "Int64"})
-
-    searched = inside.select("shard", "home", "cls", "size", "vec", "near").unionByName(rim).groupBy("shard").applyInPandas(search, "cls bigint, n_links bigint, other bigint")
+            if len(hits):
+                rows.append((cls[i], int(size[hits].sum())))
+                if (root[hits] != root[i]).any():
+                    root = forest(np.full(len(hits), root[i]), root[hits], len(root))[root]
+        return _found(rows, cls, root)
+
+    links = "cls bigint, n bigint, other bigint"
+    searched = inside.select("part", "home", "cls", "size", "vec", "near").unionByName(rim).groupBy("part").applyInPandas(search, links)
     searched = materialize(searched, "searched")
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A shard's home vectors as one row for itself, and for each later shard those that can have a partner there."""
-        g_no, k = map(int, pdf["shard"].iloc[0].split("/"))
-        c, x = marks.value[g_no][1], unit(pdf["vec"])
-        cls, size = pdf["cls"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
-        goes = in_reach(x, c, k, radius) if len(c) else np.ones((len(x), 1), bool)
-        goes[:, k] = True
-        rows = [(f"{g_no}/{j}", j == k, cls[m].tobytes(), size[m].tobytes(), x[m].tobytes()) for j, m in enumerate(goes.T) if j >= k and m.any()]
-        return pd.DataFrame(rows, columns=["shard", "own", "cls", "size", "vec"])
-
-    def audit(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links of a shard's home vectors with each other and with those sent there: a count for each vector that has some, and a spanning forest."""
-        sent = [(np.frombuffer(r.cls, np.int64), np.frombuffer(r.size, np.int64), np.frombuffer(r.vec).reshape(len(r.cls) // 8, -1)) for r in pdf.sort_values("own", ascending=False).itertuples()]
-        if not pdf["own"].any():  # no vector has its home here
-            return pd.DataFrame({"cls": [], "n_links": [], "other": []}).astype({"cls": "int64", "n_links": "Int64", "other": "Int64"})
-        cls, size = np.concatenate([c for c, _, _ in sent]), np.concatenate([n for _, n, _ in sent])
-        own, first = sent[0][2], 0
-        count, root = np.zeros(len(cls), np.int64), np.arange(len(cls))
-        for k, (_, _, x) in enumerate(sent):
-            step = max(1, AUDIT_CELLS // len(own))
-            for at in range(0, len(x), step):
-                a, b = np.nonzero(x[at : at + step] @ own.T >= radius)
-                a += first + at
-                a, b = a[a != b], b[a != b]
-                np.add.at(count, a, size[b])
-                if k:
-                    np.add.at(count, b, size[a])
-                if (root[a] != root[b]).any():
-                    root = forest(root[a], root[b], len(root))[root]
-            first += len(x)
-        some, far = np.flatnonzero(count), np.flatnonzero(root != np.arange(len(cls)))
-        found = pd.DataFrame({"cls": cls[some], "n_links": count[some], "other": None})
-        edges = pd.DataFrame({"cls": cls[far], "n_links": None, "other": cls[root[far]]})
-        return pd.concat([found, edges]).astype({"cls": "int64", "n_links": "Int64", "other": "Int64"})
-
-    sent = members.filter("home").groupBy("shard").applyInPandas(send, "shard string, own boolean, cls binary, size binary, vec binary")
-    audited = materialize(sent.groupBy("shard").applyInPandas(audit, "cls bigint, n_links bigint, other bigint"), "audited")
+    discard(assigned, united, inside)
+
+    # blocks of home vectors, each a row of at most a few MB
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["block"].iloc[0], pdf["cls"].to_numpy(np.int64).tobytes(), pdf["size"].to_numpy(np.int64).tobytes(), unit(pdf["vec"]).tobytes())], columns=["block", "cls", "size", "vec"])
+
+    blob = "cls binary, size binary, vec binary"
+    blocks = materialize(members.filter("home").groupBy("block").applyInPandas(pack, f"block string, {blob}"), "blocks")
+    many = {r["shard"]: r["n"] for r in counts.filter("n_home > 0 AND shard NOT LIKE '%:%'").select("shard", F.ceil(F.col("n_home") / BLOCK_ROWS).cast("int").alias("n")).collect()}  # one row per centroid
+    many = spark.sparkContext.broadcast(many)
+
+    def send(it):
+        """Of each block a row for each later block that can hold partners, with the vectors that can have some there; block and block alone for its own."""
+        for pdf in it:
+            for r in pdf.itertuples():
+                shard, _, p = r.block.rpartition("#")
+                name, _, k = shard.rpartition("/")
+                cls, size, x = np.frombuffer(r.cls, np.int64), np.frombuffer(r.size, np.int64), np.frombuffer(r.vec).reshape(len(r.cls) // 8, -1)
+                rows = []
+                if ":" in name:  # without centroids: all blocks of the shard, named by numbers from 0
+                    rows += [(f"{shard}#{q}", cls.tobytes(), size.tobytes(), x.tobytes()) for q in range(int(p))]
+                else:
+                    c, k = marks.value[int(name)][1], int(k)
+                    goes = in_reach(x, c, k, radius) if len(c) else np.ones((len(x), 1), bool)
+                    goes[:, k] = True
+                    for j in np.flatnonzero(goes.any(0)):
+                        m = goes[:, j]
+                        for q in range(many.value.get(f"{name}/{j}", 0)) if j > k else range(int(p)) if j == k else ():
+                            rows.append((f"{name}/{j}#{q}", cls[m].tobytes(), size[m].tobytes(), x[m].tobytes()))
+                for row in rows:
+                    yield pd.DataFrame([row], columns=["block", "cls2", "size2", "vec2"])
+
+    sent = blocks.mapInPandas(send, "block string, cls2 binary, size2 binary, vec2 binary")
+
+    def audit(it):
+        """Links of a block's vectors with those sent there, or with each other: counts, and a spanning forest."""
+        for pdf in it:
+            for r in pdf.itertuples():
+                cls, size, x = np.frombuffer(r.cls, np.int64), np.frombuffer(r.size, np.int64), np.frombuffer(r.vec).reshape(len(r.cls) // 8, -1)
+                if r.cls2 is None:
+                    a, b = links_between(x, None, radius)
+                    count = np.bincount(a, size[b], len(cls)).astype(np.int64)
+                else:
+                    n = len(cls)
+                    a, b = links_between(x, np.frombuffer(r.vec2).reshape(len(r.cls2) // 8, -1), radius)
+                    b = b + n
+                    cls, size = np.concatenate([cls, np.frombuffer(r.cls2, np.int64)]), np.concatenate([size, np.frombuffer(r.size2, np.int64)])
+                    count = (np.bincount(a, size[b], len(cls)) + np.bincount(b, size[a], len(cls))).astype(np.int64)
+                some = np.flatnonzero(count)
+                if len(some):
+                    yield _found(list(zip(cls[some], count[some])), cls, forest(a, b, len(cls)))
+
+    none = F.lit(None).cast("binary")
+    own = blocks.select("cls", "size", "vec", none.alias("cls2"), none.alias("size2"), none.alias("vec2"))
+    met = blocks.join(sent, "block").select("cls", "size", "vec", "cls2", "size2", "vec2")
+    audited = materialize(own.union(met).mapInPandas(audit, links), "audited")
+
     edges = searched.unionByName(audited).filter("other is not null")
-    comps = components(edges.select(F.col("cls").alias("a"), F.col("other").alias("b")))
-    exact = audited.filter("other is null").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
-    counts = classes.select("cls", "size").join(exact, "cls", "left").select("cls", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    named = counts.join(comps, counts.cls == comps.id, "left").select("cls", "n_links", F.coalesce("comp", "cls").alias("component_id"))
-    keyed = materialize(classes.select("label", "vec", "cls").join(named, "cls").drop("cls"), "named")
-    linked = src.filter("ok").join(keyed, ["label", "vec"]).select("vec_id", "n_links", "component_id")
-    alone = src.filter(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    comps = materialize(components(edges.select(F.col("cls").alias("a"), F.col("other").alias("b"))), "comps")
+    found = searched.filter("other is null").groupBy("cls").agg(F.sum("n").alias("found"))
+    exact = audited.filter("other is null").groupBy("cls").agg(F.sum("n").alias("exact"))
+    named = classes.select("cls", "label", "vec", "first", "size").join(found, "cls", "left").join(exact, "cls", "left").join(comps, F.col("cls") == F.col("id"), "left")
+    named = materialize(named.select("label", "vec", "first", "size", "found", "exact", F.coalesce("comp", "cls").alias("comp")), "named")
+    firsts = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    twins = F.col("size") - 1
+    keyed = named.join(firsts, "comp").select(
+        "label", "vec", (F.coalesce("exact", F.lit(0)) + twins).alias("n_links"), (F.coalesce("found", F.lit(0)) + twins).alias("n_found"), "component_id"
+    )
+    keyed = materialize(keyed, "keyed")
+    discard(classes, members, blocks, searched, audited, comps, named)
+    linked = src.filter("ok").join(keyed, ["label", "vec"]).select("vec_id", "n_links", "component_id", "n_found")
+    nothing = F.lit(0).cast("long")
+    alone = src.filter(~F.col("ok")).select("vec_id", nothing.alias("n_links"), F.col("vec_id").alias("component_id"), nothing.alias("n_found"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", kept, "n_found")
+
+
+def _found(rows: list, cls: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    """Counts (cls, n) and the edges of a spanning forest as one table (cls, n, other)."""
+    far = np.flatnonzero(root != np.arange(len(root)))
+    counts = pd.DataFrame(rows, columns=["cls", "n"]).assign(other=None)
+    edges = pd.DataFrame({"cls": cls[far], "n": None, "other": cls[root[far]]})
+    return pd.concat([counts, edges]).astype({"cls": "int64", "n": "Int64", "other": "Int64"})
