@@ -50,10 +50,11 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip stream of any number of members, in blocks; each byte is inflated once."""
+    """The bytes of a gzip stream of any number of members, in blocks; each byte is inflated once. A stream that ends before its last member's checksum and length is an error."""
     z = zlib.decompressobj(31)
-    data = stream.read(BLOCK)
+    data, begun = stream.read(BLOCK), False
     while data:
+        begun = True
         out = z.decompress(data, 4 * BLOCK)
         if out:
             yield out
@@ -63,7 +64,9 @@ def inflated(stream) -> Iterator[bytes]:
                 z = zlib.decompressobj(31)
         else:
             data = z.unconsumed_tail or stream.read(BLOCK)
-    if not z.eof and z.decompress(b"", 1):
+    while begun and not z.eof and (out := z.decompress(b"", 4 * BLOCK)):
+        yield out
+    if begun and not z.eof:
         raise ValueError("gzip stream ends within a member")
 
 
