@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, forest, materialize
+from corvane.llm.common import components, discard, forest, materialize, tidy
 
 WORDS = 3
 MAX_BITS = 2
-#: Fingerprints in one shard of the index; the number of shards follows from it.
+#: Fingerprints in one shard of the index; the number of shards follows from it, up to MAX_SHARDS, beyond which shards grow.
 SHARD_ROWS = 20_000
-MIN_SHARDS = 32
+MIN_SHARDS, MAX_SHARDS = 32, 1 << 16
 FANOUT = 16
 QUERY_BLOCK = 8192
 
@@ -50,14 +50,18 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, fp long) for each row of docs."""
+    return _tagged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("tag")), words).drop("tag")
+
+
+def _tagged(src: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, tag) of rows (doc_id, text, tag)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fp = [fingerprint(t, words) for t in b.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), b.column(2)], ["doc_id", "fp", "tag"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, f"doc_id {kind}, fp bigint")
+    return src.mapInArrow(lambda it: tidy(batches(it)), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint, tag bigint")
 
 
 def gray_rank(fp: F.Column | str) -> F.Column:
@@ -76,9 +80,10 @@ class GrayIndex:
     add up on the way down; a node over the limit drops its whole group.
     """
 
-    def __init__(self, fps: np.ndarray, fanout: int = FANOUT):
+    def __init__(self, ones: np.ndarray, zeros: np.ndarray | None = None, fanout: int = FANOUT):
+        """Over fingerprints; or over groups, by the bits that are 1 (ones) and those that are 0 (zeros) in a whole group."""
         self.fanout = fanout
-        ones, zeros = fps, ~fps  # bits that are 1, or 0, in all below
+        zeros = ~ones if zeros is None else zeros
         levels = [(ones, zeros)]
         while len(ones) > 1:
             cuts = np.arange(0, len(ones), fanout)
@@ -93,7 +98,7 @@ class GrayIndex:
             above = shared
 
     def search(self, queries: np.ndarray, most: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query index, fingerprint index) at `most` or fewer differing bits, in blocks."""
+        """Pairs (query index, leaf index) at `most` or fewer differing bits, in blocks; of groups, those that can hold such a fingerprint."""
         for at in range(0, len(queries), QUERY_BLOCK):
             q = queries[at : at + QUERY_BLOCK]
             qi, node, acc = np.arange(len(q)), np.zeros(len(q), np.int64), np.zeros(len(q), np.uint8)
@@ -112,45 +117,39 @@ class GrayIndex:
 def near_edges(classes: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """Edges (a, b) that span the links of distinct fingerprints (column fp).
 
-    Fingerprints are cut into shards of near-equal size by Gray rank. A shard's
-    root shares a bit pattern, so a fingerprint visits only those later shards
-    whose root is within `most` bits. A shard's task returns a spanning forest
-    of what it found, not its pairs.
+    Fingerprints are cut into shards of near-equal size by Gray rank. The
+    shards' roots, two numbers each, are the leaves of an index of their own:
+    a fingerprint goes down from its top and visits the later shards that are
+    left, so whole runs of shards are pruned at once. A shard's task returns a
+    spanning forest of what it found, not its pairs.
     """
     spark = classes.sparkSession
     ranked = classes.select("fp", gray_rank("fp").alias("rank"))
     n = ranked.count()
-    shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
+    shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-n // SHARD_ROWS)))
     cuts = sorted(set(ranked.select(F.percentile_approx("rank", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or []))
-    bounds = np.array(cuts, np.int64)
+    bounds = spark.sparkContext.broadcast(np.array(cuts, np.int64))
 
     def homes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            home = np.searchsorted(bounds, b.column(1).to_numpy(), side="left")
+            home = np.searchsorted(bounds.value, b.column(1).to_numpy(), side="left")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(home, pa.int32())], ["fp", "home"])
 
     homed = ranked.mapInArrow(homes, "fp bigint, home int")
-    # one row per shard: its root
-    roots = homed.groupBy("home").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).collect()
-    at = np.array([r["home"] for r in roots], np.int32)
-    ones = np.array([r["ones"] for r in roots], np.int64).view(np.uint64)
-    zeros = np.array([r["zeros"] for r in roots], np.int64).view(np.uint64)
+    # one row per shard, MAX_SHARDS at most: its root
+    roots = sorted(homed.groupBy("home").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).collect())
+    upper = spark.sparkContext.broadcast(np.array(roots, np.int64).reshape(-1, 3))
 
     def visits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ones, zeros = np.ascontiguousarray(upper.value.T)
+        top = GrayIndex(ones.view(np.uint64), zeros.view(np.uint64))
         for b in it:
-            fp = b.column(0).to_numpy()
-            home = b.column(1).to_numpy()
-            u = fp.view(np.uint64)
-            out_fp, out_shard, out_own = [fp], [home], [np.ones(len(fp), bool)]
-            for k in range(len(at)):
-                go = (home < at[k]) & (np.bitwise_count((u ^ ones[k]) & (ones[k] | zeros[k])) <= most)
-                out_fp.append(fp[go])
-                out_shard.append(np.full(go.sum(), at[k], np.int32))
-                out_own.append(np.zeros(go.sum(), bool))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_fp)), pa.array(np.concatenate(out_shard).astype(np.int32)), pa.array(np.concatenate(out_own))],
-                ["fp", "shard", "own"],
-            )
+            fp, home = b.column(0).to_numpy(), b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(home, pa.int32()), pa.array(np.ones(len(fp), bool))], ["fp", "shard", "own"])
+            for qi, node in top.search(fp.view(np.uint64), most):
+                later = home[qi] < at[node]
+                qi, to = qi[later], at[node[later]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[qi]), pa.array(to, pa.int32()), pa.array(np.zeros(len(qi), bool))], ["fp", "shard", "own"])
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy().view(np.uint64)
@@ -174,6 +173,18 @@ def near_edges(classes: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return homed.mapInArrow(visits, "fp bigint, shard int, own boolean").groupBy("shard").applyInPandas(shard, "a bigint, b bigint")
 
 
+def _named(fps: DataFrame, most: int) -> DataFrame:
+    """(fp, comp: a number of its component, component_id: the smallest doc_id in it) of each distinct fingerprint of fps (doc_id, fp)."""
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    comps = materialize(components(near_edges(classes, most)), "comps")
+    named = classes.join(comps, classes.fp == comps.id, "left").select("fp", "first_id", F.coalesce("comp", "fp").alias("comp"))
+    named = materialize(named, "named")
+    first = materialize(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "first")
+    labels = materialize(named.join(first, "comp").select("fp", "comp", "component_id"), "labels")
+    discard(classes, comps, named, first)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), kept.
 
@@ -184,15 +195,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each get a row. Extra columns are ignored; an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, words), "fps")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    comps = materialize(components(near_edges(classes, most)), "comps")
-    named = classes.join(comps, classes.fp == comps.id, "left").select("fp", "first_id", F.coalesce("comp", "fp").alias("comp"))
-    named = materialize(named, "named")
-    first = materialize(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "first")
-    labels = materialize(named.join(first, "comp").select("fp", "component_id"), "labels")
+    labels = _named(fps, most)
     return fps.join(labels, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = MAX_BITS) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays, with all its columns.
+
+    Of different texts under that doc_id the one with the smallest hash stays,
+    and of rows that repeat both one row. Rows that share a doc_id but not a
+    component stay apart. Rows with a null doc_id always stay. Null texts are
+    empty texts. Columns that hold a working name are not touched.
+    """
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), tag.alias("tag"))
+    fps = materialize(_tagged(src, words), "fps")
+    found = fps.join(_named(fps, most), "fp").filter("doc_id = component_id")
+    copies = found.groupBy("comp", "doc_id", "tag").agg(F.count("*").alias("n"))
+    chosen = copies.groupBy("comp", "doc_id").agg(F.min("tag").alias("tag")).join(copies, ["comp", "doc_id", "tag"])
+    # two components may choose equal keys only where hashes of two texts of one doc_id collide
+    kept = materialize(chosen.groupBy(F.col("doc_id").alias("__kept_id"), F.col("tag").alias("__kept_tag")).agg(F.max("n").alias("__n")), "kept")
+    on = (F.col(id_col) == F.col("__kept_id")) & (tag == F.col("__kept_tag"))
+    single = docs.join(kept.filter("__n = 1"), on, "left_semi")
+    several = docs.join(kept.filter("__n > 1"), on, "left_semi").dropDuplicates([id_col, text_col])
+    return single.unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))
