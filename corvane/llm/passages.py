@@ -11,10 +11,11 @@ from functools import cache, lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from corvane.llm.common import materialize
+from corvane.llm.common import discard, materialize, tidy
 
 #: Units with fewer words stay by themselves: short lines and sentences are common in clean text.
 MIN_LINE_WORDS = 5
@@ -144,24 +145,38 @@ def units(text: str) -> Iterator[tuple[bytes, int, int]]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, start, stop) of each unit of docs (doc_id, text)."""
+    """(digest, doc_id, tag, start, stop) of each unit of docs (doc_id, tag, text)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, digests, starts, stops = [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            for i, t in enumerate(b.column(2).to_pylist()):
                 for d, start, stop in units(t or ""):
                     ids.append(i)
                     digests.append(d)
                     starts.append(start)
                     stops.append(stop)
+            at = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), b.column(0).take(pa.array(ids, pa.int64())), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
-                ["digest", "doc_id", "start", "stop"],
+                [pa.array(digests, pa.binary()), b.column(0).take(at), b.column(1).take(at), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
+                ["digest", "doc_id", "tag", "start", "stop"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(batches, f"digest binary, doc_id {kind}, start int, stop int")
+    return docs.mapInArrow(lambda it: tidy(batches(it)), f"digest binary, doc_id {kind}, tag bigint, start int, stop int")
+
+
+def place(found: DataFrame) -> Column:
+    """The rank of an occurrence: by doc_id, then the text's hash, then the offset.
+
+    As one decimal for ids of up to 64 bits, since a minimum of that is hashed
+    and not sorted; the text's hash has eight digits there, which only orders
+    different texts under one id.
+    """
+    if isinstance(found.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        tag = F.pmod("tag", F.lit(10**8)).cast("decimal(8,0)")
+        return (F.col("doc_id").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") + tag * F.lit(10**10).cast("decimal(11,0)") + F.col("start")
+    return F.struct("doc_id", "tag", "start")
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -195,19 +210,22 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     and the others go; offsets are of the original text, in characters. Rows
     with a null id or text are kept as they are and are no occurrence. Rows with
     an equal doc_id and text are one document: each keeps what that document
-    keeps. An existing column removed_spans is replaced.
+    keeps. Different texts under one doc_id are different documents, in the order
+    of a hash of the text. An existing column removed_spans is replaced.
 
     Digests are grouped with a minimum that is combined before its shuffle. Only
     the repeated ones meet the occurrences again, and both sides of that join are
     read from written tables, so adaptive execution can split a line that a third
     of the documents have.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna()
-    found = materialize(occurrences(src), "units")
-    firsts = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text")).dropna()
+    found = occurrences(src)
+    found = materialize(found.withColumn("place", place(found)), "units")
+    firsts = found.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     repeated = materialize(firsts.filter("n > 1").select("digest", "first"), "repeated")
-    later = found.join(repeated, "digest").filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "stop")
-    spans = materialize(later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    later = found.join(repeated, "digest").filter("place <> first").select("doc_id", "tag", "start", "stop")
+    spans = materialize(later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    discard(found, repeated)
 
     @F.pandas_udf("text string, spans array<struct<start:int,stop:int>>")
     def apply(texts, spans):
@@ -219,6 +237,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             rows.append((cut(t, got) if got else t, [{"start": a, "stop": b} for a, b in got]))
         return pd.DataFrame(rows, columns=["text", "spans"])
 
-    named = spans.select(F.col("doc_id").alias("__span_doc"), F.col("spans").alias("__spans"))
-    joined = docs.drop("removed_spans").join(named, F.col(id_col) == F.col("__span_doc"), "left").withColumn("__cut", apply(F.col(text_col), F.col("__spans")))
-    return joined.withColumn(text_col, F.col("__cut.text")).withColumn("removed_spans", F.col("__cut.spans")).drop("__span_doc", "__spans", "__cut")
+    named = spans.select(F.col("doc_id").alias("__span_doc"), F.col("tag").alias("__span_tag"), F.col("spans").alias("__spans"))
+    on = (F.col(id_col) == F.col("__span_doc")) & (F.xxhash64(text_col) == F.col("__span_tag"))
+    joined = docs.drop("removed_spans").join(named, on, "left").withColumn("__cut", apply(F.col(text_col), F.col("__spans")))
+    return joined.withColumn(text_col, F.col("__cut.text")).withColumn("removed_spans", F.col("__cut.spans")).drop("__span_doc", "__span_tag", "__spans", "__cut")
