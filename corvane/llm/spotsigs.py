@@ -1,7 +1,8 @@
 """SpotSigs document fingerprints, with DataFrame functions only.
 
-A spot is an occurrence of a very common word (the anchor); its signature is
-the chain of content words that follow, with further anchors skipped. A text's
+A spot is an occurrence of a very common word (the anchor), or a content word
+that begins with one of a few characters; its signature is the chain of content
+words that follow, with further anchors skipped. A text's
 fingerprint is the set of its signatures. Texts whose sets differ too much in
 size can't be alike, so the similarity join works within partitions of set
 size, on each set's rarest signatures, and verifies by Jaccard.
@@ -26,8 +27,8 @@ ANCHORS = (
 ).split()
 #: Content words in a chain.
 CHAIN = 3
-#: A text with fewer spots than one in so many words takes each word for a spot.
-SPARSE = 20
+#: First characters of content words that are spots by themselves, so that texts in other languages and lists of words have spots too.
+OWN_SPOT = "[^a-z# ]|[emr]"
 SIMILARITY = 0.8
 #: Documents in one bucket of the order by id, and the most buckets whose bounds the driver holds.
 BUCKET_ROWS = 2000
@@ -52,23 +53,18 @@ def plain(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def chains(marked: Column, mark: str, chain: int) -> Column:
-    return F.regexp_extract_all(marked, F.lit(mark + r"(?=([^ ]+(?: [^ ]+){0," + str(chain - 1) + "}))"), F.lit(1))
-
-
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """Distinct 32-bit hashes of a text's spot signatures, ascending.
 
-    The start of a text counts as an anchor; chains are shorter at its end.
-    Where spots are rarer than one in SPARSE words, in a language without these
-    anchors or among anchors only, each word begins a chain. Null and wordless
-    texts have none.
+    A spot is the start of the text, a run of anchors, or a content word that
+    begins with a character of OWN_SPOT; it is signed by the `chain` content
+    words that follow it (of its own, that begin with it), fewer at the end.
+    Null and wordless texts have none.
     """
-    words = plain(text)
-    spots = chains(F.regexp_replace(words, rf"^ {_RUN}*+| {_RUN}++", " #"), "#", chain)
-    spaces = F.length(words) - F.length(F.replace(words, F.lit(" ")))
-    some = F.when(F.size(spots) * SPARSE >= spaces - 1, spots).otherwise(chains(words, " ", chain))
-    return F.array_sort(F.array_distinct(F.transform(some, lambda s: F.hash(F.translate(s, "#", "")))))
+    marked = F.regexp_replace(plain(text), rf"^ {_RUN}*+| {_RUN}++", " #")
+    spot = rf"(?:#|(?<= )(?={OWN_SPOT}))(?=([^ ]+(?: [^ ]+){{0,{chain - 1}}}))"
+    spots = F.regexp_extract_all(marked, F.lit(spot), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(spots, lambda s: F.hash(F.translate(s, "#", "")))))
 
 
 def as_text(sigs: Column) -> Column:
