@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-BINS = 1 << 15
+#: n-grams are told apart by a hash of so many bits.
+BITS = 20
 #: Bounds of the sample that is learned from, and of the landmarks.
 TRAIN_ROWS = 3000
 LANDMARKS = 120
@@ -44,7 +45,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(text: str | None) -> np.ndarray | None:
-    """Bins of the n-grams that a whole text has, ascending; None if it is null or has no letter."""
+    """Hashes of the n-grams that a whole text has, ascending; None if it is null or has no letter."""
     if not text:
         return None
     lower, letter = _tables()
@@ -52,35 +53,53 @@ def grams(text: str | None) -> np.ndarray | None:
     is_letter = letter[codes]
     if not is_letter.any():
         return None
-    c = np.where(is_letter, lower[codes], np.uint32(32))
+    c = np.pad(np.where(is_letter, lower[codes], np.uint32(32)), 1, constant_values=32)
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
-    c = np.concatenate([np.array([32], np.uint32), c[keep], np.array([32], np.uint32)])
-    seen = np.zeros(BINS, bool)
+    c = c[keep]
+    shift = np.uint32(32 - BITS)
     h = c * np.uint32(2654435761)
-    seen[h >> 17] = True
+    found = [(h >> np.uint32(11)) * np.uint32(3266489917) >> shift]
     h = (h ^ (h >> 15))[:-1] * np.uint32(2246822519) + c[1:] * np.uint32(3266489917)
-    seen[(h ^ (h >> 13)) * np.uint32(668265263) >> 17] = True
+    found.append((h ^ (h >> 13)) * np.uint32(668265263) >> shift)
     if len(c) > 2:
         h = (h ^ (h >> 15))[:-1] * np.uint32(374761393) + c[2:] * np.uint32(2654435761)
-        seen[(h ^ (h >> 13)) * np.uint32(2246822519) >> 17] = True
-    return np.flatnonzero(seen)
+        found.append((h ^ (h >> 13)) * np.uint32(2246822519) >> shift)
+    every = np.concatenate(found)
+    if len(every) < 1 << 16:
+        return np.unique(every)
+    seen = np.zeros(1 << BITS, bool)
+    seen[every] = True
+    return np.flatnonzero(seen).astype(np.uint32)
 
 
 @dataclass
 class Model:
-    """langs: the learned values; columns: bins that landmarks have; landmarks: their presence over sqrt of their size; weights: landmark kernels to scores."""
+    """langs: the learned values; columns: hashes that landmarks have; landmarks: their presence over sqrt of their size; weights: landmark kernels to scores."""
 
     langs: list[str]
     columns: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
+    _places: np.ndarray | None = None
 
     def kernels(self, sets: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(sets), BINS), np.float32)
+        place = self.places()
+        x = np.zeros((len(sets), len(self.columns)), np.float32)
         for row, s in zip(x, sets, strict=True):
-            row[s] = 1 / np.sqrt(len(s))
-        return x[:, self.columns] @ self.landmarks
+            at = place[s]
+            row[at[at >= 0]] = 1 / np.sqrt(len(s))
+        return x @ self.landmarks
+
+    def places(self) -> np.ndarray:
+        """For each hash its column, or -1."""
+        if self._places is None:
+            self._places = np.full(1 << BITS, -1, np.int32)
+            self._places[self.columns] = np.arange(len(self.columns), dtype=np.int32)
+        return self._places
+
+    def __getstate__(self):
+        return self.__dict__ | {"_places": None}
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -104,10 +123,10 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, r
     each = max(1, landmarks // len(langs))
     chosen = [i for lang in langs for i in [j for j, x in enumerate(labels) if x == lang][:each]]
     columns = np.unique(np.concatenate([sets[i] for i in chosen]))
-    marks = np.zeros((BINS, len(chosen)), np.float32)
+    marks = np.zeros((len(columns), len(chosen)), np.float32)
     for k, i in enumerate(chosen):
-        marks[sets[i], k] = 1 / np.sqrt(len(sets[i]))
-    model = Model(langs, columns, marks[columns], np.zeros((len(chosen), len(langs)), np.float32))
+        marks[np.searchsorted(columns, sets[i]), k] = 1 / np.sqrt(len(sets[i]))
+    model = Model(langs, columns, marks, np.zeros((len(chosen), len(langs)), np.float32))
     between = model.kernels([sets[i] for i in chosen]).astype(np.float64)
     value, vector = np.linalg.eigh((between + between.T) / 2)
     value, vector = value[value > 1e-6 * value.max()], vector[:, value > 1e-6 * value.max()]
@@ -127,20 +146,20 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Fit on `rows` documents at most, of those with an id, a text and a language that are not held out, in the order of a hash of the id.
 
-    Executors turn texts into n-gram bins; the driver gets those only.
+    Executors turn texts into hashes of their n-grams; the driver gets those only.
     """
 
     def bins(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             got = [(g, lang) for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (g := grams(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([g.astype("<u2").tobytes() for g, _ in got], pa.binary()), pa.array([x for _, x in got], pa.string())], ["grams", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array([g.astype("<u4").tobytes() for g, _ in got], pa.binary()), pa.array([x for _, x in got], pa.string())], ["grams", "lang"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna().filter(~held_out("doc_id"))
     ids = src.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows)
     last = ids.agg(F.max("h")).first()[0]
     sample = src.filter(F.xxhash64("doc_id") <= (last if last is not None else 0)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
     got = sample.select("text", "lang").mapInArrow(bins, "grams binary, lang string").collect()
-    return fit([np.frombuffer(r["grams"], "<u2").astype(np.int64) for r in got], [r["lang"] for r in got])
+    return fit([np.frombuffer(r["grams"], "<u4") for r in got], [r["lang"] for r in got])
 
 
 def predictor(model: Model, spark):
