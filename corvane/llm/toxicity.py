@@ -168,9 +168,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     known = labels.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("labelled").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("labelled")
-    known = known.orderBy(order, "labelled").limit(rows)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = src.join(known, src.doc_id == known.labelled).filter("text is not null").select(order.alias("h"), "toxic", "text")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    # of the labelled ids that are documents with a text, the first `rows` by their hash
+    there = known.join(src.select("doc_id"), F.col("labelled") == F.col("doc_id"), "left_semi")
+    known = materialize(there.orderBy(order, "labelled").limit(rows), "known")
+    sample = src.join(known, src.doc_id == known.labelled).select(order.alias("h"), "toxic", "text")
     bags = materialize(sample.mapInArrow(bagged, "h bigint, toxic int, bag array<string>"), "bags")
     has = lambda words: F.arrays_overlap("bag", F.array(*map(F.lit, sorted(words)))).cast("int") * F.col("toxic")
     bags = bags.withColumn("insult", has(INSULT)).withColumn("degrading", has(DEGRADING))
