@@ -40,7 +40,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label with its id; quality 0 is bad."""
     outcomes = table(spark, sf_dir, "labels").selectExpr("doc_id AS page_id", "CASE quality WHEN 0 THEN 1 WHEN 1 THEN 0 END AS bad")
-    return urlrep.judge(table(spark, sf_dir, "pages"), outcomes).drop("bad_bound")
+    return urlrep.judge(table(spark, sf_dir, "pages"), outcomes).drop("bad_chance")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,13 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Public suffixes of two labels that are known here; any other suffix is the last label.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
-#: Standard deviations below the posterior mean, and the share of bad pages above which a host is blocked.
-Z = 1.645
+#: A public suffix is the last label; before a country's (two letters) it includes a label of this list.
+GENERIC = "ac co com edu gen go gob gouv gov gv id info int ltd me mil mod muni ne net nhs nic nom or org plc police sch web".split()
+_TWO = r"^(" + "|".join(GENERIC) + r")\.[a-z][a-z]$"
+#: A host is blocked if the share of bad pages is above MAX_BAD with this probability; the posterior is summed at so many places.
+SURE = 0.95
 MAX_BAD = 0.5
+PLACES = 512
 MIN_STRENGTH, MAX_STRENGTH = 1, 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,12 +48,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def domain_of(host: Column) -> Column:
     """Registered domain: the suffix and one label more; the host itself if it has no more labels."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.rlike(_TWO), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def suffix_of(host: Column) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.rlike(_TWO), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def strength(groups: DataFrame, rate: float) -> int:
@@ -82,20 +84,27 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def lower_bound() -> Column:
-    """Lower bound of the posterior share of bad pages: mean less Z standard deviations."""
+def bad_chance(limit: float = MAX_BAD) -> Column:
+    """The posterior's probability that the share of bad pages is above limit, from the density of Beta(alpha, beta) at PLACES midpoints.
+
+    Densities are relative to that at the mean, which keeps them in range.
+    """
     a, b = F.col("alpha"), F.col("beta")
-    return F.greatest(F.lit(0.0), a / (a + b) - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
+    mean = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), a / (a + b)))
+    places = F.array(*[F.lit((k + 0.5) / PLACES) for k in range(PLACES)])
+    density = lambda x: F.exp((a - 1) * (F.ln(x) - F.ln(mean)) + (b - 1) * (F.ln(1 - x) - F.ln(1 - mean)))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + density(x))
+    return total(F.filter(places, lambda x: x > limit)) / total(places)
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict (allow or block), bad_bound.
+    """One row per page: page_id, host, path, rule, verdict (allow or block), bad_chance.
 
     outcomes has (page_id, bad 0 or 1) of labelled pages; rows with a null in
     either are no outcomes, and a page labelled more than once counts each time.
-    Without a fitting rule a page is blocked if the lower bound of its host's
-    posterior share of bad pages is above MAX_BAD; hosts without labelled pages
-    have their domain's prior. Null urls and urls without :// have an empty host
+    Without a fitting rule a page is blocked if its host's posterior share of
+    bad pages is above MAX_BAD with a probability of SURE, that is if its lower
+    credible bound is; hosts without labelled pages have their domain's prior. Null urls and urls without :// have an empty host
     and path, and the reputation of the empty host. Null ids, repeated rows and
     empty tables keep their rows; extra columns are ignored.
     """
@@ -103,10 +112,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, id_col: str = "pag
     known = outcomes.select(F.col("page_id").alias("labelled"), F.col("bad").cast("long").alias("bad")).dropna()
     labelled = parsed.select("page_id", "host").join(known, F.col("page_id") == F.col("labelled"), "left")
     counts = materialize(labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts")
-    bounds = materialize(reputations(counts).select("host", lower_bound().alias("bad_bound")), "bounds")
+    bounds = materialize(reputations(counts).select("host", bad_chance().alias("bad_chance")), "bounds")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return parsed.join(bounds, "host").select(
-        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad_bound") > MAX_BAD, "block").otherwise("allow")).alias("verdict"), "bad_bound"
+        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad_chance") > SURE, "block").otherwise("allow")).alias("verdict"), "bad_chance"
     )
 
 
@@ -125,8 +134,8 @@ hosts AS (
   FROM hosts0),
 named AS (
   SELECT host, n, bad,
-         CASE WHEN two IN ({suffixes}) THEN array_to_string(list_slice(parts, -3, -1), '.') ELSE two END AS domain,
-         CASE WHEN two IN ({suffixes}) THEN two ELSE parts[-1] END AS suffix
+         CASE WHEN regexp_matches(two, '{two}') THEN array_to_string(list_slice(parts, -3, -1), '.') ELSE two END AS domain,
+         CASE WHEN regexp_matches(two, '{two}') THEN two ELSE parts[-1] END AS suffix
   FROM hosts),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
@@ -147,10 +156,13 @@ k AS (SELECT coalesce(max(k) FILTER (l = 0), {max}) AS k0, coalesce(max(k) FILTE
 s AS (SELECT suffix, (bad + k0 * rate) / (n + k0) AS r FROM suffixes, k, total),
 d AS (SELECT domain, (bad + k1 * r) / (n + k1) AS r FROM domains JOIN s USING (suffix), k),
 post AS (SELECT host, bad + k2 * r AS a, n - bad + k2 * (1 - r) AS b FROM named JOIN d USING (domain), k),
-bounds AS (SELECT host, greatest(0.0, a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS bad_bound FROM post),
-ruled AS (SELECT page_id, host, path, bad_bound, {rule} AS rule FROM parsed JOIN bounds USING (host))
+places AS (SELECT (k + 0.5::DOUBLE) / {places} AS x FROM range({places}) r(k)),
+means AS (SELECT host, a, b, greatest(1e-9, least(1 - 1e-9, a / (a + b))) AS m FROM post),
+densities AS (SELECT host, x, exp((a - 1) * (ln(x) - ln(m)) + (b - 1) * (ln(1 - x) - ln(1 - m))) AS d FROM means, places),
+bounds AS (SELECT host, coalesce(sum(d) FILTER (x > {bad}), 0) / sum(d) AS bad_chance FROM densities GROUP BY host),
+ruled AS (SELECT page_id, host, path, bad_chance, {rule} AS rule FROM parsed JOIN bounds USING (host))
 SELECT page_id, host, path, rule,
-       CASE {verdicts} ELSE CASE WHEN bad_bound > {bad} THEN 'block' ELSE 'allow' END END AS verdict
+       CASE {verdicts} ELSE CASE WHEN bad_chance > {sure} THEN 'block' ELSE 'allow' END END AS verdict
 FROM ruled
 """
 
@@ -159,6 +171,6 @@ def oracle_sql(rules=RULES) -> str:
     longest = sorted(rules, key=lambda r: (len(r[1] + r[2]), r), reverse=True)
     cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in longest)
     return ORACLE_SQL.format(
-        suffixes=", ".join(f"'{s}'" for s in SUFFIXES), max=MAX_STRENGTH, min=MIN_STRENGTH, z=Z, bad=MAX_BAD,
+        two=_TWO, max=MAX_STRENGTH, min=MIN_STRENGTH, places=PLACES, sure=SURE, bad=MAX_BAD,
         rule=f"CASE {cases} ELSE NULL END", verdicts=" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in rules),
     )
