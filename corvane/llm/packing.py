@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import encoder
-from corvane.llm.common import materialize
+from corvane.llm.common import materialize, tidy
 
 CAPACITY = 2048
 END_ID = 0
-#: Nodes of the branch-and-bound; when they are used up, the best packing so far stands.
-NODES = 2_000
+#: Steps of the branch-and-bound, a document tried in a sequence each; when they are used up, the best packing so far stands.
+STEPS = 3_000_000
 #: Rounds in which wasteful sequences of the incumbent are filled anew.
 MENDS = 100
-#: Fillings that are tried around one largest document.
-BRANCHES = 8
+#: Earlier fillings of a node that a new one is compared with for dominance.
+COMPARED = 8
 #: Split lengths that the lower bound tries; any of them gives a valid bound.
 SPLITS = 64
 
@@ -136,78 +138,125 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return place(0, a)
 
 
-def fillings(hist: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room from the documents that are left, least waste first; `most` of them."""
-    lengths = sorted((n for n, c in hist.items() if c and n <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
-    steps = 0
+class Steps:
+    """What is left of a budget."""
 
-    def grow(at: int, room: int, got: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 400 or len(found) >= 4 * most:
+    def __init__(self, n: int):
+        self.n = n
+
+
+def fillings(left: list[int], lengths: list[int], room: int, slack: int, steps: Steps) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of a room from the documents that are left, made when asked for: those without waste, then those with up to `slack`.
+
+    left has the count of each length, lengths those that may have some,
+    descending. Larger documents are tried first.
+    """
+    kept: list[tuple[int, ...]] = []
+    smallest = next((n for n in reversed(lengths) if left[n]), 0)
+
+    def grow(at: int, room: int, got: tuple[int, ...], low: int, high: int) -> Iterator[tuple[int, ...]]:
+        if room < smallest or not smallest:
+            if low <= room <= high:
+                yield got
             return
         fits = False
-        for i in range(at, len(lengths)):
+        for i in range(bisect_left(lengths, -room, at, key=neg), len(lengths)):
             n = lengths[i]
-            if n <= room and hist[n] > got.count(n):
+            if left[n] > got.count(n):
+                if steps.n <= 0:
+                    return
+                steps.n -= 1
                 fits = True
-                grow(i, room - n, (*got, n))
-        if not fits and not any(n <= room and hist[n] > got.count(n) for n in lengths):
-            found.append(got)
-
-    grow(0, room, ())
-    found = sorted(set(found), key=lambda f: (room - sum(f), [-n for n in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(_dominates(k, f) for k in kept):
-            kept.append(f)
-    return kept[:most]
+                yield from grow(i, room - n, (*got, n), low, high)
+        # no shorter one fits: complete if none of those passed over does, else an earlier branch has it
+        if not fits and low <= room <= high and not any(left[n] > got.count(n) for n in lengths[bisect_left(lengths, -room, key=neg) : at]):
+            yield got
+
+    for low, high in ((0, 0), (1, slack)) if slack else ((0, 0),):
+        for f in grow(0, room, (), low, high):
+            if not any(_dominates(k, f) for k in kept):
+                if len(kept) < COMPARED:
+                    kept.append(f)
+                yield f
+
+
+def complete(hist: dict[int, int], cap: int, used: int, bound: int, steps: Steps) -> Packing | None:
+    """A packing in fewer than `used` sequences by bin completion, or None if there is none or the steps end.
+
+    One sequence after the other is completed around the largest document that
+    is left, by each undominated filling, applied to as many sequences as the
+    counts allow, then to one. A branch ends when its waste, or the lower bound
+    of what is left, rules out fewer than `used` sequences. Going on after a
+    packing was found, it looks for a better one until the bound is met.
+    """
+    total, best = sum(n * c for n, c in hist.items()), None
+    lengths = sorted(hist, reverse=True)
+    left = [0] * (cap + 1)
+    for n, c in hist.items():
+        left[n] = c
+    waste = sequences = 0
+    done: list[tuple[dict[int, int], int, int]] = []  # documents, times, waste of each
+
+    def branches(first: int) -> Iterator[tuple[dict[int, int], int, int]]:
+        top = lengths[first]
+        rest = lengths[first:]
+        left[top] -= 1
+        for f in fillings(left, rest, cap - top, (used - 1) * cap - total - waste, steps):
+            left[top] += 1
+            need = {n: 0 for n in (top, *f)}
+            for n in (top, *f):
+                need[n] += 1
+            gap = cap - top - sum(f)
+            times = min(left[n] // k for n, k in need.items())
+            if gap:
+                times = min(times, max(0, (used - 1) * cap - total - waste) // gap)
+            for m in dict.fromkeys((times, 1)) if times else ():
+                yield need, m, gap
+            left[top] -= 1
+        left[top] += 1
+
+    stack, firsts = [branches(0)], [0]
+    while stack and used > bound and steps.n > 0:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            firsts.pop()
+        else:
+            need, m, gap = step
+            for n, k in need.items():
+                left[n] -= m * k
+            done.append(step)
+            waste, sequences = waste + m * gap, sequences + m
+            first = next((i for i in range(firsts[-1], len(lengths)) if left[lengths[i]]), None)
+            if first is None:
+                if sequences < used:
+                    best, used = [(tuple(sorted(need.items(), reverse=True)), m) for need, m, _ in done], sequences
+            elif waste <= (used - 1) * cap - total and sequences + lower_bound({n: left[n] for n in lengths[first:] if left[n]}, cap) < used:
+                stack.append(branches(first))
+                firsts.append(first)
+                continue
+        if done:
+            need, m, gap = done.pop()
+            for n, k in need.items():
+                left[n] += m * k
+            waste, sequences = waste - m * gap, sequences - m
+    return best
 
 
-def pack_histogram(hist: dict[int, int], cap: int = CAPACITY, nodes: int = NODES) -> Packing:
+def pack_histogram(hist: dict[int, int], cap: int = CAPACITY, steps: int = STEPS) -> Packing:
     """As few sequences as found for a histogram of lengths (length -> documents).
 
-    Best-fit decreasing, mended where it wastes, is the first incumbent. While it
-    is above the lower bound, branch and bound completes one sequence at a time around the largest
-    document that is left, with the undominated fillings, each applied to as
-    many sequences as the counts allow, and drops a branch when the waste so far
-    leaves no room for an improvement.
+    Best-fit decreasing, mended where it wastes, is the first incumbent; while
+    it is above the lower bound, bin completion looks for a better one.
     """
     hist = {n: c for n, c in hist.items() if c}
     if not hist:
         return []
-    best = best_fit(hist, cap)
-    used, bound, total = sum(m for _, m in best), lower_bound(hist, cap), sum(n * c for n, c in hist.items())
-    if used > bound:
+    best, bound = best_fit(hist, cap), lower_bound(hist, cap)
+    if sum(m for _, m in best) > bound:
         best = mend(hist, cap, best, bound)
-        used = sum(m for _, m in best)
-    stack: list[tuple[dict[int, int], Packing, int, int]] = [(hist, [], 0, 0)]
-    while stack and used > bound and nodes:
-        left, done, sequences, waste = stack.pop()
-        nodes -= 1
-        if not left:
-            if sequences < used:
-                best, used = done, sequences
-            continue
-        if waste > (used - 1) * cap - total or sequences + lower_bound(left, cap) >= used:
-            continue
-        tail = best_fit(left, cap)
-        if sequences + sum(m for _, m in tail) < used:
-            best, used = done + tail, sequences + sum(m for _, m in tail)
-        top = max(left)
-        rest = dict(left)
-        rest[top] -= 1
-        branches = []
-        for f in fillings(rest, cap - top, BRANCHES):
-            items = (top, *f)
-            need = {n: items.count(n) for n in items}
-            times = min(left[n] // k for n, k in need.items())
-            # applied as often as the counts allow, and once: the second keeps small cases exact
-            for m in dict.fromkeys((times, 1)):
-                after = {n: c - m * need.get(n, 0) for n, c in left.items() if c - m * need.get(n, 0)}
-                branches.append((after, [*done, (tuple(sorted(need.items(), reverse=True)), m)], sequences + m, waste + m * (cap - sum(items))))
-        stack += reversed(branches)
+    if (used := sum(m for _, m in best)) > bound:
+        best = complete(hist, cap, used, bound, Steps(steps)) or best
     return best
 
 
@@ -230,7 +279,7 @@ def pieces(docs: DataFrame, path: str, cap: int = CAPACITY, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        batches, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, block int"
+        lambda it: tidy(batches(it)), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, block int"
     )
 
 
@@ -268,7 +317,7 @@ def pack(docs: DataFrame, path: str, cap: int = CAPACITY, id_col: str = "doc_id"
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = materialize(counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "firsts")
     in_block = Window.partitionBy("block", "length").orderBy("doc_id", "piece")
-    ranked = made.withColumn("in_block", F.row_number().over(in_block) - 1).join(firsts, ["block", "length"])
+    ranked = made.withColumn("in_block", F.row_number().over(in_block) - 1).join(firsts.hint("merge"), ["block", "length"])  # shares the window's shuffle
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = plan.value
