@@ -14,7 +14,12 @@ MIN_LANGUAGE_SCORE = 0.1
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; those without a letter or too unlike every language go."""
+    """Documents in a learned language stay; those without a letter or too unlike every language go.
+
+    Null and empty texts have no letter and go. If no document has a language to
+    learn from, all go. Null ids, repeated rows and other columns stay as they
+    are; whole texts of any length are read; an empty table gives no rows.
+    """
     tune(spark)
     predict = langid.predictor(langid.train(docs), spark)
     judged = docs.withColumn("__language", predict(F.col("text")))
@@ -22,31 +27,47 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is below the threshold stay."""
+    """Documents whose probability of being toxic is below the threshold stay.
+
+    Null and empty texts have the probability of a text without words, as the
+    model has learned it; without toxic labels all stay. Null ids, repeated rows
+    and other columns stay as they are; an empty table gives no rows.
+    """
     tune(spark)
     score = toxicity.scorer(toxicity.train(docs, table(spark, sf_dir, "labels")), spark)
     return docs.withColumn("__toxicity", score(F.col("text"))).filter(F.col("__toxicity.toxic") < toxicity.THRESHOLD).drop("__toxicity")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that with the smallest doc_id. Rows without an id stay."""
+    """One document of each SimHash group stays: that with the smallest doc_id.
+
+    Of different texts under that id the one with the smallest hash stays, of
+    rows that repeat both one. Unrelated texts under one id all stay, as do rows
+    without an id. Null and empty texts are one group; an empty table gives no rows.
+    """
     tune(spark)
-    kept = materialize(simhash.near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.filter("copies > 1").head(1):
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return simhash.first_of_each(docs).select(docs.columns)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines and sentences are cut from all documents but their first."""
+    """Repeated passages are cut from all documents but their first; n_chars follows the text.
+
+    All rows stay. Rows without an id or a text stay as they are; repeated rows
+    are one document, different texts under one id are different documents; an
+    empty table gives no rows.
+    """
     tune(spark)
     cut = passages.dedupe(docs).withColumn("n_chars", F.length("text").cast("long"))
     return cut.select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents, packed."""
+    """Token sequences of the documents, packed.
+
+    Every row gives pieces: a null or empty text one with the end id only, a very
+    long one several. Null ids and repeated rows each keep theirs; an empty table
+    gives no rows.
+    """
     tune(spark)
     return packing.pack(docs, tokenizer_path())
 
