@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Rows and bytes per Arrow batch: whole texts are in one row each, so that batches stay small in bytes.
 ARROW_ROWS = 1000
 ARROW_BYTES = 8 << 20
+#: Rows per file of a table of short rows whose size is known, and files at least.
+FILE_ROWS = 250_000
+MIN_FILES = 8
 
 _own_dirs: dict[str, str] = {}
 _written: dict[int, str] = {}
@@ -44,8 +47,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it again.
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder as Parquet and read it again; a table of at most `rows` short rows in files of FILE_ROWS each, about.
 
     That cuts the lineage, so a lost executor costs one stage and not the whole
     job, and the table has no partitioning of its own: a later join shuffles it
@@ -53,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(MIN_FILES, -(-rows // FILE_ROWS)))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = path
     weakref.finalize(out, _written.pop, id(out), None)
@@ -113,11 +116,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = materialize(both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m")), "low")
-        large = materialize(e.join(lows, e.v == lows.x).select("u", F.col("m").alias("v")).distinct(), "large")
-        low = materialize(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "low")
+        lows = materialize(both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m")), "low", 2 * state[0])
+        large = materialize(e.join(lows, e.v == lows.x).select("u", F.col("m").alias("v")).distinct(), "large", state[0])
+        low = materialize(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "low", state[0])
         small = large.join(low, large.u == low.x).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, e = e, materialize(small.union(low.select("x", "m")).distinct(), "edges")
+        old, e = e, materialize(small.union(low.select("x", "m")).distinct(), "edges", 2 * state[0])
         discard(old, lows, large, low)
         state, before = _state(e), state
         if state == before:

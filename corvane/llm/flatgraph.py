@@ -225,7 +225,7 @@ def near_duplicates(vectors: DataFrame, radius: float = COSINE, id_col: str = "v
 
     vec_type = classes.schema["vec"].dataType.simpleString()
     assigned = materialize(classes.select("label", "dim", "cls", "size", "vec").mapInPandas(assign, f"shard string, home boolean, cls bigint, size bigint, vec {vec_type}"), "assigned")
-    counts = materialize(assigned.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home")), "counts")
+    counts = materialize(assigned.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home")), "counts", classes.count())
     dealt = lambda n, rows: F.pmod(F.xxhash64("cls"), F.ceil(F.greatest(F.col(n), F.lit(1)) / rows)).cast("int")
     members = assigned.join(counts, "shard").select(
         F.concat_ws("#", "shard", dealt("n", PART_ROWS)).alias("part"), F.concat_ws("#", "shard", dealt("n_home", BLOCK_ROWS)).alias("block"), "home", "cls", "size", "vec"
@@ -320,7 +320,7 @@ def near_duplicates(vectors: DataFrame, radius: float = COSINE, id_col: str = "v
     audited = materialize(own.union(met).mapInPandas(audit, links), "audited")
 
     edges = searched.unionByName(audited).filter("other is not null")
-    comps = materialize(components(edges.select(F.col("cls").alias("a"), F.col("other").alias("b"))), "comps")
+    comps = materialize(components(edges.select(F.col("cls").alias("a"), F.col("other").alias("b"))), "comps", classes.count())
     found = searched.filter("other is null").groupBy("cls").agg(F.sum("n").alias("found"))
     exact = audited.filter("other is null").groupBy("cls").agg(F.sum("n").alias("exact"))
     named = classes.select("cls", "label", "vec", "first", "size").join(found, "cls", "left").join(exact, "cls", "left").join(comps, F.col("cls") == F.col("id"), "left")

@@ -175,12 +175,13 @@ def near_edges(classes: DataFrame, most: int = MAX_BITS) -> DataFrame:
 
 def _named(fps: DataFrame, most: int) -> DataFrame:
     """(fp, comp: a number of its component, component_id: the smallest doc_id in it) of each distinct fingerprint of fps (doc_id, fp)."""
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    comps = materialize(components(near_edges(classes, most)), "comps")
+    n = fps.count()
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes", n)
+    comps = materialize(components(near_edges(classes, most)), "comps", n)
     named = classes.join(comps, classes.fp == comps.id, "left").select("fp", "first_id", F.coalesce("comp", "fp").alias("comp"))
-    named = materialize(named, "named")
-    first = materialize(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "first")
-    labels = materialize(named.join(first, "comp").select("fp", "comp", "component_id"), "labels")
+    named = materialize(named, "named", n)
+    first = materialize(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "first", n)
+    labels = materialize(named.join(first, "comp").select("fp", "comp", "component_id"), "labels", n)
     discard(classes, comps, named, first)
     return labels
 
@@ -219,7 +220,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = found.groupBy("comp", "doc_id", "tag").agg(F.count("*").alias("n"))
     chosen = copies.groupBy("comp", "doc_id").agg(F.min("tag").alias("tag")).join(copies, ["comp", "doc_id", "tag"])
     # two components may choose equal keys only where hashes of two texts of one doc_id collide
-    kept = materialize(chosen.groupBy(F.col("doc_id").alias("__kept_id"), F.col("tag").alias("__kept_tag")).agg(F.max("n").alias("__n")), "kept")
+    kept = materialize(chosen.groupBy(F.col("doc_id").alias("__kept_id"), F.col("tag").alias("__kept_tag")).agg(F.max("n").alias("__n")), "kept", fps.count())
     on = (F.col(id_col) == F.col("__kept_id")) & (tag == F.col("__kept_tag"))
     single = docs.join(kept.filter("__n = 1"), on, "left_semi")
     several = docs.join(kept.filter("__n > 1"), on, "left_semi").dropDuplicates([id_col, text_col])
