@@ -49,8 +49,14 @@ def evd10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", evidence.html_to_text(F.col("html")).alias("text"))
 
 
+#: What stands before a document's text, so that the rules for marks, code, headings, tables and open fences are met.
+BEFORE = ("", "- **Bold** `x` [link](http://a/b) and corpus/a/b.md $x$ ", "```\ncode\n```\n# Head\nSource: x\n", "| a | b |\n|---|---|\n", "~~~\n1. open ")
+
+
 def evd3_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", evidence.display_snippet(F.col("text"), F.col("source"), F.lit("prose")).alias("snippet"))
+    docs = t(spark, sf_dir, "documents")
+    before = F.get(F.array(*map(F.lit, BEFORE)), (F.col("doc_id") % len(BEFORE)).cast("int"))
+    return docs.select("doc_id", evidence.display_snippet(F.concat(before, "text"), F.col("source"), F.lit("prose")).alias("snippet"))
 
 
 def evd12_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +156,46 @@ def _count(text: str, n: str) -> str:
     return f"((length({text}) - length(replace({text}, {_lit(n)}, ''))) // {len(n)})"
 
 
+def _re(x: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({x}, {_lit(pattern)}, {_lit(by.replace('$1', chr(92) + '1'))}, 'g')"
+
+
+def _compact(x: str) -> str:
+    return f"trim({_re(x, evidence.SPACE, ' ')}, ' ')"
+
+
+def _plain(x: str) -> str:
+    for pattern, by in evidence.INLINE:
+        x = _re(x, pattern, by)
+    return _compact(x)
+
+
+def _unescaped(x: str) -> str:
+    for name, c in evidence.LONG_ENTITIES:
+        x = f"replace({x}, '&{name};', {_lit(c)})"
+    for name, c in evidence.ENTITIES:
+        x = _re(x, f"&{name};?", c)
+    return x
+
+
+def _back(mark: str, least: int, dots: str = "") -> str:
+    return f"CASE WHEN instr(reverse(head), {_lit(mark[::-1])}) > 0 AND length(head) - instr(reverse(head), {_lit(mark[::-1])}) - {len(mark) - 1} >= {least} THEN rtrim(substr(head, 1, length(head) - instr(reverse(head), {_lit(mark[::-1])})), ' ') || '{dots}' END"
+
+
+_FENCED = r"(?s)(?:^|\n)[^\S\n]*(?:```|~~~).*?(?:\n[^\S\n]*(?:```|~~~)[^\n]*|\z)"
+_IS_TABLE = f"(regexp_matches(x, {_lit(evidence.TABLE_LINE)}) AND x <> '|')"
+PAGE_TEXT = f"""
+WITH bare AS (SELECT page_id, {_re(_re("coalesce(html, '')", evidence.MARKUP, chr(10)), evidence.CUT_REFERENCE, '')} AS t FROM pages),
+lines AS (SELECT page_id, regexp_split_to_array({_unescaped('t')}, {_lit(evidence.LINE_BREAK)}) AS l FROM bare)
+SELECT page_id, array_to_string(list_filter(list_transform(l, lambda x: {_compact('x')}), lambda x: x <> ''), chr(10)) AS text FROM lines"""
+SNIPPETS = f"""
+WITH texts AS (SELECT doc_id, source, [{", ".join(map(_lit, BEFORE))}][1 + doc_id % {len(BEFORE)}] || text AS text FROM documents),
+split AS (SELECT *, list_filter(list_transform(regexp_split_to_array({_re('text', _FENCED, chr(10))}, {_lit(evidence.LINE_BREAK)}), lambda x: {_compact('x')}), lambda x: x <> '') AS lines FROM texts),
+shown AS (SELECT *, array_to_string(list_filter(list_transform(list_filter(lines, lambda x: NOT {_IS_TABLE} AND NOT regexp_matches(x, {_lit(evidence.NO_PROSE)})), lambda x: {_plain('x')}), lambda x: x <> ''), ' ') AS prose FROM split),
+picked AS (SELECT doc_id, {_plain(f"CASE WHEN prose <> '' THEN prose WHEN len(list_filter(lines, lambda x: {_IS_TABLE})) > 0 THEN {_lit(evidence.TABLE_OF)} || lower(source) || {_lit(evidence.TABLE_FIELDS)} ELSE {_plain(_compact('text'))} END")} AS out FROM shown),
+heads AS (SELECT *, substr(out, 1, {evidence.SNIPPET_CHARS - 3}) AS head FROM picked)
+SELECT doc_id, CASE WHEN length(out) <= {evidence.SNIPPET_CHARS} THEN out ELSE coalesce({_back('. ', 110)}, {_back('; ', 110)}, {_back(' ', 73, '...')}, rtrim(head, ' ') || '...') END AS snippet FROM heads"""
+
 _TOPICS = "[" + ", ".join(map(_lit, TOPICS)) + "]"
 _TYPE = "CASE " + " ".join(f"WHEN {_any('lower(url)', ns)} THEN '{k}'" for k, ns in evidence.SOURCE_TYPES) + " ELSE 'web' END"
 LINKED = "linked AS (SELECT page_id, 'see [page ' || page_id || '](' || url || ') and ' || url || '. Also https://github.com/o/r/blob/main/' || page_id || '.md; https://arxiv.org/abs/' || page_id || ', [Paper](https://arxiv.org/abs/' || page_id || ') https://docs.example.org/a-b_c/' || page_id || '/ end' AS text FROM pages)"
@@ -193,6 +239,8 @@ SELECT brief_id, source_id, score::DOUBLE AS score, quality, place, shown IS NOT
   array_to_string(list_transform(agents, lambda a: ({_AGENTS})[a + 1]), ',') AS used_by FROM p LEFT JOIN h USING (brief_id, source_id)"""
 
 ORACLE_SQL = {
+    "evd10_page_text": PAGE_TEXT,
+    "evd3_snippets": SNIPPETS,
     "evd8_links": f"WITH {LINKS} SELECT * FROM links",
     "srt5_summary_links": f"""
 WITH {LINKS}, p AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {_PRIORITY}, seq) AS place FROM links)

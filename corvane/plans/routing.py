@@ -69,9 +69,9 @@ def _values(rows: list[tuple]) -> str:
 
 KEYWORDS = _values([(d, i, k, w) for i, (d, ws) in enumerate(rules.DOMAIN_KEYWORDS.items()) for k, w in ws.items()])
 STATED = _values([(a, j, v, p) for a, vs in rules.STATED.items() for j, (v, ps) in enumerate(vs) for p in ps])
-PRIORS = _values([(d, a, v.lstrip("?"), int(v.startswith("?"))) for d, vs in rules.DOMAIN_PRIORS.items() for a, v in zip(ATTRIBUTES, vs)])
-CATALOG = _values([(i, k, s, int(e), int(a), int(d)) for i, (k, s, e, a, d, _) in enumerate(rules.TOPOLOGIES)])
-SERVED = _values([(s, rules.COMPONENTS.index(c), c) for s, cs in rules.STAGE_COMPONENTS.items() for c in cs.split()])
+PRIORS = _values([(d, a, v, int(ask)) for d, attrs in rules.DOMAIN_PRIORS.items() for a, (v, ask) in attrs.items()])
+CATALOG = _values([(i, k, " ".join(s), int(e), int(a), int(d)) for i, (k, s, e, a, d, _) in enumerate(rules.TOPOLOGIES)])
+SERVED = _values([(s, rules.COMPONENTS.index(c), c) for s, cs in rules.STAGE_COMPONENTS.items() for c in cs])
 
 SCORES = f"""{BRIEFS_SQL},
 kw AS (SELECT * FROM {KEYWORDS} AS k(domain, ord, word, weight)),

@@ -60,7 +60,7 @@ def test_chunks_of_markdown():
     assert all(r["title"] == "Guide" for r in rows)
     assert ["Guide", "Usage"] in [r["section_path"] for r in rows] and not any("not a heading" in p for r in rows for p in r["section_path"])
     table = next(r for r in rows if r["element_type"] == "table")
-    assert table["body"].splitlines() == ["a: x", "a: y"]
+    assert table["text_original"].count("|") >= 8
     assert any(r["element_type"] == "reference" for r in rows)
     # the tiny generic section went into the next one beside it
     assert ["Guide", "Definition"] not in [r["section_path"] for r in rows]
@@ -75,11 +75,21 @@ def test_chunk_rows_link_and_hash(spark):
     assert all(r.chunk_id.startswith("a_x:") and r.text_for_generation.startswith('<SOURCE id="') for r in mine)
 
 
-def test_prose_is_split_with_overlap():
-    pieces = chunking.split_prose("\n\n".join(" ".join(f"w{i}_{j}" for j in range(400)) for i in range(4)))
+def test_prose_is_split_with_overlap(spark):
+    def split(text):
+        return spark.createDataFrame([(text,)], "t string").select(chunking.split_prose(F.col("t"))).first()[0]
+
+    pieces = split("\n\n".join(" ".join(f"w{i}_{j}" for j in range(400)) for i in range(4)))
     assert [len(p.split()) for p in pieces] == [800, 920]
     assert pieces[1].split()[:120] == pieces[0].split()[-120:]
-    assert len(chunking.split_prose("w " * 3000)) == 1
+    assert len(split("w " * 3000)) == 1 and split("") == [""]
+    rows = spark.createDataFrame([("| a | b |\n|---|---|\n| 1 | 2 | 3 |\n|4|",), ("| a |\n|---|",)], "t string")
+    assert [r[0] for r in rows.select(chunking.linear_table(F.col("t"))).collect()] == ["a: 1; b: 2\na: 4", "| a |\n|---|"]
+
+
+def test_blocks_have_context():
+    lines = ["first", "# H", "", "```", "x", "```", "| t |", "after"]
+    assert chunking.with_context(lines, [(3, 5), (0, 0)]) == ["first\n```\nx\n```\nafter", "first\nx"]
 
 
 def _tokens(text):
@@ -185,9 +195,14 @@ def test_percentiles(spark):
 
 
 def test_evidence(spark):
-    assert evidence.page_text("<p>A <b>b</b></p><script>x</script><br>c &amp; d") == "A\nb\nc & d"
-    assert evidence.snippet("# H\n```\ncode\n```\n**Bold** text [a](b).") == "Bold text a."
-    assert "summarizes costs" in evidence.snippet("| a | b |\n|---|---|\n| 1 | 2 |", "X > Costs")
+    pages = ["<p>A <b>b</b></p><script>x</script><br>c &amp; d", "a &#65;&#x42; &amp;lt; &eacute;", "<!-- <script> -->z<svg><p>q</svg>", "end &am", None, "x<ar"]
+    got = spark.createDataFrame([(p,) for p in pages], "p string").select(evidence.html_to_text(F.col("p"))).collect()
+    assert [r[0] for r in got] == ["A\nb\nc & d", "a AB &lt; é", "z", "", "", "x"]
+    long = "Some words here. " * 20
+    texts = [("# H\n```\ncode\n```\n**Bold** text [a](b).", ""), ("| a | b |\n|---|---|\n| 1 | 2 |", "X > Costs"), ("|---|---|", ""), (long, ""), ("abc" * 100, ""), (None, None), ("1. one\n~~~\nopen", "")]
+    got = [r[0] for r in spark.createDataFrame(texts, "t string, s string").select(evidence.display_snippet(F.col("t"), F.col("s"), F.lit("prose"))).collect()]
+    assert got[0] == "Bold text a." and "summarizes costs" in got[1] and got[2] == evidence.TABLE_ALONE
+    assert got[3] == ("Some words here. " * 12).strip() and got[4] == "abc" * 72 + "a..." and got[5:] == ["", "one"]
     df = spark.createDataFrame([("Top > 1. First part > 2 - Next > # Tail #",), (" > ",), (None,)], "s string")
     assert [r[0] for r in df.select(evidence.clean_section(F.col("s"))).collect()] == ["First part > Next > Tail", "Unsectioned literature", "Unsectioned literature"]
     t = spark.createDataFrame([("vector dense hybrid audit audit",)], "s string")
