@@ -23,9 +23,14 @@ def stem(token: Column) -> Column:
     )
 
 
+def raw_tokens(text: Column) -> Column:
+    """Tokens in order, not stemmed; _, - and / separate."""
+    return F.regexp_extract_all(F.translate(F.lower(text), "_-/", "   "), F.lit(TOKEN), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
-    """Stemmed tokens in order; _, - and / separate."""
-    return F.transform(F.regexp_extract_all(F.translate(F.lower(text), "_-/", "   "), F.lit(TOKEN), F.lit(0)), stem)
+    """Stemmed tokens in order."""
+    return F.transform(raw_tokens(text), lambda w: stem(w))
 
 
 def phrase_text(text: Column) -> Column:

@@ -185,8 +185,9 @@ def _back(mark: str, least: int, dots: str = "") -> str:
 _FENCED = r"(?s)(?:^|\n)[^\S\n]*(?:```|~~~).*?(?:\n[^\S\n]*(?:```|~~~)[^\n]*|\z)"
 _IS_TABLE = f"(regexp_matches(x, {_lit(evidence.TABLE_LINE)}) AND x <> '|')"
 PAGE_TEXT = f"""
-WITH bare AS (SELECT page_id, {_re(_re("coalesce(html, '')", evidence.MARKUP, chr(10)), evidence.CUT_REFERENCE, '')} AS t FROM pages),
-lines AS (SELECT page_id, regexp_split_to_array({_unescaped('t')}, {_lit(evidence.LINE_BREAK)}) AS l FROM bare)
+WITH bare AS (SELECT page_id, {_re("coalesce(html, '')", evidence.MARKUP, chr(10))} AS whole FROM pages),
+cut AS (SELECT page_id, CASE WHEN regexp_matches(right(whole, 34), {_lit(evidence.CUT_REFERENCE)}) THEN substr(whole, 1, length(whole) - length(string_split(whole, chr(10))[-1])) ELSE whole END AS t FROM bare),
+lines AS (SELECT page_id, regexp_split_to_array({_unescaped('t')}, {_lit(evidence.LINE_BREAK)}) AS l FROM cut)
 SELECT page_id, array_to_string(list_filter(list_transform(l, lambda x: {_compact('x')}), lambda x: x <> ''), chr(10)) AS text FROM lines"""
 SNIPPETS = f"""
 WITH texts AS (SELECT doc_id, source, [{", ".join(map(_lit, BEFORE))}][1 + doc_id % {len(BEFORE)}] || text AS text FROM documents),

@@ -76,17 +76,35 @@ def ret4_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(_bm25(spark, sf_dir))
 
 
+#: Words that the invented prose lacks and the boosts look for: after a query, and in headings by language.
+ASKED = ("default", "route it", "choose a strategy", "when to use the right one", "terraform modules", "fanout", "references of the matrix", "")
+HEADINGS = {"en": "default settings and fanout", "de": "the routing matrix", "fr": "decision rule, selection framework", "es": "when to use a module set"}
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """questions, each with a source, a language and words of the boosts behind it."""
+    q, i = questions(spark, sf_dir), F.col("query_id")
+    words = F.get(F.array(*map(F.lit, ASKED)), (i % len(ASKED)).cast("int"))
+    lang = F.get(F.array(*map(F.lit, HEADINGS)), (i % len(HEADINGS)).cast("int"))
+    return q.select("query_id", F.concat_ws(" ", "query", words, F.concat(F.lit("src"), (i % 20).cast("string")), lang).alias("query"))
+
+
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunks under (source, the language's heading)."""
+    heading = F.coalesce(*(F.when(F.col("namespace") == k, v) for k, v in HEADINGS.items()), F.lit(""))
+    return chunks(spark, sf_dir).withColumn("section_path", F.array("title", F.concat_ws(" ", "namespace", heading)))
+
+
 def ret6_field_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token, coverage, phrase, ordered and intent boosts of every query on every heading of the corpus."""
-    feats = lexical.query_features(questions(spark, sf_dir))
-    heads = chunks(spark, sf_dir).groupBy("title", "namespace").agg(F.min("chunk_ord").alias("chunk_ord"), F.first(F.lit("the")).alias("text"))
-    heads = heads.select("*", F.array("title", F.concat_ws(" ", "namespace", F.lit("the and of"))).alias("section_path"), F.array("namespace").alias("tags"), F.col("title").alias("domain"), F.col("title").alias("source_path"))
-    joined = feats.crossJoin(lexical.index(heads))  # headings, not chunks: one row per source and language
-    return joined.select("query_id", F.col("title").alias("source"), F.col("namespace").alias("lang"), F.round(lexical.boosts(), 6).alias("boost"))
+    """All boosts of the chunks that a query's BM25 ranking has first: token, coverage, phrase, ordered and intent."""
+    feats = lexical.query_features(asked(spark, sf_dir))
+    first = lexical.ranked(lexical.bm25(feats, lexical.index(chunks(spark, sf_dir))).select("query_id", "chunk_ord", F.round("bm25", 6).alias("score")), 10)
+    joined = first.select("query_id", "chunk_ord").join(feats, "query_id").join(lexical.index(headed(spark, sf_dir)), "chunk_ord")
+    return joined.select("query_id", F.col("chunk_ord").alias("doc_id"), F.round(lexical.boosts(), 6).alias("boost"))
 
 
 def ret11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical.search(questions(spark, sf_dir), chunks(spark, sf_dir))
+    found = lexical.search(asked(spark, sf_dir), headed(spark, sf_dir))
     return _named(found.withColumn("score", F.round("score", 6)))
 
 
@@ -207,6 +225,48 @@ best AS (SELECT query_id, id, round(score, 9) AS score, row_number() OVER (PARTI
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 _SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
+def _case(key: str, values) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {k!r} THEN '{v}'" for k, v in values) + " ELSE '' END"
+
+
+ASKED_SQL = f"SELECT item_id, concat_ws(' ', text, {_case('item_id % 8', enumerate(ASKED))}, 'src' || (item_id % 20), {_case('item_id % 4', enumerate(HEADINGS))}) AS text FROM benchmark"
+BM25_ASKED = BM25.replace("FROM benchmark", f"FROM ({ASKED_SQL})")
+
+
+def _boosts_sql() -> str:
+    """Of one row with imp, uniq, phrases, terms (of a query) and the fields of a chunk."""
+
+    def has(*words: str) -> str:
+        return "list_has_any(qterms, [" + ", ".join(f"'{w}'" for w in words) + "])"
+
+    fields = {"leaf": "leaf", "section": "section", "title": "title", "tags": "tags", "domain": "title", "path": "path", "compact": "compact"}
+    parts = [f"{w} * len(list_filter(imp, lambda x: list_contains({fields[n]}, x)))" for n, w in lexical.TOKEN_WEIGHTS.items()]
+    parts += [f"CASE WHEN len(uniq) > 0 THEN {w} * pow(len(list_filter(uniq, lambda x: list_contains({fields[n]}, x)))::DOUBLE / len(uniq), 2) ELSE 0 END" for n, w in lexical.COVERAGE_WEIGHTS.items()]
+    parts += [f"{w} * coalesce(list_sum(list_transform(list_filter(phrases, lambda p: contains({n}, p)), lambda p: len(string_split(p, ' ')))), 0)" for n, w in lexical.PHRASE_WEIGHTS.items()]
+    intents = (
+        (f"{has('when')} AND {has('use', 'right')} AND contains(section_text, 'when to use')", 80.0), (f"{has('module')} AND {has('terraform')} AND contains(leaf_text, 'module set')", 55.0),
+        (f"{has('fanout')} AND contains(leaf_text, 'fanout')", 55.0), (f"{has('choose', 'decision', 'select', 'selection', 'strategy')} AND list_contains(section, 'decision') AND list_contains(section, 'rule')", 55.0),
+        (f"{has('choose', 'strategy')} AND (contains(section_text, 'selection framework') OR contains(section_text, 'decision matrix'))", 45.0),
+        (f"{has('matrix', 'route', 'routing')} AND contains(section_text, 'routing matrix')", 65.0), (f"{has('default')} AND contains(leaf_text, 'default')", 35.0),
+    )
+    parts += [f"CASE WHEN {cond} THEN {w} ELSE 0 END" for cond, w in intents]
+    # terms found one after the other: each next one behind the place of the last, as a fold over (place, number)
+    fold = "list_reduce(list_prepend({'at': 0, 'n': 0, 'w': ''}, list_transform(imp, lambda w: {'at': 0, 'n': 0, 'w': w})), lambda s, t: CASE WHEN coalesce(list_position(section[s.at + 1:], t.w), 0) > 0 THEN {'at': (s.at + list_position(section[s.at + 1:], t.w))::INT, 'n': s.n + 1, 'w': ''} ELSE {'at': s.at, 'n': s.n, 'w': ''} END).n"
+    parts.append(f"CASE WHEN len(imp) >= 2 AND {fold} >= 2 THEN {lexical.ORDERED_WEIGHT} * {fold} / len(uniq) ELSE 0 END")
+    return " + ".join(f"({p})" for p in parts)
+
+
+_HEAD = _case("lang", HEADINGS.items())
+PAIRS = f"""{BM25_ASKED},
+feat0 AS (SELECT item_id AS query_id, {tokens_sql('text')} AS qterms FROM ({ASKED_SQL})),
+feat1 AS (SELECT *, list_filter(qterms, lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w)) AS imp FROM feat0),
+feat AS (SELECT *, list_distinct(imp) AS uniq, list_distinct(flatten(list_transform([2, 3, 4, 5], lambda w: list_transform(range(1, greatest(len(imp) - w + 2, 1)), lambda i: array_to_string(imp[i:i + w - 1], ' '))))) AS phrases FROM feat1),
+head0 AS (SELECT doc_id, text, lower(source) AS ti, lower(lang || ' ' || {_HEAD}) AS le, lower(lang) AS la, lower(source || '/' || doc_id) AS pa FROM documents),
+head1 AS (SELECT *, concat_ws(' ', ti, ti || ' ' || le, la, ti, replace(pa, '_', ' ')) AS co FROM head0),
+head AS (SELECT doc_id, {tokens_sql('le')} AS leaf, {tokens_sql("ti || ' ' || le")} AS section, {tokens_sql('ti')} AS title, {tokens_sql('la')} AS tags, {tokens_sql('pa')} AS path, {tokens_sql('co')} AS compact,
+  array_to_string({tokens_sql("co || chr(10) || lower(text)")}, ' ') AS full_text, len({tokens_sql('text')}) AS n_terms FROM head1),
+fields AS (SELECT *, array_to_string(leaf, ' ') AS leaf_text, array_to_string(section, ' ') AS section_text, array_to_string(title, ' ') AS title_text FROM head)"""
+
 ORACLE_SQL = {
     "chk1_word_count": r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::INT AS words FROM documents",
     "chk2_last_words": r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents) SELECT doc_id, array_to_string(w[greatest(len(w) - 119, 1):], ' ') AS tail FROM w",
@@ -229,6 +289,12 @@ SELECT item_id, array_to_string(terms, '|') AS terms, array_to_string(imp, '|')
     "agg1_term_frequency": f"WITH {DOCS}, {POSTS} SELECT term, sum(tf)::BIGINT AS tf, max(tf) AS max_tf FROM tfs GROUP BY term",
     "agg2_document_frequency": f"WITH {DOCS}, {POSTS} SELECT term, count(*) AS df FROM tfs GROUP BY term",
     "agg3_corpus_statistics": f"WITH {DOCS} SELECT count(*) AS n, round(coalesce(avg(len(terms)), 1.0), 6) AS avg_len FROM docs",
+    "ret6_field_boosts": f"WITH {PAIRS}, lex AS ({_top('bm', 10, 'doc_id')}) SELECT query_id, doc_id, round({_boosts_sql()}, 6) AS boost FROM lex JOIN feat USING (query_id) JOIN fields USING (doc_id)",
+    "ret11_lexical_search": f"""
+WITH {PAIRS}, fine AS (SELECT query_id, doc_id, sum(qtf * (ln((1 + n) / (1 + df)) + 1.0) * (tf * 2.4) / (tf + 1.4 * (1 - 0.75 + 0.75 * dl / avgdl))) AS b FROM qt JOIN tfs USING (term) JOIN dfs USING (term), stats GROUP BY ALL),
+raw AS (SELECT query_id, doc_id, round((coalesce(b, 0) + {_boosts_sql()}) * CASE WHEN doc_id % 7 = 0 AND NOT list_has_any(qterms, {list(lexical.SOURCE_TERMS)}) THEN 0.7 ELSE 1.0 END, 9) AS s FROM feat CROSS JOIN fields LEFT JOIN fine USING (query_id, doc_id) WHERE n_terms > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM raw WHERE s > 0 QUALIFY rank <= 8)
+SELECT query_id, doc_id, round(s, 6) AS score, rank FROM best""",
     "ret4_bm25_topk": f"WITH {BM25} {_top('bm', 10, 'doc_id')}",
     "flt1_namespace_search": f"WITH {BM25}, kept AS (SELECT bm.* FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' AND source = 'src3') {_top('kept', 10, 'doc_id')}",
     "ret13_normalize": f"""
