@@ -66,6 +66,22 @@ def answer_issue(answer: Column) -> Column:
     return out
 
 
+#: Columns of a research link that are shown.
+PUBLIC_LINK = ("agent", "label", "url", "source_type", "relevance")
+
+
+def public(rows: DataFrame, columns: tuple[str, ...], url: str | None = None) -> DataFrame:
+    """What may be shown: the listed columns that rows have, the others null, and only rows with a web address in `url` if that is given."""
+    shown = rows.filter(F.coalesce(F.col(url).startswith("http"), F.lit(False))) if url else rows
+    return shown.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns))
+
+
+def leaks(text: Column) -> Column:
+    """Internal marks that a text shows, in their order, and `attribute code` if it shows one."""
+    found = F.array(*(F.when(text.contains(m), m) for m in FORBIDDEN), F.when(text.rlike(ATTRIBUTE_CODE), "attribute code"))
+    return F.filter(found, lambda x: x.isNotNull())
+
+
 def critique(draft: Column, log_size: Column) -> Column:
     """Gaps of a run: no draft, or an empty decision log."""
     gaps = F.array(F.when(F.coalesce(draft, F.lit("")) == "", "No draft output was produced."), F.when(F.coalesce(log_size, F.lit(0)) == 0, "Decision log is empty."))

@@ -41,3 +41,25 @@ def search(
     score = -V.squared_distance(F.col("query_vector"), F.col("vector")) if metric == "l2" else V.dot(F.col("query_vector"), F.col("vector"))
     pairs = v.crossJoin(F.broadcast(q) if small else q)
     return ranked(pairs.select("query_id", "chunk_ord", (F.round(score, 9) + 0.0).alias("score")), top_k)
+
+
+def candidate_limit(top_k: int, filters: dict[str, str], indexed: set[str]) -> int:
+    """How many candidates are fetched when some filters are checked afterwards."""
+    return top_k if set(filters) <= indexed else max(top_k, min(1000, 25 * top_k))
+
+
+def where_clause(filters: dict[str, str]) -> str:
+    """Equality of each key, in order, as SQL."""
+    return " AND ".join(f"{k} = '{str(v).replace(chr(39), 2 * chr(39))}'" for k, v in sorted(filters.items()))
+
+
+def search_residual(queries: DataFrame, vectors: DataFrame, top_k: int, filters: dict[str, str], indexed: set[str], namespace: str | None = None, **more) -> DataFrame:
+    """search() as a store with an index on some columns answers it: those filters first, then candidate_limit rows, then the others.
+
+    It may give fewer rows than search(), whose filters all come first.
+    """
+    first = {k: v for k, v in filters.items() if k in indexed}
+    rest = {k: v for k, v in filters.items() if k not in indexed}
+    found = search(queries, vectors, candidate_limit(top_k, filters, indexed), namespace=namespace, filters=first, **more)
+    kept = matching(vectors, None, rest).select("chunk_ord")
+    return ranked(found.join(kept, "chunk_ord", "left_semi").drop("rank"), top_k)

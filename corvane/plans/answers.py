@@ -62,15 +62,6 @@ def flt10_evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", hit.alias("matches"))
 
 
-def win7_claimed_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten results per source in doc_id order; a document is evidence doc_id mod 5 and, if labelled good, evidence 0."""
-    d = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    found = F.array_distinct(F.filter(F.array((F.col("doc_id") % 5).cast("int"), F.when(F.col("quality") == 1, 0)), lambda x: x.isNotNull()))
-    rows = d.groupBy("source").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", found.alias("m")))), lambda s: s["m"]), 1, 10).alias("m"))
-    gains = F.array(*map(F.lit, (2, 2, 1, 1, 1)))
-    return rows.select("source", F.array_join(F.transform(answers.claimed_gains(F.col("m"), gains), lambda g: g.cast("string")), ",").alias("gains"))
-
-
 def evl9_slo(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t(spark, sf_dir, "events").groupBy("event_type").agg(evaluation.percentile_nearest("value", 0.5).alias("p50"), evaluation.percentile_nearest("value", 0.99).alias("p99"))
     return answers.slo(e, 20.0, 90.0)
@@ -126,7 +117,7 @@ def src18_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        flt14_input_limits, rul18_parse_answers, rul15_plan_profile, rul13_panel, flt13_answer_guard, rul20_critique, flt10_evidence_match, win7_claimed_gains,
+        flt14_input_limits, rul18_parse_answers, rul15_plan_profile, rul13_panel, flt13_answer_guard, rul20_critique, flt10_evidence_match,
         evl9_slo, evl8_dimension_ablation, agg17_profile, jn7_semi_join, jn8_anti_join, agg15_ordered_distinct, set3_except, set4_intersect, src18_sections,
     )
 }

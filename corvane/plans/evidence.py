@@ -118,7 +118,8 @@ def agg16_theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evd17_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.curate(_sources(spark, sf_dir)).select("brief_id", F.col("ord").alias("doc_id"), "bucket")
+    quality = _sources(spark, sf_dir).withColumn("quality", _quality())
+    return evidence.curate(quality).select("brief_id", F.col("ord").alias("doc_id"), "bucket", F.col("place").cast("long").alias("place"))
 
 
 def evd16_clean_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +240,19 @@ h AS (SELECT brief_id, source_id, min((agent, place)) AS shown FROM c WHERE CASE
 SELECT brief_id, source_id, score::DOUBLE AS score, quality, place, shown IS NOT NULL AS display, 'E' || row_number() OVER (PARTITION BY brief_id ORDER BY shown NULLS LAST, place) AS label,
   array_to_string(list_transform(agents, lambda a: ({_AGENTS})[a + 1]), ',') AS used_by FROM p LEFT JOIN h USING (brief_id, source_id)"""
 
+def _points() -> str:
+    parts = []
+    for name, where, words, points in evidence.BOOSTS:
+        if where == "section_or_title":
+            hit = f"(contains(lower(section), '{words[0]}') OR contains(lower(title), '{words[1]}'))"
+        else:
+            hit = _any("lower(section)", words) if where == "section" else "(" + _any("lower(section)", words) + " OR " + _any("lower(snippet)", words) + ")"
+        parts.append(f"CASE WHEN bucket = '{name}' AND {hit} THEN {points} ELSE 0 END")
+    return "(" + " + ".join(parts) + ")"
+
+
+_POINTS = _points()
+
 ORACLE_SQL = {
     "evd10_page_text": PAGE_TEXT,
     "evd3_snippets": SNIPPETS,
@@ -269,8 +283,9 @@ UNION ALL SELECT brief_id, row_number() OVER (PARTITION BY brief_id ORDER BY at_
     "evd17_curation": f"""
 WITH {SOURCES}, a AS (SELECT * REPLACE (trim(snippet) AS snippet) FROM src QUALIFY row_number() OVER (PARTITION BY brief_id, source_id ORDER BY ord) = 1),
 b AS (SELECT *, lower(concat_ws(' ', title, section, snippet)) AS shown, lower(concat_ws(' ', source_id, title, section, snippet, source_path)) AS txt FROM a WHERE length(snippet) >= 45 AND element_type NOT IN ('code_fence', 'mermaid', 'reference')),
-c AS (SELECT *, {_BUCKET} AS bucket FROM b)
-SELECT brief_id, ord AS doc_id, bucket FROM c QUALIFY row_number() OVER (PARTITION BY brief_id, bucket, title, lower(snippet)[:140] ORDER BY ord) = 1""",
+c AS (SELECT *, {_BUCKET} AS bucket, {QUALITY} AS quality FROM b),
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY brief_id, bucket, title, lower(snippet)[:140] ORDER BY ord) = 1)
+SELECT brief_id, ord AS doc_id, bucket, row_number() OVER (PARTITION BY brief_id, bucket ORDER BY quality + {_POINTS} DESC, length(section), lower(section), ord) AS place FROM k""",
     "evd16_clean_sections": "SELECT doc_id, source || ' > ' || lang || ' > Tail' AS section FROM documents",
     "evd20_audit": f"SELECT doc_id, sha256(text)[:16] AS brief_hash, {_count('lower(text)', 'the')}::INT AS mentions FROM documents",
 }

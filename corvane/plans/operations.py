@@ -38,7 +38,7 @@ def win10_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ops1_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.rate_limit(_events(spark, sf_dir), 2, 86400, "user_id").select("event_id", "accepted", "retry_after")
+    return events.rate_limit(_events(spark, sf_dir), 2, 86400, "user_id").select("event_id", "accepted", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
 
 
 def ops2_two_level_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +195,17 @@ per AS (SELECT query_id, CASE WHEN required > 0 THEN coalesce(hit, 0) / required
 MANIFEST = """m AS (SELECT doc_id + 1 AS position, 'p' || (doc_id % 700) AS path, CASE WHEN doc_id % 11 > 0 THEN 'open' END AS license, CASE WHEN doc_id % 13 > 0 THEN 'primary' ELSE '' END AS trust_tier,
 lang AS namespace, CASE WHEN doc_id % 4 > 0 THEN doc_id % 2 = 0 END AS ingest FROM documents)"""
 
+_LIVE = "list_filter(s.kept, lambda k: k >= e.t - 86400000000)"
+RATE_LIMIT = f"""
+WITH g AS (SELECT user_id, list({{'t': epoch_us(ts), 'id': event_id}} ORDER BY ts, event_id) AS es FROM events GROUP BY user_id),
+f AS (SELECT list_reduce(list_prepend({{'t': 0::BIGINT, 'id': 0::BIGINT, 'kept': []::BIGINT[], 'out': []::STRUCT(id BIGINT, ok BOOLEAN, wait INTEGER)[]}},
+    list_transform(es, lambda x: {{'t': x.t, 'id': x.id, 'kept': []::BIGINT[], 'out': []::STRUCT(id BIGINT, ok BOOLEAN, wait INTEGER)[]}})),
+  lambda s, e: {{'t': e.t, 'id': e.id, 'kept': CASE WHEN len({_LIVE}) < 2 THEN list_append({_LIVE}, e.t) ELSE {_LIVE} END,
+    'out': list_append(s.out, {{'id': e.id, 'ok': len({_LIVE}) < 2, 'wait': CASE WHEN len({_LIVE}) < 2 THEN NULL ELSE greatest(1, trunc(86400 - (e.t - list_min({_LIVE})) / 1000000.0)::INT) END}})}}).out AS o FROM g),
+r AS (SELECT unnest(o) AS x FROM f) SELECT x.id AS event_id, x.ok AS accepted, coalesce(x.wait, 0) AS retry_after FROM r"""
+
 ORACLE_SQL = {
+    "ops1_rate_limit": RATE_LIMIT,
     "win9_sliding_counts": f"SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts {_RANGE.format(86400)}) AS window_count FROM events",
     "ops4_spikes": f"WITH {SPIKES} SELECT event_id, window_count, window_count >= {SPIKE} AS is_spike FROM spikes",
     "ops5_alerts": f"WITH {SPIKES} SELECT event_id, concat_ws(',', CASE WHEN event_type = 'error' THEN 'failed_call' END, CASE WHEN value >= {SLOW} THEN 'slow_call' END, CASE WHEN window_count >= {SPIKE} THEN 'traffic_spike' END) AS reasons FROM spikes",

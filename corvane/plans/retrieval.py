@@ -23,10 +23,34 @@ def chk3_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
 
 
+TAIL = """
+
+### Notes
+short notes
+### Code ###
+```python
+# no heading
+1. no item
+```
+| name | value |
+|---|:-:|
+| a | 1 |
+| b | 2 | 3 |
+
+1. one
+
+2) two
+3. three
+~~~
+never closed
+## hidden
+"""
+
+
 def chk15_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a markdown file with a section per line: the structural chunker over all of them."""
+    """Each document as a markdown file with a paragraph per line, and with code, a table, a list and tiny sections behind it: the structural chunker over all of them."""
     docs = t(spark, sf_dir, "documents")
-    body = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n## Part\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    body = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n## Part\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit(TAIL))
     files = docs.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), body.alias("text"), F.array("lang").alias("section_tags"))
     return chunking.chunk_files(files).select("chunk_id", "document_id", "parent_id", "chunk_index", "element_type", "start_line", "end_line", "content_hash", "previous", "next")
 

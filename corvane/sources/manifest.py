@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,9 +16,18 @@ REQUIRED = ("path", "license", "trust_tier", "namespace")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a manifest, with their 1-based position; a JSON object with a list `documents`."""
-    raw = spark.read.schema(f"documents array<struct<{', '.join(': '.join(c.split(' ', 1)) for c in SCHEMA.split(', '))}>>").json(path, multiLine=True)
-    return raw.select(F.posexplode("documents").alias("at", "d")).select((F.col("at") + 1).alias("position"), "d.*")
+    """Documents of a manifest, with their 1-based position: an object with a list `documents`, or a list, as JSON or YAML; none if the file is missing."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+    text = spark.read.text(path, wholetext=True).first()[0] if there else "[]"
+    if text.lstrip()[:1] not in ("{", "["):
+        import yaml
+
+        text = json.dumps(yaml.safe_load(text) or {}, default=str)
+    kind = f"array<struct<{', '.join(': '.join(c.split(' ', 1)) for c in SCHEMA.split(', '))}>>"
+    whole = spark.createDataFrame([(text,)], "t string")
+    parsed = F.from_json("t", kind) if text.lstrip().startswith("[") else F.from_json("t", f"documents {kind}")["documents"]
+    return whole.select(F.posexplode(parsed).alias("at", "d")).select((F.col("at") + 1).alias("position"), "d.*")
 
 
 def validate(documents: DataFrame) -> DataFrame:
@@ -58,7 +68,7 @@ def generate(files: DataFrame, domains: dict[str, str]) -> DataFrame:
 
 
 def ingestible(documents: DataFrame) -> DataFrame:
-    """Documents to take in, with chunk order by path; a missing flag means yes."""
+    """Documents to take in; a missing flag means yes."""
     return documents.filter(F.coalesce("ingest", F.lit(True)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -119,3 +119,14 @@ def bundle(files: DataFrame) -> DataFrame:
 def for_each_batch(write: Callable[[DataFrame], None]):
     """A foreachBatch function that hands each micro-batch to a writer."""
     return lambda df, _: write(df)
+
+
+def upsert(collection: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """A collection with rows put in: a row with a key that is there takes its place, of several with one key the last in `rows` by column seq if there is one.
+
+    Both have the same columns, but for seq.
+    """
+    if "seq" in rows.columns:
+        last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))
+        rows = rows.withColumn("__n", last).filter("__n = 1").drop("__n", "seq")
+    return collection.join(rows.select(key), key, "left_anti").unionByName(rows)

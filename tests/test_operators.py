@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, dense, evaluation, events, evidence, fusion, lexical, rules
+from corvane.operators import chunking, dense, evaluation, events, evidence, fusion, judging, lexical, rules
 from corvane.sources import manifest, store
 from corvane.streaming import requests
 
@@ -261,3 +261,68 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_structured_documents_have_all_blocks(spark):
+    from corvane.plans import retrieval
+
+    rows = retrieval.chk15_chunk_documents(spark, "/root/testdata/sf0.001").groupBy("element_type").count().collect()
+    counts = {r.element_type: r["count"] for r in rows}
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert all(counts[k] >= n for k in ("prose", "code_fence", "table", "list"))
+
+
+def test_chunks_in_sql(spark):
+    chunking.register(spark)
+    spark.createDataFrame([("a.md", "# T\n## S\nsome words\n```\nx\n```\n"), ("b.md", None)], "path string, text string").createOrReplaceTempView("md_files")
+    rows = spark.sql("SELECT path, c.* FROM md_files, LATERAL chunk_markdown(path, text, '') c ORDER BY path, chunk_index").collect()
+    assert [(r.path, r.element_type, r.section) for r in rows] == [("a.md", "prose", "T > S"), ("a.md", "code_fence", "T > S"), ("b.md", "prose", "B")]
+
+
+def test_manifests_in_json_and_yaml(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"documents": [{"path": "a", "ingest": false}, {"path": "b"}]}')
+    (tmp_path / "l.json").write_text('[{"path": "a"}]')
+    (tmp_path / "m.yaml").write_text("version: 1\ndocuments:\n- path: a\n  section_tags: [x, y]\n  date: 2024-01-02\n- path: b\n")
+    read = lambda n: [(r.position, r.path) for r in manifest.load(spark, f"file://{tmp_path}/{n}").collect()]
+    assert read("m.json") == read("m.yaml") == [(1, "a"), (2, "b")] and read("l.json") == [(1, "a")] and read("none.yaml") == []
+    assert manifest.load(spark, f"file://{tmp_path}/m.yaml").first().section_tags == ["x", "y"]
+
+
+def test_gold_files_and_evidence_metrics(spark, tmp_path):
+    import json
+
+    gold = {"version": "1", "thresholds": {"recall": 0.9}, "retrieval": [
+        {"id": "q1", "query": "x", "top_k": 3, "required": [{"path": "a"}, {"text_contains": ["Two"]}], "helpful": [{"section_contains": ["s"]}]},
+        {"id": "q2", "query": "y", "top_k": 3, "required": [], "helpful": []}, {"id": "q3", "query": "z", "top_k": 1, "required": [{"path": "c"}]},
+    ]}
+    (tmp_path / "gold.json").write_text(json.dumps(gold))
+    g = judging.load_gold(spark, f"file://{tmp_path}/gold.json")
+    items = judging.items(g, "retrieval")
+    assert judging.items(g, "answer").count() == 0 and g.first().thresholds == {"recall": 0.9}
+    results = spark.createDataFrame([("q1", 1, "z", "S", "one"), ("q1", 2, "a", "S", "two"), ("q1", 3, "a", "t", "two"), ("q1", 4, "a", "s", "two"), ("q3", 2, "c", "", "")], "id string, rank int, path string, section string, text string")
+    got = {r.id: r for r in judging.evidence_metrics(results, items).collect()}
+    assert got["q1"].gains == [1, 2, 2] and got["q1"].recall == 1.0 and got["q1"].mrr == 0.5
+    ideal = 2 + 2 / math.log2(3) + 1 / 2
+    assert abs(got["q1"].ndcg - (1 + 2 / math.log2(3) + 2 / 2) / ideal) < 1e-12
+    assert (got["q2"].recall, got["q2"].mrr, got["q2"].ndcg) == (1.0, 0.0, 1.0) and (got["q3"].recall, got["q3"].mrr, got["q3"].ndcg) == (0.0, 0.0, 0.0)
+
+
+def test_residual_filters():
+    assert dense.candidate_limit(8, {"namespace": "x"}, {"namespace"}) == 8
+    assert [dense.candidate_limit(k, {"a": "x"}, set()) for k in (8, 50, 2000)] == [200, 1000, 2000]
+    assert dense.where_clause({"b": "it's", "a": 1}) == "a = '1' AND b = 'it''s'"
+
+
+def test_search_scores_every_chunk_that_can_score(spark):
+    """Against a loop over all pairs: phrases within tokens, headings without a shared word, empty texts."""
+    rng = random.Random(3)
+    words = "cat dog route fan default tree cats treehouse xcat dogma settings".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([0, 3, 12]))), rng.choice(["T one", "Routing Matrix", "Fanouts"]), [rng.choice(["Default x", "Module set", "plain"])], [], None, "p/x", "prose", "n") for i in range(60)]
+    rows.append((60, "the xcat dogma", "zz", ["zz"], [], None, "q", "prose", "n"))
+    chunks = spark.createDataFrame(rows, "chunk_ord int, text string, title string, section_path array<string>, tags array<string>, domain string, source_path string, element_type string, namespace string")
+    queries = spark.createDataFrame([(1, "cat dog"), (2, "route it"), (3, "default fanout"), (4, "terraform modules"), (5, "the")], "query_id int, query string")
+    feats = lexical.query_features(queries)
+    every = feats.crossJoin(lexical.index(chunks)).filter("doc_len > 0").join(lexical.bm25(feats, lexical.index(chunks)), ["query_id", "chunk_ord"], "left")
+    want = every.select("query_id", "chunk_ord", F.round(F.coalesce("bm25", F.lit(0.0)) + lexical.boosts(), 9).alias("score")).filter("score > 0")
+    got = lexical.search(queries, chunks, 1000).select("query_id", "chunk_ord", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("query_id = 1 AND chunk_ord = 60").count() == 1
