@@ -218,14 +218,18 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     read from written tables, so adaptive execution can split a line that a third
     of the documents have.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text")).dropna()
-    found = occurrences(src)
-    found = materialize(found.withColumn("place", place(found)), "units")
-    firsts = found.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna()
+    # only where an id repeats do units need to tell its texts apart
+    again = materialize(src.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again")), "again")
+    tag = F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    tagged = src.join(again, F.col("doc_id") == F.col("again"), "left").select("doc_id", tag.alias("tag"), "text")
+    found = materialize(occurrences(tagged), "units")
+    at = place(found)
+    firsts = found.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     repeated = materialize(firsts.filter("n > 1").select("digest", "first"), "repeated")
-    later = found.join(repeated, "digest").filter("place <> first").select("doc_id", "tag", "start", "stop")
+    later = found.join(repeated, "digest").filter(at != F.col("first")).select("doc_id", "tag", "start", "stop")
     spans = materialize(later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    discard(found, repeated)
+    discard(again, found, repeated)
 
     @F.pandas_udf("text string, spans array<struct<start:int,stop:int>>")
     def apply(texts, spans):
@@ -238,6 +242,6 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return pd.DataFrame(rows, columns=["text", "spans"])
 
     named = spans.select(F.col("doc_id").alias("__span_doc"), F.col("tag").alias("__span_tag"), F.col("spans").alias("__spans"))
-    on = (F.col(id_col) == F.col("__span_doc")) & (F.xxhash64(text_col) == F.col("__span_tag"))
+    on = (F.col(id_col) == F.col("__span_doc")) & ((F.col("__span_tag") == 0) | (F.col("__span_tag") == F.xxhash64(text_col)))
     joined = docs.drop("removed_spans").join(named, on, "left").withColumn("__cut", apply(F.col(text_col), F.col("__spans")))
     return joined.withColumn(text_col, F.col("__cut.text")).withColumn("removed_spans", F.col("__cut.spans")).drop("__span_doc", "__span_tag", "__spans", "__cut")
