@@ -6,7 +6,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ MIN_SENTENCE_WORDS = 8
 #: Words of a stretch between two anchors at least; an anchor's hash is the least of so many words on both sides.
 MIN_STRETCH_WORDS = 25
 ANCHOR_WORDS = 6
+#: Characters whose words are hashed at once.
+BLOCK_CHARS = 1 << 18
 #: Letters of scripts without spaces, each of which is a word.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _UNSPACED_LETTER = re.compile(f"[{_UNSPACED}]")
@@ -62,12 +64,6 @@ def n_words(norm: str) -> int:
     return len(_WORD.findall(norm))
 
 
-@lru_cache(1 << 16)
-def _word_hash(word: str) -> int:
-    word = word if word.isascii() else unicodedata.normalize("NFC", word)
-    return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
-
-
 @cache
 def _kinds() -> np.ndarray:
     """For each code point: 0 for white space, 2 for a word of its own, else 1."""
@@ -78,13 +74,48 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def word_starts(text: str) -> list[int]:
     """Offsets of what _WORD finds."""
-    kinds = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    kinds = _kinds()[_codes(text)]
     before = np.concatenate([np.zeros(1, np.int8), kinds[:-1]])
     return np.flatnonzero((kinds == 2) | ((kinds == 1) & (before != 1))).tolist()
 
 
+@cache
+def _powers() -> np.ndarray:
+    return np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _sums(codes: np.ndarray, starts: np.ndarray, inside: np.ndarray | None) -> np.ndarray:
+    """A polynomial hash of the characters from each start to the next one, without those outside."""
+    x = (codes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    at = np.arange(len(x)) - np.repeat(starts, np.diff(starts, append=len(x)))
+    x *= _powers()[at & 0xFFFF]
+    if inside is not None:
+        x[~inside] = 0
+    return np.add.reduceat(x, starts)
+
+
+def word_hashes(text: str, starts: list[int]) -> np.ndarray:
+    """A hash of each word in NFC and lower case, all words of a block at once."""
+    low = text.lower()
+    if len(low) != len(text) or not unicodedata.is_normalized("NFC", text):
+        words = [unicodedata.normalize("NFC", w).lower() for w in _WORD.findall(text)]
+        return np.array([_sums(_codes(w), np.zeros(1, np.int64), None)[0] for w in words], np.uint64)
+    out, at = [], np.array(starts, np.int64)
+    edges = np.searchsorted(at, np.arange(0, len(text), BLOCK_CHARS))
+    for i, j in zip(edges, [*edges[1:], len(at)]):
+        if i < j:
+            first, last = at[i], at[j] if j < len(at) else len(text)
+            out.append(_sums(_codes(low[first:last]), at[i:j] - first, _kinds()[_codes(text[first:last])] > 0))
+    return np.concatenate(out)
+
+
 def anchors(hashes: np.ndarray) -> np.ndarray:
     """Words at which the hash of three words is less than those around it: a passage has the same ones wherever it stands."""
     h = np.pad(hashes, (0, 2))
@@ -100,7 +131,7 @@ def stretches(text: str) -> Iterator[tuple[bytes, int, int]]:
     starts = word_starts(text)
     if len(starts) < MIN_STRETCH_WORDS:
         return
-    hashes = np.fromiter(map(_word_hash, _WORD.findall(text)), np.uint64, len(starts))
+    hashes = word_hashes(text, starts)
     at = np.concatenate([[0], (mid := anchors(hashes))[mid > 0], [len(starts)]])
     to = np.searchsorted(at, at + MIN_STRETCH_WORDS)
     raw, edges = hashes.tobytes(), [*starts, len(text)]
