@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -402,6 +403,20 @@ def test_passages_word_starts():
         assert passages.word_starts(text) == [m.start() for m in passages._WORD.finditer(text)]
 
 
+def test_passages_word_hashes(monkeypatch):
+    rng = random.Random(26)
+    texts = ["".join(rng.choices("abAB é日ไ\u3000\n\t.İΣσ", k=rng.randrange(1, 90))) for _ in range(100)] + ["cafe\u0301 CAFÉ caf\u00e9", "x" * 70_000 + " y"]
+    seen = {}
+    for size in (1 << 18, 16):
+        monkeypatch.setattr(passages, "BLOCK_CHARS", size)
+        for t in texts:
+            starts = passages.word_starts(t)
+            for w, h in zip(passages._WORD.findall(t), passages.word_hashes(t, starts).tolist() if starts else [], strict=True):
+                key = unicodedata.normalize("NFC", w).lower()
+                assert seen.setdefault(key, h) == h or "İ" in t or "Σ" in t  # whose lower case depends on what is around
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_passages_units_cover_offsets():
     text = "One two three four five six seven eight nine. Ten, e.g. this one has also more than eight words!\n\nlast"
     for _, a, b in passages.units(text):
