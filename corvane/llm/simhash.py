@@ -19,7 +19,7 @@ MAX_BITS = 2
 SHARD_ROWS = 20_000
 MIN_SHARDS, MAX_SHARDS = 32, 1 << 16
 FANOUT = 16
-QUERY_BLOCK = 8192
+QUERY_BLOCK = 2048
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
