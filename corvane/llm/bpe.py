@@ -43,8 +43,8 @@ SPREAD_CHARS = 65_536
 ZONE = 64
 #: Words with more symbols than this are encoded by halves.
 LEAF_SYMBOLS = 256
-#: Bytes of chunks and words, each, that a worker keeps, about.
-CACHE_BYTES = 24 << 20
+#: Bytes of runs and words, each, that a worker keeps during a task, about.
+CACHE_BYTES = 64 << 20
 #: The separators of str.split() that the tokenizer takes for text.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")
@@ -196,6 +196,10 @@ class _Memo(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
+
 
 class Decoder:
     """Ids -> text by the tokenizer's own rules; without any, tokens stand side by side with a space between."""
@@ -254,6 +258,11 @@ class Encoder:
         self.plain_ids = _Memo(lambda c: b"".join(map(self.word_ids.__getitem__, _WORDS.findall(c))))
         self.run_ids = _Memo(lambda c: b"".join(map(self.word_ids.__getitem__, _WORDS.findall(c.lower()))) if not _NOT_PLAIN.search(c) else self._odd_run(c))
 
+    def forget(self) -> None:
+        """Drop all memos; a task's common words are soon learned again."""
+        for memo in (self.word_ids, self.plain_ids, self.run_ids):
+            memo.forget()
+
     @property
     def symbols(self) -> SymbolBpe:
         self._symbols = self._symbols or SymbolBpe(self.path)
@@ -501,4 +510,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "n_tokens": pa.array([n], pa.int64()), "ids_sha256": [a], "decoded_sha256": [b]})
 
     joined = encoded.groupBy("doc_id", "copy").applyInArrow(rejoin, out)
-    return short.mapInArrow(lambda it: tidy(whole(it)), out).unionByName(joined)
+    return short.mapInArrow(lambda it: tidy(whole(it), lambda: encoder(path).forget()), out).unionByName(joined)

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,9 +78,11 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def tidy(batches: Iterator) -> Iterator:
-    """The same batches; after the last one, memory that this worker has freed goes back to the machine."""
+def tidy(batches: Iterator, forget: Callable[[], None] | None = None) -> Iterator:
+    """The same batches; after the last one, what `forget` drops and other memory that this worker has freed goes back to the machine."""
     yield from batches
+    if forget:
+        forget()
     release()
 
 

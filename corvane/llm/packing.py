@@ -279,7 +279,7 @@ def pieces(docs: DataFrame, path: str, cap: int = CAPACITY, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        lambda it: tidy(batches(it)), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, block int"
+        lambda it: tidy(batches(it), lambda: encoder(path).forget()), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, block int"
     )
 
 
