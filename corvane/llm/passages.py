@@ -20,6 +20,8 @@ from corvane.llm.common import discard, materialize, tidy
 #: Units with fewer words stay by themselves: short lines and sentences are common in clean text.
 MIN_LINE_WORDS = 5
 MIN_SENTENCE_WORDS = 8
+#: Repeated units that lie together are cut only if they have so many words: short lines that many texts share stay.
+MIN_PASSAGE_WORDS = 25
 #: Words of a stretch between two anchors at least; an anchor's hash is the least of so many words on both sides.
 MIN_STRETCH_WORDS = 25
 ANCHOR_WORDS = 6
@@ -229,7 +231,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
     """All columns of docs with repeated units cut from the text, and removed_spans array<struct<start,stop>>.
 
     Units are lines of MIN_LINE_WORDS words or more, sentences of
@@ -238,7 +240,8 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     chosen by what stands around them, so that a long passage is found within
     sentences and across lines. Of each unit that occurs more than once the
     occurrence with the smallest (doc_id, offset) stays, in that document only,
-    and the others go; offsets are of the original text, in characters. Rows
+    and the others go, but for those that make up fewer than `min_words` words
+    where they stand; offsets are of the original text, in characters. Rows
     with a null id or text are kept as they are and are no occurrence. Rows with
     an equal doc_id and text are one document: each keeps what that document
     keeps. Different texts under one doc_id are different documents, in the order
@@ -268,7 +271,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         rows = []
         for t, s in zip(texts, spans):
-            got = merged(s) if s is not None and len(s) else []
+            got = [(a, b) for a, b in merged(s) if len(word_starts(t[a:b])) >= min_words] if s is not None and len(s) else []
             rows.append((cut(t, got) if got else t, [{"start": a, "stop": b} for a, b in got]))
         return pd.DataFrame(rows, columns=["text", "spans"])
 
