@@ -371,7 +371,7 @@ def test_passages(spark):
     sentence = lambda: " ".join(rng.choices(WORDS, k=14)).capitalize() + "."
     shared = " ".join(sentence() for _ in range(5))
     texts = [f"{sentence()}\n{shared}\n{sentence()}", f"{shared}\n{sentence()}", f"{sentence()} {shared} {sentence()}", f"{sentence()}\nShort line.\nShort line.", "Short line."]
-    rows = passages.dedupe(docs_of(spark, texts)).collect()
+    rows = passages.dedupe(docs_of(spark, texts), min_words=1).collect()
     got = {r.doc_id: r for r in rows}
     assert got[0].text == texts[0] and got[0].removed_spans == []
     assert shared not in got[1].text and shared not in got[2].text
@@ -389,7 +389,7 @@ def test_passages_of_short_sentences_and_within_a_sentence(spark):
     short = " ".join(words(4).capitalize() + "." for _ in range(15))
     inner, lone = words(200), "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(60)) + "。"
     texts = [f"{words(9)} {x} {words(9)}" for x in (f"end. {short}", f"end. {short}", inner, inner)] + [f"甲。{lone}", f"乙。{lone}", "Yes. No.", "Yes. No."]
-    got = {r.doc_id: r.text for r in passages.dedupe(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: r.text for r in passages.dedupe(docs_of(spark, texts), min_words=1).collect()}
     assert all(got[i] == texts[i] for i in (0, 2, 4, 6, 7))
     assert not any(s in got[1] for s in short.split(". "))
     assert sum(w in got[3] for w in inner.split()) <= 60 and got[3].split()[:9] == texts[3].split()[:9] and got[3].split()[-9:] == texts[3].split()[-9:]
@@ -429,7 +429,7 @@ def test_passages_of_texts_that_share_an_id(spark):
     line = " ".join(rng.choices(WORDS, k=14)) + "."
     rows = [(1, line), (2, line + "\nMore of it."), (2, "same id must stay whole as it is"), (2, line + "\nMore of it.")]
     src = spark.createDataFrame([(i, t, "d", 0, 1, 2, 3) for i, t in rows], "doc_id bigint, text string, digest string, start int, tag int, place int, first int")
-    assert sorted((r.doc_id, r.text) for r in passages.dedupe(src).collect()) == sorted([(1, line), (2, "More of it."), (2, "More of it."), (2, "same id must stay whole as it is")])
+    assert sorted((r.doc_id, r.text) for r in passages.dedupe(src, min_words=1).collect()) == sorted([(1, line), (2, "More of it."), (2, "More of it."), (2, "same id must stay whole as it is")])
 
 
 def test_passages_equal_brute_force(spark):
@@ -441,15 +441,24 @@ def test_passages_equal_brute_force(spark):
         for d, a, _ in passages.units(t):
             first.setdefault(d, (i, a))
             first[d] = min(first[d], (i, a))
-    got = {r.doc_id: r for r in passages.dedupe(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: r for r in passages.dedupe(docs_of(spark, texts), min_words=1).collect()}
     for i, t in enumerate(texts):
         gone = {k for d, a, b in passages.units(t) if first[d] != (i, a) for k in range(a, b)}
         assert got[i].text == "".join(c for k, c in enumerate(t) if k not in gone)
         assert {k for a, b in got[i].removed_spans for k in range(a, b)} == gone
 
 
+def test_passages_that_are_short_stay(spark):
+    rng = random.Random(27)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n)).capitalize() + "."
+    line, long = words(12), "\n".join(words(9) for _ in range(6))
+    texts = [f"{line}\n{words(20)}", f"{line}\n{words(20)}\n{long}", f"{long}\n{words(20)}\n{line}"]
+    got = {r.doc_id: r.text for r in passages.dedupe(docs_of(spark, texts)).collect()}
+    assert got[0] == texts[0] and got[1] == texts[1] and got[2] == texts[2].removeprefix(long + "\n")
+
+
 def test_passages_odd_rows(spark):
-    got = passages.dedupe(odd_docs(spark)).collect()
+    got = passages.dedupe(odd_docs(spark), min_words=1).collect()
     assert len(got) == 10 and [r.text for r in got if r.doc_id is None] == ["no id here at all, my friend"]
     assert {r.text for r in got if r.doc_id == 5} == {""} and [r.text for r in got if r.doc_id == 4] == ["same text of six words here"]
     assert passages.dedupe(empty_docs(spark)).count() == 0
