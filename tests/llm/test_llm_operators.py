@@ -665,3 +665,40 @@ def test_pipeline_stages_keep_columns(spark):
         if k < 4:
             assert docs.columns == columns and 0.5 * before < docs.count() <= before
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_pipeline_language_stage_drops_foreign_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 3, "日本語のテキストです。" * 9, "123 ?!", "", None]
+    planted = spark.createDataFrame([(900_000 + i, t) for i, t in enumerate(foreign)], "doc_id bigint, text string")
+    kept = corpus_pipeline.language_stage(spark, docs.unionByName(planted, allowMissingColumns=True), "/root/testdata/sf0.01")
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not [i for i in ids if i >= 900_000] and len(ids) >= 0.995 * docs.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, texts that share an id; and no rows at all."""
+    import corpus_pipeline
+
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = real.orderBy("doc_id").first().text * 200
+    one, other = (r.text for r in real.filter("length(text) > 800").orderBy("doc_id").limit(2).collect())
+    rows = [(None, one), (5001, None), (5002, ""), (5003, long), (5004, one), (5004, one), (5004, other), (5005, "Ja")]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = real.unionByName(odd, allowMissingColumns=True)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = common.materialize(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        none = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+        assert none.count() == 0 and none.columns == out.columns
+        if k < 4:
+            assert out.columns == real.columns
+            got = [(r.doc_id, r.text) for r in out.filter("doc_id >= 5000 OR doc_id IS NULL").select("doc_id", "text").collect()]
+            if name == "simhash":  # one is a copy of a smaller id's text, of the repeated rows none is left twice
+                assert (None, one) in got and len(got) == len(set(got))
+            if name in ("language", "toxicity"):
+                assert {(None, one), (5003, long), (5004, one), (5004, other)} <= set(got) and got.count((5004, one)) == 2
+        if name == "packing":
+            assert out.filter("doc_id IS NULL").count() > 0
+        docs = out if k < 3 else docs
