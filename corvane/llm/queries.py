@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, flatgraph, langid, packing, passages, simhash, spotsigs, toxicity, urlrep, warc
+from corvane.llm import bpe, flatgraph, langid, packing, passages, simhash, spelling, spotsigs, toxicity, urlrep, warc, whitening
 from corvane.llm.common import table
 
 
@@ -59,12 +59,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_bpe, op3_warc, op4_simhash, op5_toxicity,
         op6_url_filter, op7_substring_dedup, op8_spotsigs, op9_langid, op10_packing,
+        op11_whitening, op13_spelling,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE_SQL, "op6_url_filter": urlrep.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE_SQL, "op6_url_filter": urlrep.oracle_sql(), "op13_spelling": spelling.ORACLE_SQL}
