@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -20,7 +20,7 @@ from corvane.llm.common import discard, materialize, tidy
 #: Units with fewer words stay by themselves: short lines and sentences are common in clean text.
 MIN_LINE_WORDS = 5
 MIN_SENTENCE_WORDS = 8
-#: Repeated units that lie together are cut only if they have so many words: short lines that many texts share stay.
+#: Repeated sentences, runs and stretches that lie together, with lines or without, are cut if they have so many words; repeated lines always are.
 MIN_PASSAGE_WORDS = 25
 #: Words of a stretch between two anchors at least; an anchor's hash is the least of so many words on both sides.
 MIN_STRETCH_WORDS = 25
@@ -156,8 +156,8 @@ def runs(parts: list[tuple[str, int, int, int]]) -> Iterator[tuple[bytes, int, i
         yield digest("r", " ".join(p[0] for p in parts[i : k + 1])), parts[i][2], parts[k][3]
 
 
-def units(text: str) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, start, end) of a text's lines, sentences, runs of sentences with a short one, and stretches; offsets in characters."""
+def units(text: str) -> Iterator[tuple[bytes, int, int, bool]]:
+    """(digest, start, end, whether a line) of a text's lines, sentences, runs of sentences with a short one, and stretches; offsets in characters."""
     parts: list[tuple[str, int, int, int]] = []
     for m in _LINE.finditer(text):
         if m.start() == m.end():
@@ -166,37 +166,38 @@ def units(text: str) -> Iterator[tuple[bytes, int, int]]:
         norm = normal(line)
         n = n_words(norm)
         if n >= MIN_LINE_WORDS:
-            yield digest("l", norm), m.start(), m.end()
+            yield digest("l", norm), m.start(), m.end(), True
         for start, end in sentences(line, m.start()) if n else ():
             part = normal(text[start:end])
             if k := n_words(part):
                 parts.append((part, k, start, end))
                 if k >= MIN_SENTENCE_WORDS:
-                    yield digest("s", part), start, end
-    yield from runs(parts)
-    yield from stretches(text)
+                    yield digest("s", part), start, end, False
+    for extra in (runs(parts), stretches(text)):
+        yield from ((*unit, False) for unit in extra)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, tag, start, stop) of each unit of docs (doc_id, tag, text)."""
+    """(digest, doc_id, tag, start, stop, line) of each unit of docs (doc_id, tag, text)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, digests, starts, stops = [], [], [], []
+            ids, digests, starts, stops, lines = [], [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                for d, start, stop in units(t or ""):
+                for d, start, stop, line in units(t or ""):
                     ids.append(i)
                     digests.append(d)
                     starts.append(start)
                     stops.append(stop)
+                    lines.append(line)
             at = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), b.column(0).take(at), b.column(1).take(at), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
-                ["digest", "doc_id", "tag", "start", "stop"],
+                [pa.array(digests, pa.binary()), b.column(0).take(at), b.column(1).take(at), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(lines, pa.bool_())],
+                ["digest", "doc_id", "tag", "start", "stop", "line"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(lambda it: tidy(batches(it)), f"digest binary, doc_id {kind}, tag bigint, start int, stop int")
+    return docs.mapInArrow(lambda it: tidy(batches(it)), f"digest binary, doc_id {kind}, tag bigint, start int, stop int, line boolean")
 
 
 def place(found: DataFrame) -> Column:
@@ -212,10 +213,10 @@ def place(found: DataFrame) -> Column:
     return F.struct("doc_id", "tag", "start")
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans in order, those that touch or overlap as one."""
     out: list[tuple[int, int]] = []
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans):
+    for start, stop in sorted(spans):
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(stop, out[-1][1]))
         else:
@@ -223,6 +224,15 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def chosen(text: str, spans: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """What is cut of the repeated units: lines, and others where those that lie together have min_words words or more."""
+    lines = merged((s["start"], s["stop"]) for s in spans if s["line"])
+    if len(lines) == len(spans):
+        return lines
+    long = [(a, b) for a, b in merged((s["start"], s["stop"]) for s in spans) if len(word_starts(text[a:b])) >= min_words]
+    return merged([*lines, *long])
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     kept, at = [], 0
     for start, stop in spans:
@@ -240,8 +250,9 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     chosen by what stands around them, so that a long passage is found within
     sentences and across lines. Of each unit that occurs more than once the
     occurrence with the smallest (doc_id, offset) stays, in that document only,
-    and the others go, but for those that make up fewer than `min_words` words
-    where they stand; offsets are of the original text, in characters. Rows
+    and the others go: every line, and of the other units those that make up
+    `min_words` words or more where they stand, together with what they touch;
+    offsets are of the original text, in characters. Rows
     with a null id or text are kept as they are and are no occurrence. Rows with
     an equal doc_id and text are one document: each keeps what that document
     keeps. Different texts under one doc_id are different documents, in the order
@@ -261,8 +272,8 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     at = place(found)
     firsts = found.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     repeated = materialize(firsts.filter("n > 1").select("digest", "first"), "repeated")
-    later = found.join(repeated, "digest").filter(at != F.col("first")).select("doc_id", "tag", "start", "stop")
-    spans = materialize(later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    later = found.join(repeated, "digest").filter(at != F.col("first")).select("doc_id", "tag", "start", "stop", "line")
+    spans = materialize(later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop", "line")).alias("spans")), "spans")
     discard(again, found, repeated)
 
     @F.pandas_udf("text string, spans array<struct<start:int,stop:int>>")
@@ -271,7 +282,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
 
         rows = []
         for t, s in zip(texts, spans):
-            got = [(a, b) for a, b in merged(s) if len(word_starts(t[a:b])) >= min_words] if s is not None and len(s) else []
+            got = chosen(t, s, min_words) if s is not None and len(s) else []
             rows.append((cut(t, got) if got else t, [{"start": a, "stop": b} for a, b in got]))
         return pd.DataFrame(rows, columns=["text", "spans"])
 

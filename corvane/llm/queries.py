@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, flatgraph, langid, packing, passages, simhash, spelling, spotsigs, toxicity, urlrep, warc, whitening
+from corvane.llm import bpe, flatgraph, langid, packing, passages, pii, simhash, spelling, spotsigs, toxicity, urlrep, warc, whitening
 from corvane.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_embedding_dedup, op2_bpe, op3_warc, op4_simhash, op5_toxicity,
         op6_url_filter, op7_substring_dedup, op8_spotsigs, op9_langid, op10_packing,
-        op11_whitening, op13_spelling,
+        op11_whitening, op12_pii, op13_spelling,
     )
 }
 

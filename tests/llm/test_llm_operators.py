@@ -419,9 +419,9 @@ def test_passages_word_hashes(monkeypatch):
 
 def test_passages_units_cover_offsets():
     text = "One two three four five six seven eight nine. Ten, e.g. this one has also more than eight words!\n\nlast"
-    for _, a, b in passages.units(text):
+    for _, a, b, _ in passages.units(text):
         assert 0 <= a < b <= len(text)
-    assert [text[a:b] for d, a, b in passages.units(text)][1].startswith("One") and passages.cut("abcdef", [(1, 3), (4, 5)]) == "adf"
+    assert [text[a:b] for d, a, b, _ in passages.units(text)][1].startswith("One") and passages.cut("abcdef", [(1, 3), (4, 5)]) == "adf"
 
 
 def test_passages_of_texts_that_share_an_id(spark):
@@ -429,36 +429,65 @@ def test_passages_of_texts_that_share_an_id(spark):
     line = " ".join(rng.choices(WORDS, k=14)) + "."
     rows = [(1, line), (2, line + "\nMore of it."), (2, "same id must stay whole as it is"), (2, line + "\nMore of it.")]
     src = spark.createDataFrame([(i, t, "d", 0, 1, 2, 3) for i, t in rows], "doc_id bigint, text string, digest string, start int, tag int, place int, first int")
-    assert sorted((r.doc_id, r.text) for r in passages.dedupe(src, min_words=1).collect()) == sorted([(1, line), (2, "More of it."), (2, "More of it."), (2, "same id must stay whole as it is")])
+    assert sorted((r.doc_id, r.text) for r in passages.dedupe(src).collect()) == sorted([(1, line), (2, "More of it."), (2, "More of it."), (2, "same id must stay whole as it is")])
 
 
-def test_passages_equal_brute_force(spark):
-    rng = random.Random(24)
-    lines = [" ".join(rng.choices(WORDS, k=rng.choice([3, 6, 12]))) + rng.choice([".", "!", ""]) for _ in range(25)]
-    texts = [rng.choice([" ", "\n"]).join(rng.choices(lines, k=rng.randrange(8))) for _ in range(60)]
+def gone_by_brute_force(texts, min_words):
+    """The characters of each text that go: those of repeated lines, and of connected repeated units with enough words."""
     first = {}
     for i, t in enumerate(texts):
-        for d, a, _ in passages.units(t):
-            first.setdefault(d, (i, a))
-            first[d] = min(first[d], (i, a))
-    got = {r.doc_id: r for r in passages.dedupe(docs_of(spark, texts), min_words=1).collect()}
+        for d, a, *_ in passages.units(t):
+            first[d] = min(first.get(d, (i, a)), (i, a))
     for i, t in enumerate(texts):
-        gone = {k for d, a, b in passages.units(t) if first[d] != (i, a) for k in range(a, b)}
-        assert got[i].text == "".join(c for k, c in enumerate(t) if k not in gone)
-        assert {k for a, b in got[i].removed_spans for k in range(a, b)} == gone
+        again = [(a, b, line) for d, a, b, line in passages.units(t) if first[d] != (i, a)]
+        covered = {k for a, b, _ in again for k in range(a, b)}
+        gone = {k for a, b, line in again if line for k in range(a, b)}
+        at = 0
+        while at < len(t):
+            end = at
+            while end in covered:
+                end += 1
+            if end > at and len(t[at:end].split()) >= min_words:
+                gone |= set(range(at, end))
+            at = max(end, at + 1)
+        yield gone
 
 
-def test_passages_that_are_short_stay(spark):
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(24)
+    lines = [" ".join(rng.choices(WORDS, k=rng.choice([3, 6, 12]))) + rng.choice([".", "!", ""]) for _ in range(25)]
+    texts = [rng.choice([" ", "\n"]).join(rng.choices(lines, k=rng.randrange(8))) for _ in range(60)]
+    sizes = []
+    for options in ({}, {"min_words": 1}):
+        got = {r.doc_id: r for r in passages.dedupe(docs_of(spark, texts), **options).collect()}
+        for i, gone in enumerate(gone_by_brute_force(texts, options.get("min_words", passages.MIN_PASSAGE_WORDS))):
+            assert got[i].text == "".join(c for k, c in enumerate(texts[i]) if k not in gone)
+            assert {k for a, b in got[i].removed_spans for k in range(a, b)} == gone
+            sizes.append(len(gone))
+    assert 0 < sum(sizes[:60]) < sum(sizes[60:])
+
+
+def test_passages_of_one_line_in_fifty_documents(spark):
+    rng = random.Random(28)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    for n in (5, 14, 24):
+        line = words(n)
+        texts = [f"{words(9)}\n{line}\n{words(7)}" for _ in range(50)]
+        got = {r.doc_id: r.text for r in passages.dedupe(docs_of(spark, texts)).collect()}
+        assert got[0] == texts[0] and all(got[i] == texts[i].replace(line + "\n", "") for i in range(1, 50))
+
+
+def test_passages_that_stay(spark):
     rng = random.Random(27)
     words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n)).capitalize() + "."
-    line, long = words(12), "\n".join(words(9) for _ in range(6))
-    texts = [f"{line}\n{words(20)}", f"{line}\n{words(20)}\n{long}", f"{long}\n{words(20)}\n{line}"]
+    few, sentence, long = words(4), words(12), " ".join(words(9) for _ in range(6))
+    texts = [f"{few}\n{words(20)} {sentence}", f"{few}\n{words(20)} {sentence} {words(9)}", f"{long} {words(20)}", f"{words(20)} {long} {words(20)}"]
     got = {r.doc_id: r.text for r in passages.dedupe(docs_of(spark, texts)).collect()}
-    assert got[0] == texts[0] and got[1] == texts[1] and got[2] == texts[2].removeprefix(long + "\n")
+    assert all(got[i] == texts[i] for i in (0, 1, 2)) and got[3] == texts[3].replace(long + " ", "")
 
 
 def test_passages_odd_rows(spark):
-    got = passages.dedupe(odd_docs(spark), min_words=1).collect()
+    got = passages.dedupe(odd_docs(spark)).collect()
     assert len(got) == 10 and [r.text for r in got if r.doc_id is None] == ["no id here at all, my friend"]
     assert {r.text for r in got if r.doc_id == 5} == {""} and [r.text for r in got if r.doc_id == 4] == ["same text of six words here"]
     assert passages.dedupe(empty_docs(spark)).count() == 0
