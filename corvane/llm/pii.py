@@ -42,7 +42,7 @@ EPOCHS = 10
 RATE = 0.3
 DECAY = 1e-3
 #: A span is added if the model gives it at least this probability.
-SURE = 0.9
+SURE = 0.8
 #: Spans with less than this chance, whatever stands beside them, are left out of a region's sums.
 TINY = 1e-7
 
