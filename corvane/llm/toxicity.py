@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted in order by linear models. A model sees words and
-stems of the text and the probabilities of the categories before it; in training
-those probabilities are out of fold, so that they are as uncertain as later.
+The categories, themes of toxic texts and then toxic itself, are predicted in
+order by linear models. A model sees words and stems of the text and the
+probabilities of the categories before it; in training those probabilities are
+out of fold, so that they are as uncertain as later.
 """
 
 from __future__ import annotations
@@ -20,12 +21,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize
 
-# Seed words of the two weak categories; a labelled toxic text has a category if it has one of its words.
-INSULT = frozenset("idiot idiots moron morons stupid dumb fool fools loser losers clown clowns imbecile jerk ignorant".split())
-DEGRADING = frozenset("trash garbage scum vermin worthless pathetic disgusting filthy vile subhuman parasite parasites despicable".split())
-CHAIN = ("insult", "degrading", "toxic")
+#: The labels only say toxic or not. The categories before that are themes: groups of toxic texts by the features they share, learned from the sample.
+CHAIN = ("theme_a", "theme_b", "toxic")
 
-#: Bounds of the sample that is learned from, and of the words that are features.
+#: Bounds of the sample that is learned from, and of the words that are features of the model; the features are chosen from all words of the sample.
 TRAIN_ROWS = 4000
 FEATURES = 160
 MIN_DOCS = 8
@@ -137,19 +136,46 @@ def fit(sets: list[set[str]], labels: np.ndarray, chosen: list[str], categories:
     return Chain(categories, columns, weights)
 
 
+def themes(x: np.ndarray, k: int = len(CHAIN) - 1, rounds: int = 10) -> np.ndarray:
+    """A theme from 0 for each row of a 0/1 matrix, by cosine to k middles that begin far apart; the largest theme comes first."""
+    x = x / np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
+    seeds = [int((x @ x.mean(0)).argmax())]
+    while len(seeds) < k:
+        seeds.append(int((x @ x[seeds].T).max(1).argmin()))
+    middles = x[seeds]
+    for _ in range(rounds):
+        own = (x @ middles.T).argmax(1)
+        sums = np.stack([x[own == j].sum(0) for j in range(k)])
+        middles = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)
+    own = (x @ middles.T).argmax(1)
+    place = np.argsort(np.argsort(-np.bincount(own, minlength=k), kind="stable"), kind="stable")
+    return place[own]
+
+
+def categorised(sets: list[set[str]], toxic: np.ndarray, chosen: list[str]) -> np.ndarray:
+    """The 0/1 matrix of CHAIN: a toxic text has one theme, by the chosen features, and is toxic."""
+    out = np.zeros((len(sets), len(CHAIN)), bool)
+    out[:, -1] = toxic
+    rows = np.flatnonzero(toxic)
+    if len(rows) and chosen:
+        x = np.array([[w in sets[i] for w in chosen] for i in rows], float)
+        out[rows, themes(x)] = True
+    return out
+
+
 def choose(bags: DataFrame, most: int = FEATURES) -> list[str]:
-    """The features of bags (bag, and a 0/1 column per category) whose presence tells most about any category, by chi-square.
+    """The features of bags (bag, toxic 0/1) whose presence tells most about toxic, by chi-square.
 
     Of those in MIN_DOCS texts or more, and in one toxic text at least.
     """
-    total = bags.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in CHAIN)).first()
+    total = bags.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n = total["n"]
     if not n or not total["toxic"]:
         return []
-    seen = bags.select(F.explode("bag").alias("feature"), *CHAIN).groupBy("feature").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in CHAIN))
+    seen = bags.select(F.explode("bag").alias("feature"), "toxic").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
     seen = seen.filter((F.col("n") >= MIN_DOCS) & (F.col("toxic") > 0))
-    expected = {c: F.col("n") * (total[c] / n) for c in CHAIN}
-    chi = F.greatest(*(F.pow(F.col(c) - e, 2) / F.greatest(e * (1 - F.col("n") / n), F.lit(1e-9)) for c, e in expected.items()))
+    expected = F.col("n") * (total["toxic"] / n)
+    chi = F.pow(F.col("toxic") - expected, 2) / F.greatest(expected * (1 - F.col("n") / n), F.lit(1e-9))
     return sorted(r["feature"] for r in seen.orderBy(F.desc(F.round(chi, 6)), "feature").limit(most).collect())
 
 
@@ -174,11 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = materialize(there.orderBy(order, "labelled").limit(rows), "known")
     sample = src.join(known, src.doc_id == known.labelled).select(order.alias("h"), "toxic", "text")
     bags = materialize(sample.mapInArrow(bagged, "h bigint, toxic int, bag array<string>"), "bags")
-    has = lambda words: F.arrays_overlap("bag", F.array(*map(F.lit, sorted(words)))).cast("int") * F.col("toxic")
-    bags = bags.withColumn("insult", has(INSULT)).withColumn("degrading", has(DEGRADING))
     chosen = choose(bags)
-    got = bags.select("h", *CHAIN, F.array_intersect("bag", F.array(*map(F.lit, chosen or [""]))).alias("bag")).orderBy("h", "bag").limit(rows).collect()
-    return fit([set(r["bag"]) for r in got], np.array([[r[c] for c in CHAIN] for r in got], bool).reshape(-1, len(CHAIN)), chosen)
+    got = bags.select("h", "toxic", F.array_intersect("bag", F.array(*map(F.lit, chosen or [""]))).alias("bag")).orderBy("h", "bag").limit(rows).collect()
+    sets = [set(r["bag"]) for r in got]
+    return fit(sets, categorised(sets, np.array([r["toxic"] for r in got], bool), chosen), chosen)
 
 
 def scorer(chain: Chain, spark):
@@ -193,7 +218,7 @@ def scorer(chain: Chain, spark):
 
 
 def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, p_insult, p_degrading, p_toxic, toxic boolean (p_toxic >= threshold).
+    """One row per document: doc_id, p_theme_a, p_theme_b, p_toxic, toxic boolean (p_toxic >= threshold).
 
     Whole texts are scored. A null or wordless text has the intercepts'
     probabilities; without toxic labels all probabilities are 0. Null ids,

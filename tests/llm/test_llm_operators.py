@@ -327,6 +327,56 @@ def test_components(spark):
 # 5 toxicity
 
 
+def brute_toxicity(texts, toxic):
+    """Features, themes and chain of all texts by plain loops over a dense table; probabilities of CHAIN."""
+    bags = [toxicity.features(t) for t in texts]
+    n, base = len(texts), sum(toxic) / len(texts)
+    chi = {}
+    for w in set().union(*bags):
+        has = [w in b for b in bags]
+        both = sum(h and t for h, t in zip(has, toxic))
+        if sum(has) >= toxicity.MIN_DOCS and both:
+            expected = sum(has) * base
+            chi[w] = (both - expected) ** 2 / max(expected * (1 - sum(has) / n), 1e-9)
+    chosen = sorted(sorted(chi, key=lambda w: (-round(chi[w], 6), w))[: toxicity.FEATURES])
+    order = sorted(range(n), key=lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) - (1 << 64) * (xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) >> 63))
+    x = np.array([[w in bags[i] for w in chosen] for i in order], float)
+    y = np.array([toxic[i] for i in order], bool)
+    rows, kinds = np.flatnonzero(y), toxicity.themes(x[y])
+    columns = [np.isin(np.arange(n), rows[kinds == k]) for k in (0, 1)] + [y]
+    whole = np.array([[w in b for w in chosen] for b in bags], float)
+    train, score = x, whole
+    for c in columns:
+        one = lambda m: np.c_[m, np.ones(len(m))]
+        held = np.zeros(n)
+        for f in range(toxicity.FOLDS):
+            out = np.arange(n) % toxicity.FOLDS == f
+            held[out] = 1 / (1 + np.exp(-(one(train[out]) @ toxicity.logistic(one(train[~out]), c[~out].astype(float)))))
+        w = toxicity.logistic(one(train), c.astype(float))
+        p = 1 / (1 + np.exp(-(one(score) @ w)))
+        train, score = np.c_[train, held], np.c_[score, p]
+    return score[:, -3:]
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(31)
+    texts, toxic = [], []
+    for i in range(240):
+        bad = rng.random() < 0.3
+        words = rng.choices(WORDS, k=25) + (rng.choices(rng.choice([["zorb", "zorbing", "quix"], ["flarn", "flarny", "gronk"]]), k=3) if bad else [])
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(bad)
+    got = {r.doc_id: r for r in toxicity.detect(docs_of(spark, texts), spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id bigint, toxic int")).collect()}
+    want = brute_toxicity(texts, toxic)
+    assert np.allclose([[got[i].p_theme_a, got[i].p_theme_b, got[i].p_toxic] for i in range(240)], want, atol=1e-6)
+    assert [got[i].toxic for i in range(240)] == toxic
+    # each theme has the texts with its words
+    a, b = (np.array([any(w in t for w in words) for t in texts]) for words in (("zorb", "quix"), ("flarn", "gronk")))
+    first = want[:, 0] > 0.5
+    assert (first == a).all() or (first == b).all()
+
+
 def test_toxicity_chain(spark):
     rng = random.Random(9)
     texts, toxic = [], []
@@ -342,7 +392,7 @@ def test_toxicity_chain(spark):
     got = {r.doc_id: r for r in toxicity.detect(docs, labels).collect()}
     held = [i for i in range(600) if i % 2]
     assert sum(got[i].toxic == bool(toxic[i]) for i in held) >= 0.97 * len(held)
-    assert all(0 <= got[i].p_insult <= 1 for i in held)
+    assert all(0 <= got[i].p_theme_a <= 1 for i in held)
     assert {r.toxic for r in toxicity.detect(docs, labels.filter("toxic = 0")).collect()} == {False}
     assert len(toxicity.detect(odd_docs(spark), labels).collect()) == 10
     assert toxicity.detect(empty_docs(spark), labels).count() == 0
