@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import vectors as V
 from corvane.operators.lexical import matching, ranked
 
 METRICS = ("dot", "cosine", "l2")
-#: Largest query table, in bytes of vectors, that is sent to all executors.
+#: Largest block of queries, in bytes of vectors, that is sent to all executors.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -26,9 +26,8 @@ def search(
     """(query_id, chunk_ord, score, rank): each of queries (query_id, vector) against all vectors (chunk_ord, vector).
 
     dot and cosine score unit vectors, l2 is the negative squared distance.
-    Scores below zero stay. A stated query set is compared with all rows: it is
-    broadcast if it is small, and its size is checked first; otherwise Spark
-    pairs the partitions.
+    Scores below zero stay. A stated query set is compared with all rows, in
+    blocks of queries that are broadcast one after the other.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -37,10 +36,50 @@ def search(
         raise ValueError(f"dimension must be from 1 to {native}")
     q = prepare(queries.select("query_id", "vector"), dimension).withColumnRenamed("vector", "query_vector")
     v = prepare(matching(vectors, namespace, filters), dimension).select("chunk_ord", "vector")
-    small = queries.count() * max(native, 1) * 8 <= BROADCAST_BYTES
     score = -V.squared_distance(F.col("query_vector"), F.col("vector")) if metric == "l2" else V.dot(F.col("query_vector"), F.col("vector"))
-    pairs = v.crossJoin(F.broadcast(q) if small else q)
-    return ranked(pairs.select("query_id", "chunk_ord", (F.round(score, 9) + 0.0).alias("score")), top_k)
+    return ranked(paired(q, v, native).select("query_id", "chunk_ord", (F.round(score, 9) + 0.0).alias("score")), top_k)
+
+
+def paired(queries: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
+    """Each query with each vector: queries in blocks of BROADCAST_BYTES at most, about, each of which is one pass over the vectors."""
+    blocks = max(1, -(-queries.count() * max(dimension, 1) * 8 // BROADCAST_BYTES))
+    out = None
+    for k in range(blocks):
+        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        pairs = vectors.crossJoin(F.broadcast(block))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def search_dimensions(queries: DataFrame, vectors: DataFrame, dimensions: list[int], top_k: int = 8) -> DataFrame:
+    """(dimension, query_id, chunk_ord, score, rank): the rankings of search() at several dimensions from one pass.
+
+    The products of a query and a vector are summed once, from one dimension to
+    the next, and so are the squares of each vector.
+    """
+    if not dimensions:
+        raise ValueError("no dimensions")
+    edges = sorted(set(dimensions))
+    native = vectors.select(F.max(F.size("vector"))).first()[0] or 0
+    if edges[0] < 1 or edges[-1] > max(native, 1):
+        raise ValueError(f"dimensions must be from 1 to {native}")
+
+    def upto(values: Column) -> Column:
+        """Sums of the first components, one for each dimension."""
+        pieces = F.array(*(F.aggregate(F.slice(values, a + 1, b - a), F.lit(0.0), lambda s, x: s + x) for a, b in zip([0, *edges], edges)))
+        return F.aggregate(pieces, F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(x + F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)))))
+
+    def prepared(rows: DataFrame, name: str) -> DataFrame:
+        v = V.doubles(F.col("vector"))
+        return rows.filter("vector IS NOT NULL").withColumn(name, v).withColumn(f"{name}_norms", F.transform(upto(F.transform(v, lambda x: x * x)), lambda x: F.sqrt(x)))
+
+    q = prepared(queries.select("query_id", "vector"), "q").drop("vector")
+    v = prepared(vectors.select("chunk_ord", "vector"), "v").drop("vector")
+    scores = F.zip_with(upto(F.zip_with("q", "v", lambda a, b: a * b)), F.zip_with("q_norms", "v_norms", lambda a, b: a * b), lambda s, n: F.when(n == 0, 0.0).otherwise(s / n))
+    flat = paired(q, v, native).select("query_id", "chunk_ord", F.posexplode(scores).alias("at", "score"))
+    named = flat.select(F.get(F.array(*map(F.lit, edges)), F.col("at")).alias("dimension"), "query_id", "chunk_ord", (F.round("score", 9) + 0.0).alias("score"))
+    w = Window.partitionBy("dimension", "query_id").orderBy(F.desc("score"), F.asc("chunk_ord"))
+    return named.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
 
 
 def candidate_limit(top_k: int, filters: dict[str, str], indexed: set[str]) -> int:

@@ -88,6 +88,33 @@ def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return joined.select("metric", "threshold", "value", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)).alias("passed"))
 
 
+def strategy_grid(lexical: DataFrame, dense: DataFrame, gold: DataFrame, dimensions: list[int], top_k: int = 10, candidates: int = 100) -> DataFrame:
+    """(strategy, dimension, metric, value): recall, mrr and ndcg of lexical (dimension 0), dense and hybrid retrieval at each dimension.
+
+    lexical has (query_id, chunk_ord, rank), dense (dimension, query_id,
+    chunk_ord, rank), both with `candidates` rows a query; they are made once and
+    shared by all cells of the grid. A cell's query is a key of (strategy,
+    dimension, query_id), so fusion and metrics take the whole grid at once.
+    """
+    from corvane.operators.fusion import reciprocal_rank_fusion
+
+    def keyed(rows: DataFrame, strategy: str, dimension: Column) -> DataFrame:
+        key = F.struct(F.lit(strategy).alias("strategy"), dimension.cast("int").alias("dimension"), "query_id").alias("query_id")
+        return rows.filter(F.col("rank") <= candidates).select(key, "chunk_ord", "rank")
+
+    each = F.explode(F.array(*map(F.lit, dimensions))).alias("dimension")
+    spread = lexical.select("query_id", "chunk_ord", "rank", each)
+    hybrid = reciprocal_rank_fusion([keyed(spread, "hybrid", F.col("dimension")), keyed(dense, "hybrid", F.col("dimension"))], top_k)
+    cells = keyed(lexical, "lexical", F.lit(0)).unionByName(keyed(dense, "dense", F.col("dimension"))).unionByName(hybrid.select("query_id", "chunk_ord", "rank"))
+    grid = [("lexical", 0), *((s, d) for s in ("dense", "hybrid") for d in dimensions)]
+    configs = F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), F.lit(d).cast("int").alias("dimension")) for s, d in grid))).alias("config")
+    wanted = gold.select("*", configs).withColumn("query_id", F.struct("config.strategy", "config.dimension", "query_id")).drop("config")
+    per = retrieval_metrics(cells, wanted, top_k)
+    names = ("recall", "mrr", "ndcg")
+    means = per.groupBy("query_id.strategy", "query_id.dimension").agg(*(F.avg(n).alias(n) for n in names))
+    return means.select("strategy", "dimension", F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))))
+
+
 def ablation(configs: list[dict], run) -> DataFrame:
     """Metrics of each config (a dict of scalars) of a grid, by run(config) -> (metric, value); one union, run as one job."""
     out = None

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
+from corvane.functions.plan import stored
+from corvane.operators.ordering import numbered
+from corvane.operators.speculate import fold_all
+
 
 def micros(ts: str) -> Column:
     """Microseconds of a timestamp; one without a zone is in the session's."""
@@ -93,62 +100,100 @@ def rate_limit(events: DataFrame, most: int, seconds: int, by: str, ts: str = "t
     return dealt.mapInPandas(fold, fields).drop("__t")
 
 
-def two_level_limit(events: DataFrame, most: int, seconds: int, global_most: int, by: str) -> DataFrame:
-    """rate_limit per group, then over all accepted by it; a request that the second level rejects has used its own quota.
+def sliding_fold(most: int, seconds: int, at: str = "__t"):
+    """A fold (speculate.fold_all) of a sliding limit over all rows: the state is the accepted times in the window."""
+    span = seconds * 1_000_000
+
+    def fold(state: str, rows: pd.DataFrame) -> tuple[str, list[bool]]:
+        kept, out = deque(json.loads(state)), []
+        for t in rows[at].tolist():
+            while kept and kept[0] < t - span:
+                kept.popleft()
+            out.append(len(kept) < most)
+            if out[-1]:
+                kept.append(t)
+        last = rows[at].iloc[-1] if len(rows) else 0
+        return json.dumps([k for k in kept if k >= last - span]), out
+
+    return fold
+
 
-    The second level is one recurrence over all requests, so it is one task by
-    its nature; only (event_id, ts) of accepted requests go there.
+def two_level_limit(events: DataFrame, most: int, seconds: int, global_most: int, by: str, ts: str = "ts", order: str = "event_id", parts: int | None = None, report: list | None = None) -> DataFrame:
+    """(order, own_ok, accepted): rate_limit per group, then over all accepted by it; a request that the second level rejects has used its own quota.
+
+    The second level is one recurrence over all requests. Its blocks are folded
+    at once, each from an empty window, and again where the block before has left
+    another one.
     """
-    first = rate_limit(events, most, seconds, by).select("event_id", "ts", F.col("accepted").alias("own_ok"))
-    passed = rate_limit(first.filter("own_ok").select("event_id", "ts", F.lit(0).alias("all")), global_most, seconds, "all")
-    both = first.join(passed.select("event_id", F.col("accepted").alias("global_ok")), "event_id", "left")
-    return both.select("event_id", F.col("own_ok"), F.coalesce("global_ok", F.lit(False)).alias("accepted"))
+    first = stored(rate_limit(events, most, seconds, by, ts, order).select(order, ts, F.col("accepted").alias("own_ok")), "first-level")
+    passed = first.filter("own_ok").select(order, micros(ts).alias("__t"))
+    second = fold_all(passed, ["__t", order], sliding_fold(global_most, seconds), "[]", "global_ok", "boolean", parts=parts, report=report)
+    both = first.join(second.select(order, "global_ok"), order, "left")
+    return both.select(order, F.col("own_ok"), F.coalesce("global_ok", F.lit(False)).alias("accepted"))
 
 
 def calendar_budget(events: DataFrame, daily: int, monthly: int, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """events with accepted: at most `daily` per UTC day and `monthly` per month, and rejected ones don't count.
 
     The day's rank is exact because a day's rejects come after its last accepted
-    one; the month's rank is over those that the day lets through.
+    one, and it is counted across ranges, so that no task gets a whole day; the
+    month's rank is over those that the day lets through, `daily` for each of its
+    days at most.
     """
-    moment = [F.col(ts), F.col(order)]
-    day = Window.partitionBy(F.to_date(ts)).orderBy(*moment)
-    ranked = events.withColumn("__day", F.row_number().over(day))
-    month = Window.partitionBy(F.date_format(ts, "yyyy-MM"), F.col("__day") <= daily).orderBy(*moment)
-    ok = (F.col("__day") <= daily) & (F.row_number().over(month) <= monthly)
-    return ranked.withColumn("accepted", ok).drop("__day")
+    ranked = stored(numbered(events.withColumn("__date", F.to_date(ts)), ["__date"], [ts, order], "__day"), "days")
+    month = Window.partitionBy(F.date_format(ts, "yyyy-MM")).orderBy(F.col(ts), F.col(order))
+    through = ranked.filter(F.col("__day") <= daily).withColumn("accepted", F.row_number().over(month) <= monthly)
+    late = ranked.filter(F.col("__day") > daily).withColumn("accepted", F.lit(False))
+    return through.unionByName(late).drop("__day", "__date")
+
+
+DEEP_LIMITS = ("daily", "monthly", "daily_deep", "monthly_deep")
+
+
+def deep_fold(most: list[int], deep: str):
+    """A fold of budgets: the state is a day, a month and what is used of each of DEEP_LIMITS."""
+
+    def fold(state: str, rows: pd.DataFrame) -> tuple[str, list[bool]]:
+        day, month, *used = state.split("|")
+        used, out = list(map(int, used)), []
+        for d, m, is_deep in zip(rows["__date"], rows["__month"], rows[deep]):
+            if d != day:
+                day, used[0], used[2] = d, 0, 0
+            if m != month:
+                month, used[1], used[3] = m, 0, 0
+            counters = (0, 1, 2, 3) if is_deep else (0, 1)
+            out.append(not any(most[k] > 0 and used[k] >= most[k] for k in counters))
+            if out[-1]:
+                for k in counters:
+                    used[k] += 1
+        return "|".join([day, month, *map(str, used)]), out
 
+    return fold
 
-def deep_budget(events: DataFrame, limits: dict[str, int], ts: str = "ts", order: str = "event_id", deep: str = "deep") -> DataFrame:
+
+def deep_budget(events: DataFrame, limits: dict[str, int], ts: str = "ts", order: str = "event_id", deep: str = "deep", parts: int | None = None, report: list | None = None) -> DataFrame:
     """events with accepted under daily, monthly, daily_deep and monthly_deep limits (0: none); deep requests count in both kinds.
 
-    A recurrence per month; the month's events stream through one task with four
-    counters as its state.
+    One recurrence over all requests, in blocks. A block is first folded as if
+    all requests before it in its day and month had been let through as far as
+    the limits go, which is right for limits that are used up or far away.
     """
-    src = events.withColumn("__day", F.date_format(ts, "yyyy-MM-dd")).withColumn("__month", F.date_format(ts, "yyyy-MM"))
-    fields = src.schema.add("accepted", BooleanType())
-    d, m, x = (src.columns.index(c) for c in ("__day", "__month", deep))
-    names = ("daily", "monthly", "daily_deep", "monthly_deep")
-    most = [limits.get(n, 0) for n in names]
+    most = [limits.get(n, 0) for n in DEEP_LIMITS]
+    src = events.withColumn("__date", F.date_format(ts, "yyyy-MM-dd")).withColumn("__month", F.date_format(ts, "yyyy-MM")).withColumn("__t", micros(ts))
 
-    def fold(it):
-        day, month, used = None, None, [0, 0, 0, 0]
-        for pdf in it:
-            ok = []
-            for dd, mm, is_deep in zip(pdf.iloc[:, d], pdf.iloc[:, m], pdf.iloc[:, x]):
-                if dd != day:
-                    day, used[0], used[2] = dd, 0, 0
-                if mm != month:
-                    month, used[1], used[3] = mm, 0, 0
-                counters = (0, 1, 2, 3) if is_deep else (0, 1)
-                free = not any(most[k] > 0 and used[k] >= most[k] for k in counters)
-                if free:
-                    for k in counters:
-                        used[k] += 1
-                ok.append(free)
-            yield pdf.assign(accepted=ok)
+    def guess(cut: DataFrame) -> DataFrame:
+        first = cut.groupBy("__part").agg(F.min_by(F.struct("__date", "__month"), F.struct("__t", order)).alias("at")).select("__part", "at.*")
+        sums = first
+        for key, name in (("__date", "d"), ("__month", "m")):
+            before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+            per = cut.groupBy("__part", key).agg(F.count("*").alias("all"), F.count(F.when(F.col(deep), 1)).alias("deep"))
+            per = per.select("__part", key, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{name}_{c}") for c in ("all", "deep")))
+            sums = sums.join(per, ["__part", key])
+        used = [F.least(F.col(c), F.lit(n)) if n > 0 else F.col(c) for c, n in zip(("d_all", "m_all", "d_deep", "m_deep"), most)]
+        return sums.select("__part", F.concat_ws("|", "__date", "__month", *(u.cast("string") for u in used)).alias("guess"))
 
-    return src.repartition("__month").sortWithinPartitions("__month", ts, order).mapInPandas(fold, fields).drop("__day", "__month")
+    done = fold_all(src, ["__t", order], deep_fold(most, deep), "||0|0|0|0", "accepted", "boolean", guess, parts, report)
+    return done.drop("__date", "__month", "__t")
 
 
 def snapshot(events: DataFrame, status: str = "event_type", value: str = "value", error: Column | None = None) -> DataFrame:
@@ -157,6 +202,54 @@ def snapshot(events: DataFrame, status: str = "event_type", value: str = "value"
     return events.agg(F.count("*").alias("requests_total"), F.count(F.when(failed, 1)).alias("errors_total"), F.max("ts").alias("last_request_at"), F.round(F.max(value), 2).alias("max_latency"))
 
 
+#: Size of a window's quantile sketch: ranks are off by 1.33 % of the rows at most, with a chance of 99 %.
+SKETCH_K = 200
+
+
+def window_summaries(events: DataFrame, seconds: int, ts: str = "ts", status: str = "event_type", value: str = "value", by: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
+    """(window_start, ...by, status, n, errors, n_values, max_value, last_at, sketch): one row for each window, group and status, which can be merged to any range.
+
+    The sketch is of the values that are not null; a window's row is of a bounded
+    size however many events it has.
+    """
+    start = F.window(F.col(ts), f"{seconds} seconds")["start"].alias("window_start")
+    grouped = events.groupBy(start, *(by or []), F.col(status).alias("status"))
+    v = F.col(value).cast("double")
+    return grouped.agg(
+        F.count("*").alias("n"), F.count(F.when(F.col(status) == "error", 1)).alias("errors"), F.count(v).alias("n_values"), F.max(v).alias("max_value"),
+        F.max(ts).alias("last_at"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"),
+    )
+
+
+def merged_snapshot(summaries: DataFrame, since: Column | None = None, until: Column | None = None, by: list[str] | None = None, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(...by, requests_total, errors_total, by_status map, latency_count, p50, p95, ..., max_latency, last_request_at) of all windows that begin in [since, until), from their summaries alone."""
+    rows = summaries
+    if since is not None:
+        rows = rows.filter(F.col("window_start") >= since)
+    if until is not None:
+        rows = rows.filter(F.col("window_start") < until)
+    per = rows.groupBy(*(by or []), "status").agg(
+        F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.sum("n_values").alias("n_values"), F.max("max_value").alias("max_value"), F.max("last_at").alias("last_at"),
+        F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+    whole = per.groupBy(*(by or [])).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("requests_total"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors_total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("by_status"),
+        F.coalesce(F.sum("n_values"), F.lit(0)).alias("latency_count"), F.max("max_value").alias("max_latency"), F.max("last_at").alias("last_request_at"), F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+    at = lambda p: F.when(F.col("latency_count") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p)))
+    picks = [F.round(at(p), 2).alias(f"p{round(100 * p)}") for p in quantiles]
+    return whole.select(*(by or []), "requests_total", "errors_total", "by_status", "latency_count", *picks, F.round("max_latency", 2).alias("max_latency"), "last_request_at")
+
+
+def rank_error(events: DataFrame, snapshot_row: DataFrame, value: str = "value", quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(quantile, estimate, rank, error): the share of values at most the estimate, and how far the quantile lies outside of the estimate's ranks."""
+    names = F.explode(F.array(*(F.struct(F.lit(p).alias("quantile"), F.col(f"p{round(100 * p)}").alias("estimate")) for p in quantiles))).alias("x")
+    asked = F.broadcast(snapshot_row.select(names).select("x.*"))  # a row for each quantile
+    v = F.round(F.col(value), 2)
+    counted = events.filter(F.col(value).isNotNull()).select(v.alias("v")).crossJoin(asked).groupBy("quantile", "estimate").agg(F.avg((F.col("v") <= F.col("estimate")).cast("double")).alias("rank"), F.avg((F.col("v") < F.col("estimate")).cast("double")).alias("below"))
+    return counted.select("quantile", "estimate", "rank", F.greatest(F.lit(0.0), F.col("below") - F.col("quantile"), F.col("quantile") - F.col("rank")).alias("error"))
+
+
 def identity(user: Column, headers: list[Column], client: Column, session: Column, salt: str) -> Column:
     """Private identity of a request: the user, else the first proxy header's first entry or the client, else the session, else anonymous."""
 

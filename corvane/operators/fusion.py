@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import dense, lexical
+from corvane.operators import dense, ivf, lexical
 
 RRF_K = 60
 CANDIDATES = 100
@@ -56,8 +56,22 @@ def rerank(ranking: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None,
     return scored.select("query_id", "chunk_ord", F.col("rerank_score").alias("score"), F.col("new_rank").alias("rank"))
 
 
-def retrieve(mode: str, queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, top_k: int = 8, namespace: str | None = "knowledge", scorer=None, **more) -> DataFrame:
-    """One retrieval by mode: lexical, dense, hybrid, or any of them with `_colbert`, which reranks; without vectors, lexical."""
+def dense_by(backend: str, query_vectors: DataFrame, vectors: DataFrame, top_k: int, index: ivf.Index | None = None, probes: int = 8, **more) -> DataFrame:
+    """Dense retrieval by a backend: `memory` compares with all vectors, `index` looks into a stored inverted file, `auto` takes that if there is one."""
+    if backend not in ("memory", "index", "auto"):
+        raise ValueError(f"unknown backend {backend}")
+    if backend == "index" and index is None:
+        raise ValueError("the backend `index` needs an index")
+    if backend == "memory" or index is None:
+        return dense.search(query_vectors, vectors, top_k, **more)
+    return ivf.nearest_rows(query_vectors, index, top_k, probes=probes, **more)
+
+
+def retrieve(
+    mode: str, queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, top_k: int = 8, namespace: str | None = "knowledge", scorer=None,
+    backend: str = "memory", index: ivf.Index | None = None, **more,
+) -> DataFrame:
+    """One retrieval by mode: lexical, dense, hybrid, or any of them with `_colbert`, which reranks; without vectors, lexical. Dense parts go to a backend (dense_by)."""
     base, _, second = mode.partition("_")
     if base == "colbert":
         base, second = "hybrid", "colbert"
@@ -67,7 +81,8 @@ def retrieve(mode: str, queries: DataFrame, chunks: DataFrame, query_vectors: Da
     if base == "lexical" or vectors is None or query_vectors is None:
         found = lexical.search(queries, chunks, k, namespace, **more)
     elif base == "dense":
-        found = dense.search(query_vectors, vectors, k, namespace=namespace, **more)
+        found = dense_by(backend, query_vectors, vectors, k, index, namespace=namespace, **more)
     else:
-        found = hybrid(queries, chunks, query_vectors, vectors, k, namespace=namespace, **more)
+        lex = lexical.search(queries, chunks, max(k, CANDIDATES), namespace, **more)
+        found = reciprocal_rank_fusion([lex, dense_by(backend, query_vectors, vectors, max(k, CANDIDATES), index, namespace=namespace, **more)], k)
     return rerank(found, scorer, top_k) if second else found

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.answers import claimed_gains, matches_evidence
-from corvane.operators.evaluation import mean_metrics
+from corvane.operators.evaluation import mean_metrics, micro_accuracy
+from corvane.operators.rules import ATTRIBUTES
 
 GOLD = (
     "version string, created string, description string, thresholds map<string,double>, "
@@ -75,6 +76,39 @@ def topology_scores(chosen: DataFrame, gold: DataFrame) -> DataFrame:
     return joined.select("id", F.col("expected_topology").alias("expected"), "actual", F.coalesce(F.col("actual") == F.col("expected_topology"), F.lit(False)).alias("correct"))
 
 
+def routing_scores(resolved: DataFrame, gold: DataFrame) -> DataFrame:
+    """The routing of each item: (id, domain_correct, attribute_total, attribute_correct, pending_total, pending_correct, wrong_attributes map, actual_domain, failed).
+
+    resolved has id, domain, pending array and a struct per attribute (as
+    rules.resolve gives them); gold id, expected_domain, expected_attributes map
+    and expected_pending, which is compared as a set, and not at all where it is
+    null. An item that was not resolved has nothing right.
+    """
+    values = F.create_map(*(x for a in ATTRIBUTES for x in (F.lit(a), F.col(f"{a}.value"))))
+    r = resolved.select("id", F.col("domain").alias("actual_domain"), F.array_sort(F.array_distinct("pending")).alias("actual_pending"), values.alias("actual"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    wanted = F.coalesce(F.map_entries("expected_attributes"), none)
+    joined = gold.select("id", "expected_domain", wanted.alias("wanted"), F.array_sort(F.array_distinct("expected_pending")).alias("expected_pending")).join(r, "id", "left")
+    wrong = F.filter("wanted", lambda e: ~F.try_element_at("actual", e["key"]).eqNullSafe(e["value"]))
+    total = F.col("expected_pending").isNotNull()
+    scored = joined.select(
+        "id", F.col("actual_domain").eqNullSafe(F.col("expected_domain")).alias("domain_correct"), F.size("wanted").alias("attribute_total"), (F.size("wanted") - F.size(wrong)).alias("attribute_correct"),
+        total.cast("int").alias("pending_total"), F.coalesce(total & F.col("actual_pending").eqNullSafe(F.col("expected_pending")), F.lit(False)).cast("int").alias("pending_correct"),
+        F.map_from_entries(F.transform(wrong, lambda e: F.struct(e["key"].alias("key"), F.try_element_at("actual", e["key"]).alias("value")))).alias("wrong_attributes"), "actual_domain",
+    )
+    failed = ~F.col("domain_correct") | (F.col("attribute_correct") < F.col("attribute_total")) | (F.col("pending_correct") < F.col("pending_total"))
+    return scored.withColumn("failed", failed)
+
+
+def routing_metrics(scores: DataFrame) -> DataFrame:
+    """(metric, value): accuracy of domains by item, of attributes and pending sets over all of them; 1 over nothing but items, 0 without items."""
+    whole = scores.agg(
+        F.coalesce(F.avg(F.col("domain_correct").cast("double")), F.lit(0.0)).alias("routing_domain_accuracy"), micro_accuracy(F.col("attribute_correct"), F.col("attribute_total")).alias("routing_attribute_accuracy"),
+        micro_accuracy(F.col("pending_correct"), F.col("pending_total")).alias("routing_pending_accuracy"),
+    )
+    return whole.select(F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in whole.columns))))
+
+
 def source_matches(source: Column, wanted: Column) -> Column:
     """Whether a source (source_path, section, used_by) is one that is wanted (used_by, path_contains, section_contains), whatever the case; empty wishes hold."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
@@ -130,13 +164,18 @@ def answer_scores(answers: DataFrame, gold: DataFrame) -> DataFrame:
     return a.withColumn("failed", failed).drop("least", "panel_least")
 
 
-def report(retrieval: DataFrame, topology: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+def report(retrieval: DataFrame, topology: DataFrame, answers: DataFrame | None = None, routing: DataFrame | None = None) -> DataFrame:
     """(kind, axis, name, value) of a whole evaluation: metrics, counts, and a failure per item that fell short, as one union."""
     row = lambda df, kind, axis, name, value: df.select(F.lit(kind).alias("kind"), F.lit(axis).alias("axis"), name.cast("string").alias("name"), value.cast("double").alias("value"))
     scored = topology.withColumn("score", F.col("correct").cast("double"))
     parts = [row(mean_metrics(retrieval), "metric", "retrieval", F.col("metric"), F.col("value")), row(mean_metrics(scored, ("score",)), "metric", "topology", F.lit("topology_accuracy"), F.col("value"))]
     parts += [row(df.agg(F.count("*").alias("n")), "count", axis, F.lit(f"{axis}_items"), F.col("n")) for axis, df in (("retrieval", retrieval), ("topology", topology))]
     parts += [row(retrieval.filter("recall < 1"), "failure", "retrieval", F.col("id"), F.col("recall")), row(topology.filter("NOT correct"), "failure", "topology", F.col("id"), F.lit(0))]
+    if routing is not None:
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(f"routing_{c}") for c in ("attribute_total", "attribute_correct", "pending_total", "pending_correct")]
+        counts = routing.agg(F.count("*").alias("routing_items"), *sums)
+        flat = counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in counts.columns))))
+        parts += [row(routing_metrics(routing), "metric", "routing", F.col("metric"), F.col("value")), row(flat, "count", "routing", F.col("name"), F.col("value")), row(routing.filter("failed"), "failure", "routing", F.col("id"), F.lit(0))]
     if answers is not None:
         parts += [
             row(mean_metrics(answers, ANSWER_METRICS), "metric", "answer", F.concat(F.lit("answer_"), F.when(F.col("metric") == "topology", "topology_accuracy").otherwise(F.col("metric"))), F.col("value")),

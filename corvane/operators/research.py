@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.plan import stored
 from corvane.operators.answers import specialists
 
 #: A retrieval: queries (query_id, query) and a number of results -> (query_id, chunk_ord, score, rank).
@@ -39,18 +40,36 @@ SUBQUERIES = {
 PER_SUBQUERY = 6
 
 
-def fan_out(briefs: DataFrame, retrieve: Retrieve, top_k: int = 8, failing: tuple[str, ...] = ()) -> DataFrame:
-    """(brief_id, agent, place, status, chunk_ord, score, rank) of all specialists for all briefs (brief_id, brief) in one retrieval.
+AGENTS = ("retrieval", "security", "cloud_iac", "evaluation")
 
-    Agents stay in their fixed order (place). One that fails, or finds nothing,
-    has one row without a source, and the others are not touched.
+
+def fan_out(briefs: DataFrame, retrieve: Retrieve | dict[str, Retrieve], top_k: int = 8, errors: dict[str, str] | None = None) -> DataFrame:
+    """(brief_id, agent, place, status, chunk_ord, score, rank) of all specialists for all briefs (brief_id, brief).
+
+    Agents that share a retrieval are one query set of it; a dict gives agents
+    their own. Each retrieval runs by itself: where one raises, its agents have
+    the status error and no source, `errors` gets the message, and the others are
+    not touched. Agents stay in their fixed order (place), and one that finds
+    nothing has one row without a source.
     """
     asked = specialists(briefs)
-    agents = [r for r in ("retrieval", "security", "cloud_iac", "evaluation")]
-    found = retrieve(asked.filter(~F.col("agent").isin(*failing) if failing else F.lit(True)).select("query_id", "query"), top_k)
-    joined = asked.join(found.select("query_id", "chunk_ord", "score", "rank"), "query_id", "left")
-    place = F.array_position(F.array(*map(F.lit, agents)), F.col("agent")) - 1
-    status = F.when(F.col("agent").isin(*failing) if failing else F.lit(False), "error").otherwise("ok")
+    own = retrieve if isinstance(retrieve, dict) else dict.fromkeys(AGENTS, retrieve)
+    failed: dict[str, str] = {a: "no retrieval" for a in AGENTS if a not in own}
+    found = None
+    for run in dict.fromkeys(own.values()):
+        mine = [a for a, r in own.items() if r is run]
+        try:
+            part = stored(run(asked.filter(F.col("agent").isin(mine)).select("query_id", "query"), top_k).select("query_id", "chunk_ord", "score", "rank"), "found")
+        except Exception as e:  # noqa: BLE001  an agent's failure is a status, whatever it is
+            failed |= dict.fromkeys(mine, f"{type(e).__name__}: {e}")
+            continue
+        found = part if found is None else found.unionByName(part)
+    if errors is not None:
+        errors |= failed
+    none = "query_id string, chunk_ord bigint, score double, rank int"
+    joined = asked.join(found if found is not None else briefs.sparkSession.createDataFrame([], none), "query_id", "left")
+    place = F.array_position(F.array(*map(F.lit, AGENTS)), F.col("agent")) - 1
+    status = F.when(F.col("agent").isin(list(failed)) if failed else F.lit(False), "error").otherwise("ok")
     return joined.select("brief_id", "agent", place.cast("int").alias("place"), status.alias("status"), "chunk_ord", "score", "rank")
 
 

@@ -172,11 +172,19 @@ def _plain(x: str) -> str:
 
 
 def _unescaped(x: str) -> str:
-    for name, c in evidence.LONG_ENTITIES:
-        x = f"replace({x}, '&{name};', {_lit(c)})"
-    for name, c in evidence.ENTITIES:
-        x = _re(x, f"&{name};?", c)
-    return x
+    """References of x as characters; numbers and names are maps of the table `known`."""
+    digits = "regexp_extract(r, '^&#[xX]?0*([0-9a-fA-F]*)', 1)"
+    n = f"CASE WHEN length({digits}) > 8 THEN 1114112 WHEN r[2:3] IN ('#x', '#X') THEN ('0x0' || {digits})::BIGINT ELSE ('0' || {digits})::BIGINT END"
+    char = "CASE WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(n::INT) END"
+    by_number = f"list_transform([{n}], lambda n: coalesce(numbers[n], {char}))[1]"
+    start = f"regexp_extract(r[2:], '^(?:{'|'.join(evidence.BARE_NAMES)})')"
+    by_name = f"coalesce(names[r[2:]], CASE WHEN {start} = '' THEN r ELSE names[{start}] || r[length({start}) + 2:] END)"
+    refs = f"list_append(list_transform(regexp_extract_all({x}, {_lit(evidence.REFERENCE)}), lambda r: CASE WHEN r[:2] = '&#' THEN {by_number} ELSE {by_name} END), '')"
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, {_lit(evidence.REFERENCE)}), {refs}), lambda z: z[1] || z[2]), '')"
+
+
+_ALL_NAMES = {k: v for part in evidence.NAMES.values() for k, v in part.items()}
+KNOWN = f"known AS (SELECT MAP([{', '.join(map(_lit, _ALL_NAMES))}], [{', '.join(map(_lit, _ALL_NAMES.values()))}]) AS names, MAP([{', '.join(evidence.NUMBERS)}]::BIGINT[], [{', '.join(map(_lit, evidence.NUMBERS.values()))}]) AS numbers)"
 
 
 def _back(mark: str, least: int, dots: str = "") -> str:
@@ -188,7 +196,7 @@ _IS_TABLE = f"(regexp_matches(x, {_lit(evidence.TABLE_LINE)}) AND x <> '|')"
 PAGE_TEXT = f"""
 WITH bare AS (SELECT page_id, {_re("coalesce(html, '')", evidence.MARKUP, chr(10))} AS whole FROM pages),
 cut AS (SELECT page_id, CASE WHEN regexp_matches(right(whole, 34), {_lit(evidence.CUT_REFERENCE)}) THEN substr(whole, 1, length(whole) - length(string_split(whole, chr(10))[-1])) ELSE whole END AS t FROM bare),
-lines AS (SELECT page_id, regexp_split_to_array({_unescaped('t')}, {_lit(evidence.LINE_BREAK)}) AS l FROM cut)
+{KNOWN}, lines AS (SELECT page_id, regexp_split_to_array({_unescaped('t')}, {_lit(evidence.LINE_BREAK)}) AS l FROM cut, known)
 SELECT page_id, array_to_string(list_filter(list_transform(l, lambda x: {_compact('x')}), lambda x: x <> ''), chr(10)) AS text FROM lines"""
 SNIPPETS = f"""
 WITH texts AS (SELECT doc_id, source, [{", ".join(map(_lit, BEFORE))}][1 + doc_id % {len(BEFORE)}] || text AS text FROM documents),

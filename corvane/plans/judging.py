@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from corvane.operators import answers, dense, evidence, judging, lexical, research, rules
 from corvane.plans.answers import _TAILS, STATE, TAILS, _state
-from corvane.plans.common import chunks, query_vectors, questions, t, vectors
+from corvane.plans.common import BRIEFS_SQL, briefs, chunks, query_vectors, questions, t, vectors
 from corvane.plans.evidence import LINKS, _linked, _lit
 from corvane.plans.retrieval import BM25, _bm25, _dense_sql, _top
-from corvane.plans.routing import CHOSEN
+from corvane.plans.routing import CHOSEN, NEEDS
 from corvane.sources import store
 
 FEW = 10
@@ -87,6 +87,35 @@ def evl5_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answered(spark, sf_dir).withColumnRenamed("id", "doc_id")
 
 
+#: Domains that a routing item expects by a word of its brief, the first that is there.
+EXPECTED = (("hipaa", "medical-clinical"), ("bank", "financial-banking"), ("api", "technical-software"), ("cbt", "psychology-mental-health"))
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brief as a routing item: a domain by a word, attributes that most briefs of a kind have, and pending ones where the brief's length is even."""
+    b = briefs(spark, sf_dir)
+    resolved = rules.resolve(b).withColumnRenamed("brief_id", "id")
+    low = F.lower("brief")
+    domain = F.coalesce(*(F.when(low.contains(w), d) for w, d in EXPECTED))
+    wanted = F.create_map(F.lit("A2"), F.lit("high"), F.lit("A12"), F.when(F.length("brief") % 3 == 0, "gated").otherwise("advisory"), F.lit("A4"), F.lit("sectoral"))
+    pending = F.when(F.length("brief") % 2 == 0, F.array(*map(F.lit, ("A9", "A7", "A6", "A3", "A8", "A3"))))
+    gold = b.select(F.col("brief_id").alias("id"), domain.alias("expected_domain"), wanted.alias("expected_attributes"), pending.alias("expected_pending"))
+    return judging.routing_scores(resolved, gold)
+
+
+def evl3_routing_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = F.array_join(F.transform(F.array_sort(F.map_entries("wrong_attributes")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("none")))), ",")
+    return _routed(spark, sf_dir).withColumn("wrong_attributes", wrong)
+
+
+def evl6_whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and counts of the routing and topology axes, and how many items failed, from a report with all axes."""
+    r = judging.report(_metrics(spark, sf_dir), _topologies(spark, sf_dir), None, _routed(spark, sf_dir))
+    kept = r.filter("axis IN ('routing', 'topology')")
+    failures = kept.filter("kind = 'failure'").groupBy("kind", "axis").agg(F.lit("items").alias("name"), F.count("*").cast("double").alias("value"))
+    return kept.filter("kind <> 'failure'").unionByName(failures).withColumn("value", F.round("value", 6))
+
+
 def evl6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = judging.report(_metrics(spark, sf_dir), _topologies(spark, sf_dir), _answered(spark, sf_dir))
     return r.withColumn("value", F.round("value", 6))
@@ -107,8 +136,13 @@ def _retrieve(spark: SparkSession, sf_dir: str):
 
 
 def evd1_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four specialists a question, of which security's retrieval fails."""
-    f = research.fan_out(_briefed(spark, sf_dir), _retrieve(spark, sf_dir), 8, failing=("security",))
+    """Four specialists a question, of which security has a retrieval that breaks off."""
+    run = _retrieve(spark, sf_dir)
+
+    def broken(queries: DataFrame, k: int) -> DataFrame:
+        return run(queries.select("query_id", "no_such_column"), k)
+
+    f = research.fan_out(_briefed(spark, sf_dir), dict.fromkeys(research.AGENTS, run) | {"security": broken}, 8)
     return f.select(F.col("brief_id").alias("item_id"), "agent", "place", "status", F.coalesce("chunk_ord", F.lit(-1)).alias("doc_id"), F.coalesce(F.col("rank").cast("long"), F.lit(0)).alias("rank"))
 
 
@@ -173,7 +207,7 @@ def jn11_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        evl1_evidence_metrics, win7_claimed_gains, evl4_topology_axis, evl5_answer_scores, evl6_report, evd1_fan_out, evd7_research, rul11_topology_payload, rul14_decisions, rul19_edges,
+        evl1_evidence_metrics, win7_claimed_gains, evl4_topology_axis, evl5_answer_scores, evl6_report, evl3_routing_axis, evl6_whole_report, evd1_fan_out, evd7_research, rul11_topology_payload, rul14_decisions, rul19_edges,
         flt12_public_links, flt12_leaks, flt4_residual_search, src9_upsert, jn11_labels,
     )
 }
@@ -223,11 +257,26 @@ _ORDER = ("retrieval", "security", "cloud_iac", "evaluation")
 _REFS = {a: "[" + ", ".join(f"'E' || ((length(brief) + {2 * _ORDER.index(n) + k}) % 6)" for n in names for k in (0, 1)) + "]" for a, names in rules.DECISION_AREAS}
 _FIRST3 = "array_to_string(list_transform(list_sort(list_transform(list_distinct({0}), lambda x: {{'i': list_position({0}, x), 'x': x}}))[1:3], lambda z: z.x), ',')"
 
+_WANTED = "[{'k': 'A12', 'v': CASE WHEN length(brief) % 3 = 0 THEN 'gated' ELSE 'advisory' END, 'a': a12}, {'k': 'A2', 'v': 'high', 'a': a2}, {'k': 'A4', 'v': 'sectoral', 'a': a4}]"
+ROUTED = f"""{NEEDS},
+ri AS (SELECT w.brief_id AS id, domain, {" ".join(["CASE", *(f"WHEN contains(lower(brief), '{x}') THEN '{d}'" for x, d in EXPECTED), "END"])} AS expected, list_filter({_WANTED}, lambda e: e.v IS DISTINCT FROM e.a) AS wrong,
+  CASE WHEN length(brief) % 2 = 0 THEN 1 ELSE 0 END AS pending_total, length(brief) % 2 = 0 AND pending = 'A3,A6,A7,A8,A9' AS pending_ok FROM wide w JOIN briefs b ON b.brief_id = w.brief_id),
+routed AS (SELECT id, domain IS NOT DISTINCT FROM expected AS domain_correct, 3::INT AS attribute_total, (3 - len(wrong))::INT AS attribute_correct, pending_total, pending_ok::INT AS pending_correct,
+  array_to_string(list_transform(wrong, lambda e: e.k || '=' || coalesce(e.a, 'none')), ',') AS wrong_attributes, domain AS actual_domain, domain IS DISTINCT FROM expected OR len(wrong) > 0 OR pending_ok::INT < pending_total AS failed FROM ri)"""
+
 ORACLE_SQL = {
     "evl1_evidence_metrics": f"WITH {JUDGED} SELECT item_id, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, array_to_string(gains, ',') AS gains FROM judged",
     "win7_claimed_gains": f"WITH {BM25}, top AS ({_top('bm', 10, 'doc_id')}), g AS (SELECT query_id, list(list_distinct(list_filter([(doc_id % 5)::INT, CASE WHEN quality = 1 THEN 0 END], lambda x: x IS NOT NULL)) ORDER BY rank) AS ms FROM top LEFT JOIN labels USING (doc_id) GROUP BY query_id) SELECT query_id, array_to_string({_claim('ms', 'CASE WHEN {} < 2 THEN 2 ELSE 1 END')}, ',') AS gains FROM g",
     "evl4_topology_axis": f"WITH {STATE}, {TOPOS} SELECT *, expected = actual AS correct FROM topos",
     "evl5_answer_scores": f"WITH {ANSWERED} SELECT * FROM answered",
+    "evl3_routing_axis": f"WITH {ROUTED} SELECT id, domain_correct, attribute_total, attribute_correct, pending_total, pending_correct, wrong_attributes, actual_domain, failed FROM routed",
+    "evl6_whole_report": f"""
+WITH {STATE.replace(NEEDS, ROUTED)}, {TOPOS},
+rows_ AS (SELECT 'metric' AS kind, 'routing' AS axis, unnest(['routing_domain_accuracy', 'routing_attribute_accuracy', 'routing_pending_accuracy']) AS name, unnest([avg(domain_correct::INT), sum(attribute_correct) / sum(attribute_total), sum(pending_correct) / sum(pending_total)]) AS value FROM routed
+  UNION ALL SELECT 'count', 'routing', unnest(['routing_items', 'routing_attribute_total', 'routing_attribute_correct', 'routing_pending_total', 'routing_pending_correct']), unnest([count(*), sum(attribute_total), sum(attribute_correct), sum(pending_total), sum(pending_correct)]) FROM routed
+  UNION ALL SELECT 'metric', 'topology', 'topology_accuracy', avg(CASE WHEN expected = actual THEN 1.0 ELSE 0.0 END) FROM topos UNION ALL SELECT 'count', 'topology', 'topology_items', count(*) FROM topos
+  UNION ALL SELECT 'failure', 'routing', 'items', count(*) FROM routed WHERE failed HAVING count(*) > 0 UNION ALL SELECT 'failure', 'topology', 'items', count(*) FROM topos WHERE expected <> actual HAVING count(*) > 0)
+SELECT kind, axis, name, round(value::DOUBLE, 6) AS value FROM rows_""",
     "evl6_report": f"""
 WITH {JUDGED}, {STATE}, {TOPOS}, {ANSWERED},
 rows_ AS (

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import evaluation, events
-from corvane.plans.common import chunks, t
-from corvane.plans.retrieval import BM25, _bm25, _top
+from corvane.functions.plan import stored
+from corvane.operators import dense, evaluation, events
+from corvane.plans.common import chunks, t, vectors
+from corvane.plans.retrieval import BM25, _bm25, _dense_sql, _top
 from corvane.sources import manifest, store
 
 WINDOW_S, SPIKE = 3600, 5
@@ -58,6 +59,25 @@ def ops6_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.snapshot(_events(spark, sf_dir))
 
 
+def ops6_merged_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, gauges and percentiles of half a month from the summaries of its hours; percentiles as whether their ranks are within the sketch's bound."""
+    e = _events(spark, sf_dir)
+    since, until = F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")
+    shot = events.merged_snapshot(events.window_summaries(e, 3600), since, until)
+    error = events.rank_error(e.filter((F.col("ts") >= since) & (F.col("ts") < until)), shot).agg(F.max("error")).first()[0]
+    statuses = F.array_join(F.transform(F.map_entries("by_status"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return shot.select("requests_total", "errors_total", statuses.alias("by_status"), "latency_count", "max_latency", "last_request_at", F.lit(error <= 0.0266).alias("percentiles_within_bound"))
+
+
+def evl8_strategy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical, dense and hybrid retrieval at three dimensions against the gold labels; texts and vectors are read once for all."""
+    q = t(spark, sf_dir, "embeddings").join(t(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    lex = stored(_bm25(spark, sf_dir, 100), "lexical")
+    den = stored(dense.search_dimensions(q, vectors(spark, sf_dir), [16, 32, 64], 100), "dense")
+    grid = evaluation.strategy_grid(lex, den, _gold(spark, sf_dir), [16, 32, 64])
+    return grid.withColumn("value", F.round("value", 6))
+
+
 def ops7_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     user = F.when(F.col("user_id") % 3 == 0, F.col("user_id").cast("string"))
@@ -177,7 +197,7 @@ def rel4_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        win9_sliding_counts, ops4_spikes, ops5_alerts, win10_last_n, ops1_rate_limit, ops2_two_level_limit, ops3_calendar_budget, ops3_deep_budget, ops6_snapshot, ops7_identity,
+        win9_sliding_counts, ops4_spikes, ops5_alerts, win10_last_n, ops1_rate_limit, ops2_two_level_limit, ops3_calendar_budget, ops3_deep_budget, ops6_snapshot, ops6_merged_snapshot, evl8_strategy_grid, ops7_identity,
         agg9_percentile_nearest, agg10_percentile_rounded, agg11_percentile_linear, agg12_latency_summary, agg13_status_counts, evl1_recall_mrr_ndcg, evl7_gate,
         evl3_micro_accuracy, src19_counts_by, src8_table_match, src2_manifest_validate, src4_manifest_generate, src3_manifest_by_path, flt6_ingestible, src7_missing_vectors,
         rel1_pricing_summary, rel2_revenue_by_nation, rel3_rollup, rel4_session_windows,
@@ -210,11 +230,45 @@ ORACLE_SQL = {
     "ops4_spikes": f"WITH {SPIKES} SELECT event_id, window_count, window_count >= {SPIKE} AS is_spike FROM spikes",
     "ops5_alerts": f"WITH {SPIKES} SELECT event_id, concat_ws(',', CASE WHEN event_type = 'error' THEN 'failed_call' END, CASE WHEN value >= {SLOW} THEN 'slow_call' END, CASE WHEN window_count >= {SPIKE} THEN 'traffic_spike' END) AS reasons FROM spikes",
     "win10_last_n": "SELECT event_id, round(avg(value) OVER w, 6) AS last_mean, max(value) OVER w AS last_max FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
+    "ops2_two_level_limit": """
+WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+own AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS event_id, NULL::BIGINT AS t, false AS ok FROM e
+  UNION ALL SELECT user_id, n, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END, event_id, t, len(live) < 2
+  FROM (SELECT e.*, list_filter(own.kept, lambda x: x >= e.t - 86400000000) AS live FROM own JOIN e ON e.user_id = own.user_id AND e.n = own.n + 1)),
+passed AS MATERIALIZED (SELECT event_id, t, row_number() OVER (ORDER BY t, event_id) AS n FROM own WHERE ok),
+total AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS event_id, false AS ok
+  UNION ALL SELECT n, CASE WHEN len(live) < 10 THEN list_append(live, t) ELSE live END, event_id, len(live) < 10
+  FROM (SELECT p.*, list_filter(total.kept, lambda x: x >= p.t - 86400000000) AS live FROM total JOIN passed p ON p.n = total.n + 1))
+SELECT own.event_id, own.ok AS own_ok, coalesce(total.ok, false) AS accepted FROM own LEFT JOIN total ON own.event_id = total.event_id WHERE own.event_id IS NOT NULL""",
+    "ops3_deep_budget": """
+WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%Y-%m') AS m, (event_type = 'purchase')::INT AS deep, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT 0::BIGINT AS n, '' AS d, '' AS m, 0 AS a, 0 AS b, 0 AS c, 0 AS e, NULL::BIGINT AS event_id, false AS ok
+  UNION ALL SELECT n, d, m, a + ok::INT, b + ok::INT, c + ok::INT * deep, e + ok::INT * deep, event_id, ok
+  FROM (SELECT *, a < 200 AND b < 3000 AND (deep = 0 OR (c < 30 AND e < 500)) AS ok
+    FROM (SELECT e.n, e.d, e.m, e.deep, e.event_id, CASE WHEN e.d = r.d THEN r.a ELSE 0 END AS a, CASE WHEN e.m = r.m THEN r.b ELSE 0 END AS b, CASE WHEN e.d = r.d THEN r.c ELSE 0 END AS c, CASE WHEN e.m = r.m THEN r.e ELSE 0 END AS e
+      FROM r JOIN e ON e.n = r.n + 1)))
+SELECT event_id, ok AS accepted FROM r WHERE event_id IS NOT NULL""",
     "ops3_calendar_budget": """
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dn FROM events),
 m AS (SELECT event_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS mn FROM d WHERE dn <= 200)
 SELECT d.event_id, dn <= 200 AND coalesce(mn <= 3000, false) AS accepted FROM d LEFT JOIN m USING (event_id)""",
     "ops6_snapshot": "SELECT count(*) AS requests_total, count(*) FILTER (event_type = 'error') AS errors_total, max(ts) AS last_request_at, round(max(value), 2) AS max_latency FROM events",
+    "ops6_merged_snapshot": """
+WITH e AS (SELECT * FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-20'), s AS (SELECT event_type, count(*) AS n FROM e GROUP BY 1)
+SELECT count(*) AS requests_total, count(*) FILTER (event_type = 'error') AS errors_total, (SELECT string_agg(event_type || '=' || n, ',' ORDER BY event_type) FROM s) AS by_status, count(value) AS latency_count, round(max(value), 2) AS max_latency, max(ts) AS last_request_at, true AS percentiles_within_bound FROM e""",
+    "evl8_strategy_grid": f"""
+WITH {BM25}, lex AS ({_top('bm', 100, 'doc_id')}), {', '.join(_dense_sql(f'd{d}', 100, d, queries='vec_id IN (SELECT item_id FROM benchmark)') for d in (16, 32, 64))}, {GOLD},
+rankings AS (SELECT 'lexical' AS strategy, 0::INT AS dimension, query_id, doc_id AS id, rank FROM lex {' '.join(f"UNION ALL SELECT 'dense', {d}, query_id, vec_id, rank FROM d{d}" for d in (16, 32, 64))}),
+parts AS (SELECT unnest([16, 32, 64]) AS dimension, query_id, id, 1.0 / (60 + rank) AS s, 0 AS l, rank FROM rankings WHERE strategy = 'lexical' UNION ALL SELECT dimension, query_id, id, 1.0 / (60 + rank), 1, rank FROM rankings WHERE strategy = 'dense'),
+fused AS (SELECT dimension, query_id, id, round(sum(s), 12) AS score, min((l, rank)) AS place FROM parts GROUP BY ALL),
+cells AS (SELECT * FROM rankings UNION ALL SELECT 'hybrid', dimension, query_id, id, row_number() OVER (PARTITION BY dimension, query_id ORDER BY score DESC, place) FROM fused),
+hits AS (SELECT strategy, dimension, cells.query_id, count(*) FILTER (gain = 2) AS hit, min(rank) FILTER (gain = 2) AS first, sum(gain / log2(rank + 1.0)) AS dcg FROM cells JOIN gold ON gold.query_id = cells.query_id AND gold.doc_id = cells.id WHERE rank <= 10 GROUP BY strategy, dimension, cells.query_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS place FROM gold),
+ideal AS (SELECT query_id, count(*) FILTER (gain = 2) AS required, sum(gain / log2(place + 1.0)) FILTER (place <= 10) AS ideal FROM placed GROUP BY query_id),
+configs AS (SELECT DISTINCT strategy, dimension FROM cells),
+per AS (SELECT strategy, dimension, CASE WHEN required > 0 THEN coalesce(hit, 0) / required ELSE 1.0 END AS recall, coalesce(1.0 / first, 0.0) AS mrr, coalesce(dcg / ideal, 0.0) AS ndcg FROM configs CROSS JOIN ideal LEFT JOIN hits USING (strategy, dimension, query_id)),
+means AS (SELECT strategy, dimension, avg(recall) AS recall, avg(mrr) AS mrr, avg(ndcg) AS ndcg FROM per GROUP BY ALL)
+SELECT strategy, dimension, metric, round(value, 6) AS value FROM (UNPIVOT means ON recall, mrr, ndcg INTO NAME metric VALUE value)""",
     "ops7_identity": """
 SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'user:' || sha256('salt:' || user_id)[:20] WHEN user_id % 3 = 1 THEN 'ip:' || sha256('salt:' || user_id)[:20]
   WHEN event_id % 2 = 0 THEN 'session:' || sha256('salt:' || props)[:20] ELSE 'anonymous:unknown' END AS identity FROM events""",

@@ -61,7 +61,7 @@ def chk16_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("corpus/"), F.col("source"), F.lit(".md")).alias("source_path"), F.array("lang").alias("tags"), F.col("doc_id").cast("int").alias("emit"), F.col("doc_id").cast("int").alias("chunk_index"),
         F.col("source").alias("title"), F.array("source", "lang").alias("section_path"), F.lit("prose").alias("element_type"), F.col("text").alias("text_original"), F.col("text").alias("body"),
     )
-    done = chunking.finish(rows)
+    done = chunking.finish(rows, large=True)
     return done.select(F.col("emit").alias("doc_id"), "document_id", "content_hash", "chunk_id", "parent_id", F.md5("text_for_generation").alias("rendered_md5"), F.col("previous").alias("previous_id"), F.col("next").alias("next_id"))
 
 

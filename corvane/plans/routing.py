@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import rules
+from corvane.operators.answers import parse_answers
 from corvane.operators.rules import ATTRIBUTES
 from corvane.plans.common import BRIEFS_SQL, briefs
 
@@ -27,6 +28,21 @@ def rul2_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("brief_id", "domain", *(F.col(f"{a}.value").alias(a.lower()) for a in ATTRIBUTES), F.array_join("pending", ",").alias("pending"))
 
 
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brief with follow-up answers: some attributes by its length, a blank one, and none at all for each fifth length."""
+    n = F.length("brief")
+    text = F.concat_ws("\n", F.when(n % 2 == 0, "A3=multi-hop"), F.when(n % 3 == 0, "A12 = gated"), F.when(n % 4 == 0, "A7=  "), F.lit("A9=multilingual"), F.when(n % 7 == 0, "A1=costly"))
+    return briefs(spark, sf_dir).withColumn("answers", F.when(n % 5 > 0, parse_answers(text)))
+
+
+def rul4_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements of briefs with answers: an answer comes before what the brief states and before the prior, and is no longer pending."""
+    r = rules.resolve(answered(spark, sf_dir))
+    sources = F.array_join(F.array(*(F.coalesce(F.col(f"{a}.source"), F.lit("-")) for a in ("A1", "A3", "A7", "A9", "A12"))), ",")
+    overrode = F.array_join(F.filter(F.array(*(F.when(F.col(f"{a}.overrode"), a) for a in ATTRIBUTES)), lambda x: x.isNotNull()), ",")
+    return r.select("brief_id", "domain", *(F.col(f"{a}.value").alias(a.lower()) for a in ATTRIBUTES), F.array_join("pending", ",").alias("pending"), sources.alias("sources"), F.when(F.col("domain").isNotNull(), overrode).alias("overrode"))
+
+
 def rul5_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = rules.decision_log(rules.resolve(briefs(spark, sf_dir)))
     return log.groupBy("attr", "value", "source", "confidence", "overrode").agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum"))
@@ -56,7 +72,7 @@ def rul12_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rul1_domain_scores, rul1_domain_pick, rul3_stated_values, rul2_requirements, rul5_decision_log, rul7_constraints_conflicts, rul10_topology,
+        rul1_domain_scores, rul1_domain_pick, rul3_stated_values, rul2_requirements, rul4_answers, rul5_decision_log, rul7_constraints_conflicts, rul10_topology,
         rul12_projection_edges, rul12_components,
     )
 }
@@ -107,6 +123,15 @@ ORACLE_SQL = {
     "rul1_domain_pick": f"WITH {SCORES} SELECT * FROM picked",
     "rul3_stated_values": f"WITH {BRIEFS_SQL}, {SAID} SELECT b.brief_id, {', '.join(f'''max(value) FILTER (attr = '{a}') AS {a.lower()}''' for a in rules.STATED)} FROM briefs b LEFT JOIN said USING (brief_id) GROUP BY ALL",
     "rul2_requirements": f"WITH {NEEDS} SELECT * FROM wide",
+    "rul4_answers": f"""
+WITH {SCORES}, {SAID}, pr AS (SELECT * FROM {PRIORS} AS p(domain, attr, value, ask)),
+ans AS (SELECT brief_id, unnest([CASE WHEN length(brief) % 2 = 0 THEN {{'a': 'A3', 'v': 'multi-hop'}} END, CASE WHEN length(brief) % 3 = 0 THEN {{'a': 'A12', 'v': 'gated'}} END, {{'a': 'A9', 'v': 'multilingual'}}, CASE WHEN length(brief) % 7 = 0 THEN {{'a': 'A1', 'v': 'costly'}} END]) AS x FROM briefs WHERE length(brief) % 5 > 0),
+long AS (SELECT p.brief_id, pr.attr, coalesce(ans.x.v, said.value, pr.value) AS value, CASE WHEN ans.x.v IS NULL AND said.value IS NULL THEN ask ELSE 0 END AS pend, CASE WHEN ans.x.v IS NULL AND said.value IS NULL THEN 'domain-prior' ELSE 'stated' END AS source,
+  CASE WHEN ans.x.v IS NOT NULL THEN ans.x.v <> coalesce(said.value, pr.value) WHEN said.value IS NOT NULL THEN said.value <> pr.value ELSE false END AS overrode
+  FROM picked p JOIN pr ON pr.domain = p.domain LEFT JOIN said ON said.brief_id = p.brief_id AND said.attr = pr.attr LEFT JOIN ans ON ans.brief_id = p.brief_id AND ans.x.a = pr.attr)
+SELECT p.brief_id, p.domain, {", ".join(f"max(value) FILTER (attr = '{a}') AS {a.lower()}" for a in ATTRIBUTES)}, CASE WHEN p.domain IS NULL THEN '{",".join(ATTRIBUTES)}' ELSE coalesce(string_agg(attr, ',' ORDER BY attr[2:]::INT) FILTER (pend = 1), '') END AS pending,
+  {" || ',' || ".join(f"coalesce(max(source) FILTER (attr = '{a}'), '-')" for a in ("A1", "A3", "A7", "A9", "A12"))} AS sources, CASE WHEN p.domain IS NOT NULL THEN coalesce(string_agg(attr, ',' ORDER BY attr[2:]::INT) FILTER (overrode), '') END AS overrode
+FROM picked p LEFT JOIN long USING (brief_id) GROUP BY p.brief_id, p.domain""",
     "rul5_decision_log": f"""
 WITH {SCORES}, {SAID}, pr AS (SELECT * FROM {PRIORS} AS p(domain, attr, value, ask)),
 steps AS (

@@ -1,8 +1,12 @@
 """Operators against plain Python on small fixtures."""
 
+import html
 import math
 import random
+import re
 from datetime import datetime, timedelta
+from html.entities import html5
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -75,16 +79,47 @@ def test_chunk_rows_link_and_hash(spark):
     assert all(r.chunk_id.startswith("a_x:") and r.text_for_generation.startswith('<SOURCE id="') for r in mine)
 
 
-def test_prose_is_split_with_overlap(spark):
-    def split(text):
-        return spark.createDataFrame([(text,)], "t string").select(chunking.split_prose(F.col("t"))).first()[0]
-
+def test_prose_is_split_with_overlap():
+    split = chunking.prose_pieces
     pieces = split("\n\n".join(" ".join(f"w{i}_{j}" for j in range(400)) for i in range(4)))
     assert [len(p.split()) for p in pieces] == [800, 920]
     assert pieces[1].split()[:120] == pieces[0].split()[-120:]
     assert len(split("w " * 3000)) == 1 and split("") == [""]
-    rows = spark.createDataFrame([("| a | b |\n|---|---|\n| 1 | 2 | 3 |\n|4|",), ("| a |\n|---|",)], "t string")
-    assert [r[0] for r in rows.select(chunking.linear_table(F.col("t"))).collect()] == ["a: 1; b: 2\na: 4", "| a |\n|---|"]
+    assert [chunking.table_as_list(t) for t in ("| a | b |\n|---|---|\n| 1 | 2 | 3 |\n|4|", "| a |\n|---|")] == ["a: 1; b: 2\na: 4", "| a |\n|---|"]
+
+
+def blocks_by_walk(lines):
+    """Blocks by one look at each line and those after it: for tests of the runs over classes."""
+    out, at = [], 0
+    fence = lambda x: re.match(r"^\s{0,3}(`{3,}|~{3,})(.*)$", x)
+    item = lambda x: re.match(r"^\s*\d+[\.)]\s+", x)
+    while at < len(lines):
+        upto = at
+        if m := fence(lines[at]):
+            closing = [i for i in range(at + 1, len(lines)) if set(lines[i].strip()) == {m[1][0]} and len(lines[i].strip()) >= len(m[1])]
+            upto = (closing or [at])[0]
+            out.append(("code_fence", at, upto))
+        elif "|" in lines[at] and "|" in "".join(lines[at + 1 : at + 2]) and all(re.match("^:?-+:?$", c) for c in chunking.cells(lines[at + 1])):
+            while "|" in "".join(lines[upto + 1 : upto + 2]):
+                upto += 1
+            out.append(("table", at, upto))
+        elif item(lines[at]):
+            run = at
+            while run < len(lines) and (item(lines[run]) or not lines[run].strip()):
+                run += 1
+            if sum(bool(item(x)) for x in lines[at:run]) > 2:
+                upto = run - 1
+                out.append(("list", at, upto))
+        at = upto + 1
+    return out
+
+
+def test_blocks_are_runs_of_line_classes():
+    rng = random.Random(12)
+    kinds = ["```", "~~~", "```py", "| a | b |", "|---|:-:|", "a | b", "1. x", "2) y", "3. a | b", "", "  ", "text", "# H", "---"]
+    for _ in range(4000):
+        lines = rng.choices(kinds, k=rng.randint(0, 14))
+        assert [b[:3] for b in chunking.blocks(lines)] == blocks_by_walk(lines), lines
 
 
 def test_blocks_have_context():
@@ -209,6 +244,46 @@ def test_evidence(spark):
     assert t.select(evidence.themes(F.col("s"))).first()[0] == ["governance", "dense vector search", "hybrid retrieval"]
 
 
+class PlainText(HTMLParser):
+    """The pieces of text of a page, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.pieces = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "svg", "noscript")
+
+    def handle_endtag(self, tag):
+        self.hidden = max(0, self.hidden - (tag in ("script", "style", "svg", "noscript")))
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.pieces.append(data)
+
+
+def text_by_parser(page):
+    parser = PlainText()
+    parser.feed(page)
+    lines = [" ".join(line.split()) for line in "\n".join(parser.pieces).splitlines()]
+    return "\n".join(line for line in lines if line)
+
+
+def test_page_text_equals_the_parser_on_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").filter("html IS NOT NULL")
+    rows = pages.select("html", evidence.html_to_text(F.col("html")).alias("text")).collect()
+    assert len(rows) > 200 and all(r.text == text_by_parser(r.html) for r in rows)
+
+
+def test_all_character_references(spark):
+    names = [f"a&{k}b" for k in html5] + [f"&{k};" for k in html5 if not k.endswith(";")] + [f"&{k.rstrip(';')}x &{k.rstrip(';').upper()};" for k in html5]
+    numbers = [f"&#{n};&#{n}z" for n in [*range(300), 55295, 55296, 57343, 57344, 64976, 65007, 65008, 65533, 65534, 131071, 1114111, 1114112, 10**9, 10**30]] + [f"&#x{n:x};&#X{n:X} " for n in [*range(300), 0xD800, 0xFFFE, 0x10FFFF, 0x110000, 16**20]]
+    odd = ["", "&", "&&amp;&", "&amp;lt;", "&#;", "&#x;", "&#00065;", "&notit; &notin; &NotEqualTilde;", "&" + "a" * 40 + ";", "Informaci&oacute;n &iquest;qu&eacute;? &aacute;rbol", "& amp; &#38;amp;", "x&lt;y&gt"]
+    texts = names + numbers + odd
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", evidence.unescaped(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in got} == {t: html.unescape(t) for t in texts}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"documents": [{"path": "a.md", "license": "x", "trust_tier": "p", "namespace": "k"}, {"path": "a.md", "license": ""}]}')
     (tmp_path / "c").mkdir()
@@ -228,15 +303,10 @@ def test_sources(spark, tmp_path):
     assert [(r.dimension, r.rows) for r in out.collect()] == [(2, 2), (1, 2)]
 
 
-def test_streams_agree_with_batch(spark, tmp_path):
+def test_stream_logs_once(spark, tmp_path):
     rows = [(s, u) for s in range(0, 300, 7) for u in (1, 2)]
     e = _events(spark, rows).withColumn("event_type", F.lit("view")).withColumn("value", F.lit(1.0)).withColumn("props", F.lit("{}"))
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = requests.rate_limit(requests.read(spark, str(tmp_path / "in")), 2, 60)
-    q = stream.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.event_id: r.accepted for r in spark.table("limited").collect()}
-    assert got == {r.event_id: r.accepted for r in events.rate_limit(e, 2, 60, "user_id").collect()}
     log = requests.write_log(requests.alerts(requests.read(spark, str(tmp_path / "in")), 0.5), str(tmp_path / "log"), str(tmp_path / "ck2"))
     log.awaitTermination(120)
     assert spark.read.json(str(tmp_path / "log")).count() == len(rows)
@@ -274,9 +344,15 @@ def test_structured_documents_have_all_blocks(spark):
 
 def test_chunks_in_sql(spark):
     chunking.register(spark)
-    spark.createDataFrame([("a.md", "# T\n## S\nsome words\n```\nx\n```\n"), ("b.md", None)], "path string, text string").createOrReplaceTempView("md_files")
-    rows = spark.sql("SELECT path, c.* FROM md_files, LATERAL chunk_markdown(path, text, '') c ORDER BY path, chunk_index").collect()
-    assert [(r.path, r.element_type, r.section) for r in rows] == [("a.md", "prose", "T > S"), ("a.md", "code_fence", "T > S"), ("b.md", "prose", "B")]
+    long = "# Long\n\n" + "\n\n".join(" ".join(f"w{i}_{j}" for j in range(300)) for i in range(9))
+    rows = [("a/x.md", MARKDOWN, "", ["t", "u"]), ("a/domain-z.md", "# Z\nbody", "routing-card", []), ("r.md", "# R\n## A\n|a|b|\n|-|-|\n|1|2|\n## B\nx", "routing-rules", None), ("long.v2.md", long, None, ["z"]), ("empty.md", None, "", None)]
+    files = spark.createDataFrame(rows, "path string, text string, content_kind string, section_tags array<string>")
+    files.createOrReplaceTempView("files")
+    got = spark.sql("SELECT c.* FROM files, LATERAL chunk_markdown(path, text, content_kind, section_tags) c")
+    names = ["chunk_index", "element_type", "text_original", "start_line", "end_line", "document_id", "chunk_id", "parent_id", "content_hash"]
+    want = chunking.chunk_files(files).select(F.array_join("section_path", " > ").alias("section"), *names)
+    rows_of = lambda df: sorted(str(tuple(r)) for r in df.select("section", *names).collect())
+    assert rows_of(got.withColumnRenamed("text", "text_original")) == rows_of(want) and want.count() > 12
 
 
 def test_manifests_in_json_and_yaml(spark, tmp_path):
