@@ -157,6 +157,21 @@ def src4_manifest_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.generate(p, {"de": "german", "fr": "french"}).withColumn("section_tags", F.array_join("section_tags", ","))
 
 
+#: Names of files and folders that the manifest's rules look at.
+FOLDERS, FILES = ("routing", "report", "curated", "vendor_docs"), ("README", "cost_model", "sources", "FULL_REPORT", "chunk-retrieval_notes", "readme_reference", "router")
+
+
+def src4_manifest_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents as files under folders and names of all kinds; each fourth has a heading."""
+    i = F.col("doc_id")
+    pick = lambda names, by: F.get(F.array(*map(F.lit, names)), (F.floor(i / by) % len(names)).cast("int"))
+    path = F.when(i % 50 == 7, "corpus/README.md").otherwise(F.concat_ws("/", F.lit("corpus"), pick(FOLDERS, 1), "source", F.concat(pick(FILES, 3), F.when(i % 4 > 1, i.cast("string")).otherwise(""), F.lit(".md"))))
+    text = F.concat(F.when(i % 4 == 0, F.concat(F.lit("\n# Title of "), "lang", F.lit(" \n"))).otherwise(""), F.substring("source", 1, 3))
+    files = t(spark, sf_dir, "documents").select(path.alias("path"), text.alias("text"))
+    made = manifest.describe(files, "corpus", {"src3": "three"}, "open", "2026-01-01").withColumn("section_tags", F.array_join("section_tags", ",")).drop("source_url")
+    return made.groupBy(*made.columns).agg(F.count("*").alias("n"))
+
+
 def src3_manifest_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.by_path(_manifest(spark, sf_dir)).select("path", "position")
 
@@ -199,7 +214,7 @@ QUERIES = {
     for f in (
         win9_sliding_counts, ops4_spikes, ops5_alerts, win10_last_n, ops1_rate_limit, ops2_two_level_limit, ops3_calendar_budget, ops3_deep_budget, ops6_snapshot, ops6_merged_snapshot, evl8_strategy_grid, ops7_identity,
         agg9_percentile_nearest, agg10_percentile_rounded, agg11_percentile_linear, agg12_latency_summary, agg13_status_counts, evl1_recall_mrr_ndcg, evl7_gate,
-        evl3_micro_accuracy, src19_counts_by, src8_table_match, src2_manifest_validate, src4_manifest_generate, src3_manifest_by_path, flt6_ingestible, src7_missing_vectors,
+        evl3_micro_accuracy, src19_counts_by, src8_table_match, src2_manifest_validate, src4_manifest_generate, src4_manifest_described, src3_manifest_by_path, flt6_ingestible, src7_missing_vectors,
         rel1_pricing_summary, rel2_revenue_by_nation, rel3_rollup, rel4_session_windows,
     )
 }
@@ -299,6 +314,15 @@ WITH p AS (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN 'corpus/routing/'
   CASE lang WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE 'general' END AS domain FROM documents)
 SELECT path, CASE WHEN doc_id % 25 = 0 THEN 'Readme' ELSE 'My File ' || doc_id END AS title, CASE WHEN doc_id % 10 = 0 THEN 'routing' ELSE 'knowledge' END AS namespace,
   CASE WHEN doc_id % 10 = 0 THEN 'routing-card' ELSE 'research-bundle' END AS content_kind, domain, array_to_string(list_sort([lang, domain]), ',') AS section_tags, doc_id % 25 <> 0 AS ingest FROM p""",
+    "src4_manifest_described": f"""
+WITH p AS (SELECT doc_id, lang, CASE WHEN doc_id % 50 = 7 THEN 'corpus/README.md' ELSE 'corpus/' || ({list(FOLDERS)})[1 + doc_id % {len(FOLDERS)}] || '/' || source || '/' || ({list(FILES)})[1 + (doc_id // 3) % {len(FILES)}] || CASE WHEN doc_id % 4 > 1 THEN doc_id::VARCHAR ELSE '' END || '.md' END AS path FROM documents),
+q AS (SELECT *, string_split(path[8:], '/') AS parts FROM p), r AS (SELECT *, parts[1] AS a, parts[2] AS b, parts[-1] AS name, regexp_replace(parts[-1], '\\.md$', '') AS stem, lower(path) AS low FROM q),
+s AS (SELECT *, CASE a WHEN 'routing' THEN 'routing' WHEN 'report' THEN 'implementation' ELSE CASE coalesce(b, 'general') WHEN 'src3' THEN 'three' ELSE coalesce(b, 'general') END END AS domain, CASE a WHEN 'routing' THEN 'routing-card' WHEN 'report' THEN 'implementation-spec' ELSE 'research-bundle' END AS content_kind,
+  NOT (upper(name) IN {manifest.REPEATING} OR path = 'corpus/README.md') AS ingest FROM r)
+SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'Title of ' || lang ELSE array_to_string(list_transform(string_split(translate(stem, '_-', '  '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS title,
+  CASE a WHEN 'routing' THEN 'routing' ELSE 'knowledge' END AS namespace, content_kind, domain, 'open' AS license, CASE WHEN NOT starts_with(lower(name), 'readme') AND len(list_filter({list(manifest.PRIMARY)}, lambda w: contains(stem, w))) > 0 THEN 'primary' ELSE 'reputable' END AS trust_tier,
+  CASE WHEN len(list_filter({list(manifest.VOLATILE)}, lambda w: contains(low, w))) > 0 THEN 'volatile' ELSE 'stable' END AS volatility, 'consensus' AS contested, array_to_string(list_sort(list_distinct(list_concat([domain, content_kind], list_filter({list(manifest.TAG_WORDS)}, lambda w: contains(low, w))))), ',') AS section_tags,
+  '2026-01-01' AS date, ingest, CASE WHEN ingest THEN '' ELSE 'Excluded duplicate combined report.' END AS notes, count(*) AS n FROM s GROUP BY ALL""",
     "src3_manifest_by_path": f"WITH {MANIFEST} SELECT path, max(position) AS position FROM m GROUP BY path",
     "flt6_ingestible": f"WITH {MANIFEST} SELECT position, path FROM m WHERE coalesce(ingest, true)",
     "src7_missing_vectors": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = d.doc_id AND md5(vec_id::VARCHAR) = md5((d.doc_id - d.doc_id % 2)::VARCHAR))",

@@ -67,6 +67,44 @@ def generate(files: DataFrame, domains: dict[str, str]) -> DataFrame:
     )
 
 
+# Words of a path that mark what changes quickly, words of a name that mark primary sources, words that become tags, and files that repeat others.
+VOLATILE = ("pricing", "cost", "gpu", "model_selection", "vendor", "cloud_platform", "latency_cost")
+PRIMARY = ("source", "reference", "bibliography")
+TAG_WORDS = ("evaluation", "chunk", "rerank", "retrieval", "security", "terraform", "iac", "cost", "freshness", "grounding", "citation", "abstention", "router")
+REPEATING = ("FULL_REPORT.MD", "FULL_COMBINED_REPORT.MD")
+
+
+def describe(files: DataFrame, root: str = "corpus", domains: dict[str, str] | None = None, license: str = "", date: str = "") -> DataFrame:
+    """Whole manifest rows of scanned files (path, text), in the order of a manifest's fields.
+
+    The first folder under the root gives namespace and kind, the second the
+    domain (domains maps names of folders, others stand for themselves); the title
+    is the text's first level-1 heading, else the file's name. Combined reports
+    and the root's own README are not taken in.
+    """
+    parts = F.split(F.regexp_replace("path", "^" + re.escape(root.rstrip("/") + "/"), ""), "/")
+    name = F.element_at(parts, -1)
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    low = F.lower("path")
+    has = lambda text, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    domain: Column = F.coalesce(second, F.lit("general"))
+    for k, v in (domains or {}).items():
+        domain = F.when(second == k, v).otherwise(domain)
+    domain = F.when(first == "routing", "routing").when(first == "report", "implementation").otherwise(domain)
+    kind = F.when(first == "routing", "routing-card").when(first == "report", "implementation-spec").otherwise("research-bundle")
+    heading = F.trim(F.regexp_extract(F.coalesce("text", F.lit("")), r"(?m)^# (.*)$", 1))
+    primary = ~F.lower(name).startswith("readme") & has(stem, PRIMARY)
+    ingest = ~F.upper(name).isin(*REPEATING) & ~((name == "README.md") & (F.size(parts) == 1))
+    words = F.filter(F.array(*map(F.lit, TAG_WORDS)), lambda w: F.contains(low, w))
+    return files.select(
+        "path", F.when(F.coalesce("text", F.lit("")).rlike(r"(?m)^# "), heading).otherwise(F.initcap(F.translate(stem, "_-", "  "))).alias("title"), F.when(first == "routing", "routing").otherwise("knowledge").alias("namespace"),
+        kind.alias("content_kind"), domain.alias("domain"), F.lit(license).alias("license"), F.when(primary, "primary").otherwise("reputable").alias("trust_tier"), F.when(has(low, VOLATILE), "volatile").otherwise("stable").alias("volatility"),
+        F.lit("consensus").alias("contested"), F.array_sort(F.array_distinct(F.concat(F.array(domain, kind), words))).alias("section_tags"), F.lit(None).cast("string").alias("source_url"), F.lit(date).alias("date"), ingest.alias("ingest"),
+        F.when(ingest, "").otherwise("Excluded duplicate combined report.").alias("notes"),
+    )
+
+
 def ingestible(documents: DataFrame) -> DataFrame:
     """Documents to take in; a missing flag means yes."""
     return documents.filter(F.coalesce("ingest", F.lit(True)))
