@@ -82,6 +82,15 @@ def latency_summary(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(*parts).select(*(F.round(F.coalesce(n, F.lit(0.0)), 2).alias(n) for n in names))
 
 
+def latency_metrics(rows: DataFrame, axis: str, value: str) -> DataFrame:
+    """(metric, value): `<axis>_latency_ms_<mean, p50, p90, p95, p99, max>` of each axis (a column), percentiles by nearest rank."""
+    v = F.col(value).cast("double")
+    parts = {"mean": F.avg(v), **{f"p{p}": percentile_nearest(f"CAST(`{value}` AS DOUBLE)", p / 100) for p in (50, 90, 95, 99)}, "max": F.max(v)}
+    per = rows.groupBy(F.col(axis).alias("axis")).agg(*(c.alias(n) for n, c in parts.items()))
+    named = F.array(*(F.struct(F.concat("axis", F.lit(f"_latency_ms_{n}")).alias("metric"), F.coalesce(n, F.lit(0.0)).alias("value")) for n in parts))
+    return per.select(F.inline(named))
+
+
 def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(metric, threshold, value, passed) for each threshold; a missing metric fails."""
     joined = thresholds.join(metrics, "metric", "left")

@@ -124,6 +124,11 @@ def evl7_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gate(means.withColumn("value", F.round("value", 6)), limits)
 
 
+def evl2_latency_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies of every kind of event as an evaluation reports those of its axes."""
+    return evaluation.latency_metrics(_events(spark, sf_dir), "event_type", "value").withColumn("value", F.round("value", 6))
+
+
 def evl3_micro_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents"), "doc_id")
     right = (F.col("quality") == 1).cast("int")
@@ -214,7 +219,7 @@ QUERIES = {
     for f in (
         win9_sliding_counts, ops4_spikes, ops5_alerts, win10_last_n, ops1_rate_limit, ops2_two_level_limit, ops3_calendar_budget, ops3_deep_budget, ops6_snapshot, ops6_merged_snapshot, evl8_strategy_grid, ops7_identity,
         agg9_percentile_nearest, agg10_percentile_rounded, agg11_percentile_linear, agg12_latency_summary, agg13_status_counts, evl1_recall_mrr_ndcg, evl7_gate,
-        evl3_micro_accuracy, src19_counts_by, src8_table_match, src2_manifest_validate, src4_manifest_generate, src4_manifest_described, src3_manifest_by_path, flt6_ingestible, src7_missing_vectors,
+        evl2_latency_metrics, evl3_micro_accuracy, src19_counts_by, src8_table_match, src2_manifest_validate, src4_manifest_generate, src4_manifest_described, src3_manifest_by_path, flt6_ingestible, src7_missing_vectors,
         rel1_pricing_summary, rel2_revenue_by_nation, rel3_rollup, rel4_session_windows,
     )
 }
@@ -323,6 +328,9 @@ SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'Title of ' || lang ELSE array_to_str
   CASE a WHEN 'routing' THEN 'routing' ELSE 'knowledge' END AS namespace, content_kind, domain, 'open' AS license, CASE WHEN NOT starts_with(lower(name), 'readme') AND len(list_filter({list(manifest.PRIMARY)}, lambda w: contains(stem, w))) > 0 THEN 'primary' ELSE 'reputable' END AS trust_tier,
   CASE WHEN len(list_filter({list(manifest.VOLATILE)}, lambda w: contains(low, w))) > 0 THEN 'volatile' ELSE 'stable' END AS volatility, 'consensus' AS contested, array_to_string(list_sort(list_distinct(list_concat([domain, content_kind], list_filter({list(manifest.TAG_WORDS)}, lambda w: contains(low, w))))), ',') AS section_tags,
   '2026-01-01' AS date, ingest, CASE WHEN ingest THEN '' ELSE 'Excluded duplicate combined report.' END AS notes, count(*) AS n FROM s GROUP BY ALL""",
+    "evl2_latency_metrics": """
+WITH m AS (SELECT event_type, avg(value) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max FROM events GROUP BY 1)
+SELECT event_type || '_latency_ms_' || name AS metric, round(value, 6) AS value FROM (UNPIVOT m ON mean, p50, p90, p95, p99, max INTO NAME name VALUE value)""",
     "src3_manifest_by_path": f"WITH {MANIFEST} SELECT path, max(position) AS position FROM m GROUP BY path",
     "flt6_ingestible": f"WITH {MANIFEST} SELECT position, path FROM m WHERE coalesce(ingest, true)",
     "src7_missing_vectors": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = d.doc_id AND md5(vec_id::VARCHAR) = md5((d.doc_id - d.doc_id % 2)::VARCHAR))",

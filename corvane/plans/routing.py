@@ -48,6 +48,12 @@ def rul5_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("attr", "value", "source", "confidence", "overrode").agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum"))
 
 
+def rul5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each step of the log is taken, with its reason, for briefs with answers."""
+    log = rules.decision_log(rules.resolve(answered(spark, sf_dir)))
+    return log.groupBy("attr", "source", "overrode", "reason").agg(F.count("*").alias("n"))
+
+
 def rul7_constraints_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.resolve(briefs(spark, sf_dir)).select("brief_id", F.array_join("constraints", "|").alias("constraints"), "conflict")
 
@@ -72,7 +78,7 @@ def rul12_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rul1_domain_scores, rul1_domain_pick, rul3_stated_values, rul2_requirements, rul4_answers, rul5_decision_log, rul7_constraints_conflicts, rul10_topology,
+        rul1_domain_scores, rul1_domain_pick, rul3_stated_values, rul2_requirements, rul4_answers, rul5_decision_log, rul5_reasons, rul7_constraints_conflicts, rul10_topology,
         rul12_projection_edges, rul12_components,
     )
 }
@@ -115,6 +121,7 @@ EDGES = f"""{CHOSEN},
 sv AS (SELECT * FROM {SERVED} AS s(stage, component_order, component)),
 stages AS (SELECT brief_id, a2, a11, a12, string_split(stages || CASE WHEN a12 = 'gated' THEN ' review_gate' ELSE '' END, ' ') AS s FROM chosen JOIN cat ON key = topology),
 flat AS (SELECT brief_id, a2, a11, a12, unnest(s) AS stage, generate_subscripts(s, 1)::INT AS stage_order FROM stages)"""
+ANSWERS = """ans AS (SELECT brief_id, unnest([CASE WHEN length(brief) % 2 = 0 THEN {'a': 'A3', 'v': 'multi-hop'} END, CASE WHEN length(brief) % 3 = 0 THEN {'a': 'A12', 'v': 'gated'} END, {'a': 'A9', 'v': 'multilingual'}, CASE WHEN length(brief) % 7 = 0 THEN {'a': 'A1', 'v': 'costly'} END]) AS x FROM briefs WHERE length(brief) % 5 > 0)"""
 _CONSTRAINTS = ", ".join(f"CASE WHEN {a.lower()} = '{v}' THEN '{t}' END" for a, v, t in rules.CONSTRAINTS)
 _EXTERNAL = " OR ".join(f"contains(lower(brief), '{p}')" for p in rules.EXTERNAL)
 
@@ -123,9 +130,21 @@ ORACLE_SQL = {
     "rul1_domain_pick": f"WITH {SCORES} SELECT * FROM picked",
     "rul3_stated_values": f"WITH {BRIEFS_SQL}, {SAID} SELECT b.brief_id, {', '.join(f'''max(value) FILTER (attr = '{a}') AS {a.lower()}''' for a in rules.STATED)} FROM briefs b LEFT JOIN said USING (brief_id) GROUP BY ALL",
     "rul2_requirements": f"WITH {NEEDS} SELECT * FROM wide",
+    "rul5_reasons": f"""
+WITH {SCORES}, {SAID}, pr AS (SELECT * FROM {PRIORS} AS p(domain, attr, value, ask)), {ANSWERS},
+given AS (SELECT a.brief_id, a.x.a AS attr, a.x.v AS value, coalesce(s.value, pr.value) AS before FROM ans a JOIN picked p ON p.brief_id = a.brief_id JOIN pr ON pr.domain = p.domain AND pr.attr = a.x.a LEFT JOIN said s ON s.brief_id = a.brief_id AND s.attr = a.x.a WHERE a.x.a IS NOT NULL),
+last AS (SELECT p.brief_id, pr.attr, coalesce(g.value, s.value, pr.value) AS value FROM picked p JOIN pr ON pr.domain = p.domain LEFT JOIN said s ON s.brief_id = p.brief_id AND s.attr = pr.attr LEFT JOIN given g ON g.brief_id = p.brief_id AND g.attr = pr.attr),
+four AS (SELECT brief_id, max(value) FILTER (attr = 'A1') AS a1, max(value) FILTER (attr = 'A4') AS a4, max(value) FILTER (attr = 'A5') AS a5, max(value) FILTER (attr = 'A8') AS a8 FROM last GROUP BY brief_id),
+conflicts AS (SELECT CASE WHEN a4 = 'sectoral' AND a5 = 'regulated-personal' AND ({_EXTERNAL}) THEN 'A4,A5' WHEN a1 = 'catastrophic' AND a8 = 'strict' THEN 'A1,A8' END AS c FROM four JOIN briefs USING (brief_id)),
+steps AS (SELECT 'domain' AS attr, 'inferred' AS source, NULL::VARCHAR AS before, NULL::VARCHAR AS value, '{rules.NO_DOMAIN}' AS reason FROM picked WHERE domain IS NULL
+  UNION ALL SELECT attr, 'domain-prior', NULL, value, 'Seeded from ' || domain || ' profile with ' || CASE WHEN ask = 1 THEN 'elicit' ELSE 'strong' END || ' confidence.' FROM picked JOIN pr USING (domain)
+  UNION ALL SELECT s.attr, 'stated', pr.value, s.value, 'User brief explicitly indicates ' || s.attr || '=' || s.value || '.' FROM picked p JOIN said s USING (brief_id) JOIN pr ON pr.domain = p.domain AND pr.attr = s.attr
+  UNION ALL SELECT attr, 'stated', before, value, '{rules.ANSWERED}' FROM given
+  UNION ALL SELECT 'conflict', 'inferred', NULL, c, CASE c {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.CONFLICT_REASONS.items())} END FROM conflicts WHERE c IS NOT NULL)
+SELECT attr, source, coalesce(before <> value, false) AS overrode, reason || CASE WHEN before <> value THEN ' Overrides prior value ''' || before || ''' with ''' || value || '''.' ELSE '' END AS reason, count(*) AS n FROM steps GROUP BY ALL""",
     "rul4_answers": f"""
 WITH {SCORES}, {SAID}, pr AS (SELECT * FROM {PRIORS} AS p(domain, attr, value, ask)),
-ans AS (SELECT brief_id, unnest([CASE WHEN length(brief) % 2 = 0 THEN {{'a': 'A3', 'v': 'multi-hop'}} END, CASE WHEN length(brief) % 3 = 0 THEN {{'a': 'A12', 'v': 'gated'}} END, {{'a': 'A9', 'v': 'multilingual'}}, CASE WHEN length(brief) % 7 = 0 THEN {{'a': 'A1', 'v': 'costly'}} END]) AS x FROM briefs WHERE length(brief) % 5 > 0),
+{ANSWERS},
 long AS (SELECT p.brief_id, pr.attr, coalesce(ans.x.v, said.value, pr.value) AS value, CASE WHEN ans.x.v IS NULL AND said.value IS NULL THEN ask ELSE 0 END AS pend, CASE WHEN ans.x.v IS NULL AND said.value IS NULL THEN 'domain-prior' ELSE 'stated' END AS source,
   CASE WHEN ans.x.v IS NOT NULL THEN ans.x.v <> coalesce(said.value, pr.value) WHEN said.value IS NOT NULL THEN said.value <> pr.value ELSE false END AS overrode
   FROM picked p JOIN pr ON pr.domain = p.domain LEFT JOIN said ON said.brief_id = p.brief_id AND said.attr = pr.attr LEFT JOIN ans ON ans.brief_id = p.brief_id AND ans.x.a = pr.attr)
