@@ -8,10 +8,11 @@ from datetime import datetime, timedelta
 from html.entities import html5
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, dense, evaluation, events, evidence, fusion, judging, lexical, rules
+from corvane.operators import chunking, dense, evaluation, events, evidence, fusion, ivf, judging, lexical, research, rules
 from corvane.sources import manifest, store
 from corvane.streaming import requests
 
@@ -402,3 +403,77 @@ def test_search_scores_every_chunk_that_can_score(spark):
     want = every.select("query_id", "chunk_ord", F.round(F.coalesce("bm25", F.lit(0.0)) + lexical.boosts(), 9).alias("score")).filter("score > 0")
     got = lexical.search(queries, chunks, 1000).select("query_id", "chunk_ord", "score")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("query_id = 1 AND chunk_ord = 60").count() == 1
+
+
+def test_dimensions_share_one_pass(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(40)] + [(40, [0.0] * 6), (41, None)]
+    vectors = spark.createDataFrame(rows, "chunk_ord bigint, vector array<float>")
+    queries = vectors.filter("chunk_ord % 10 = 0").withColumnRenamed("chunk_ord", "query_id")
+    got = dense.search_dimensions(queries, vectors, [4, 2, 6], 5)
+    for d in (2, 4, 6):
+        want = dense.search(queries, vectors.filter("vector is not null"), 5, dimension=d)
+        one = got.filter(F.col("dimension") == d)
+        key = lambda df: sorted((r.query_id, r.rank, r.chunk_ord, round(r.score, 6)) for r in df.collect())
+        assert key(one) == key(want)
+
+
+def test_queries_are_compared_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [math.sin(i), math.cos(i), 1.0]) for i in range(30)], "chunk_ord bigint, vector array<double>")
+    queries = vectors.withColumnRenamed("chunk_ord", "query_id")
+    want = sorted(map(tuple, dense.search(queries, vectors, 3).collect()))
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", 200)
+    assert sorted(map(tuple, dense.search(queries, vectors, 3).collect())) == want and len(want) == 90
+
+
+def test_routing_axis(spark):
+    briefs = spark.createDataFrame([(1, "hipaa patient data in a hospital"), (2, "plain words"), (3, "bank fraud with pci")], "brief_id int, brief string")
+    resolved = rules.resolve(briefs).withColumnRenamed("brief_id", "id")
+    pending = {r.id: r.pending for r in resolved.collect()}
+    kind = "id int, expected_domain string, expected_attributes map<string,string>, expected_pending array<string>"
+    gold = [(1, "medical-clinical", {"A2": "high", "A12": "none"}, pending[1][::-1] + pending[1][:1]), (2, None, None, None), (3, "technical-software", {}, ["A1"]), (4, None, {"A2": "high"}, [])]
+    got = {r.id: r for r in judging.routing_scores(resolved, spark.createDataFrame(gold, kind)).collect()}
+    assert (got[1].domain_correct, got[1].attribute_total, got[1].attribute_correct, got[1].pending_correct, got[1].wrong_attributes, got[1].failed) == (True, 2, 1, 1, {"A12": "gated"}, True)
+    assert not got[2].failed and (got[3].domain_correct, got[3].pending_correct) == (False, 0)
+    assert got[4].attribute_correct == 0 and got[4].pending_correct == 0
+    metrics = {r.metric: r.value for r in judging.routing_metrics(judging.routing_scores(resolved, spark.createDataFrame(gold, kind))).collect()}
+    assert metrics == {"routing_domain_accuracy": 0.75, "routing_attribute_accuracy": 1 / 3, "routing_pending_accuracy": 1 / 3}
+
+
+def test_agents_fail_by_themselves(spark):
+    briefs = spark.createDataFrame([(1, "a brief"), (2, "another")], "brief_id int, brief string")
+
+    def good(queries, k):
+        return queries.select("query_id", F.lit(7).cast("long").alias("chunk_ord"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    def bad(queries, k):
+        raise OSError("no connection")
+
+    errors = {}
+    rows = research.fan_out(briefs, {"retrieval": good, "security": bad, "evaluation": good}, 3, errors).collect()
+    assert sorted(errors) == ["cloud_iac", "security"] and "no connection" in errors["security"]
+    assert {(r.agent, r.status, r.chunk_ord) for r in rows} == {("retrieval", "ok", 7), ("security", "error", None), ("cloud_iac", "error", None), ("evaluation", "ok", 7)} and len(rows) == 8
+    assert {r.status for r in research.fan_out(briefs, bad).collect()} == {"error"}
+
+
+def test_dense_backends(spark):
+    vectors = spark.createDataFrame([(i, [math.sin(i), math.cos(i), 1.0], "k") for i in range(30)], "chunk_ord bigint, vector array<double>, namespace string")
+    queries = vectors.filter("chunk_ord < 4").select(F.col("chunk_ord").alias("query_id"), "vector")
+    index = ivf.build(vectors, cells=3)
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_ord) for r in df.collect())
+    want = rows(fusion.dense_by("memory", queries, vectors, 3))
+    assert rows(fusion.dense_by("index", queries, vectors, 3, index, probes=3, oversample=None)) == want == rows(fusion.dense_by("auto", queries, vectors, 3))
+    for backend in ("index", "remote"):
+        with pytest.raises(ValueError):
+            fusion.dense_by(backend, queries, vectors, 3)
+
+
+def test_merged_sketches_are_within_their_bound(spark):
+    rng = random.Random(9)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(86_400)), rng.choice(["view", "error"]), rng.expovariate(0.1) if i % 9 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id int, ts timestamp, event_type string, value double")
+    shot = events.merged_snapshot(events.window_summaries(df, 600))
+    row = shot.first()
+    assert (row.requests_total, row.latency_count, row.errors_total) == (6000, sum(r[3] is not None for r in rows), sum(r[2] == "error" for r in rows)) and sum(row.by_status.values()) == 6000
+    assert events.rank_error(df, shot).agg(F.max("error")).first()[0] <= 0.0266
+    assert events.merged_snapshot(events.window_summaries(df.limit(0), 600)).first().requests_total == 0
