@@ -810,3 +810,22 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
         if name == "packing":
             assert out.filter("doc_id IS NULL").count() > 0
         docs = out if k < 3 else docs
+
+
+# 3 and 6 on columns with names of their own, and on very long values
+
+
+def test_warc_and_urls_with_clashing_columns_and_long_values(spark):
+    page = "<p>" + "x\u00e9" * 700_000 + "</p>"
+    rows = [(1, "http://a.b/" + "p/" * 40_000 + "?q", page), (2, "http://a.b/", page), (3, "x" * 200_000 + "://Host.net/es/" + "y" * 90_000, ""), (4, None, None)]
+    extra = "archive string, payload_digest int, refers_to string, record_type int, host int, path string, rule string, bad_chance string"
+    pages = spark.createDataFrame([(*r, "a", 1, "b", 2, 3, "c", "d", "e") for r in rows], "page_id bigint, url string, html string, " + extra)
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    assert {i: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for i, r in got.items()} == {
+        1: (len(page.encode()), digest(page), "response", None), 2: (len(page.encode()), digest(page), "revisit", 1), 3: (0, digest(""), "response", None), 4: (0, digest(""), "revisit", 3)
+    }
+    outcomes = spark.createDataFrame([(1, 0, "h")], "page_id bigint, bad int, host string")
+    judged = {r.page_id: r for r in urlrep.judge(pages, outcomes).collect()}
+    assert (judged[1].host, judged[1].path) == ("a.b", "/" + "p/" * 40_000) and (judged[3].host, judged[3].rule, judged[3].verdict) == ("host.net", "net/es/", "block")
+    assert (judged[4].host, judged[4].path, judged[4].rule) == ("", "", None)
