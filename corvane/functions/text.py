@@ -23,6 +23,13 @@ def stem(token: Column) -> Column:
     )
 
 
+def stem_word(w: str) -> str:
+    """stem() of one token."""
+    if len(w) > 4 and w.endswith("ies"):
+        return w[:-3] + "y"
+    return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+
+
 def raw_tokens(text: Column) -> Column:
     """Tokens in order, not stemmed; _, - and / separate."""
     return F.regexp_extract_all(F.translate(F.lower(text), "_-/", "   "), F.lit(TOKEN), F.lit(0))

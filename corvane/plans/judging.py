@@ -129,8 +129,7 @@ def _retrieve(spark: SparkSession, sf_dir: str):
     """BM25 over the documents, as a retrieval of any queries."""
 
     def run(queries: DataFrame, k: int) -> DataFrame:
-        scored = lexical.bm25(lexical.query_features(queries), lexical.index(chunks(spark, sf_dir)))
-        return lexical.ranked(scored.select("query_id", "chunk_ord", F.round("bm25", 6).alias("score")), k)
+        return lexical.bm25_topk(lexical.query_features(queries), chunks(spark, sf_dir), k)
 
     return run
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions import vectors as V
+from corvane.functions.plan import small, stored
 from corvane.operators import chunking, dense, fusion, lexical
 from corvane.plans.common import chunks, query_vectors, questions, t, tokens_sql, vectors
 
@@ -88,8 +89,7 @@ def agg3_corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    scored = lexical.bm25(lexical.query_features(questions(spark, sf_dir)), lexical.index(chunks(spark, sf_dir)))
-    return lexical.ranked(scored.select("query_id", "chunk_ord", F.round("bm25", 6).alias("score")), k)
+    return lexical.bm25_topk(lexical.query_features(questions(spark, sf_dir)), chunks(spark, sf_dir), k)
 
 
 def _named(ranking: DataFrame) -> DataFrame:
@@ -122,8 +122,9 @@ def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ret6_field_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All boosts of the chunks that a query's BM25 ranking has first: token, coverage, phrase, ordered and intent."""
     feats = lexical.query_features(asked(spark, sf_dir))
-    first = lexical.ranked(lexical.bm25(feats, lexical.index(chunks(spark, sf_dir))).select("query_id", "chunk_ord", F.round("bm25", 6).alias("score")), 10)
-    joined = first.select("query_id", "chunk_ord").join(feats, "query_id").join(lexical.index(headed(spark, sf_dir)), "chunk_ord")
+    first = stored(lexical.bm25_topk(feats, chunks(spark, sf_dir), 10).select("query_id", "chunk_ord"), "first")
+    some = headed(spark, sf_dir).join(small(first.select("chunk_ord").distinct()), "chunk_ord", "left_semi")
+    joined = first.join(feats, "query_id").join(lexical.index(some), "chunk_ord")
     return joined.select("query_id", F.col("chunk_ord").alias("doc_id"), F.round(lexical.boosts(), 6).alias("boost"))
 
 
@@ -134,9 +135,8 @@ def ret11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flt1_namespace_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 within a namespace; frequencies are those of the whole corpus."""
-    scored = lexical.bm25(lexical.query_features(questions(spark, sf_dir)), lexical.index(chunks(spark, sf_dir)))
     kept = lexical.matching(chunks(spark, sf_dir), "en", {"title": "src3"}).select("chunk_ord")
-    return _named(lexical.ranked(scored.join(kept, "chunk_ord", "left_semi").select("query_id", "chunk_ord", F.round("bm25", 6).alias("score")), 10))
+    return _named(lexical.bm25_topk(lexical.query_features(questions(spark, sf_dir)), chunks(spark, sf_dir), 10, only=kept))
 
 
 def ret13_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
