@@ -40,3 +40,26 @@ def test_rankings_make_no_pairs(spark, monkeypatch, query):
     monkeypatch.setattr(lexical, "bm25", pairs)
     got = query(spark, "/root/testdata/sf0.001")
     assert got.count() and ("status" not in got.columns or got.filter("status = 'ok'").count())
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+def test_dense_search_pairs_only_odd_vectors(spark, monkeypatch, metric):
+    rng = random.Random(3)
+    odd = {3: None, 4: [0.0] * 6, 5: [math.nan] + [1.0] * 5, 6: [1.0, 2.0], 7: [math.inf] + [1.0] * 5, 8: [None] + [1.0] * 5, 11: None, 12: [math.nan] * 6}
+    rows = [(i, odd[i] if i in odd else [float(rng.randrange(-2, 3)) for _ in range(6)]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "chunk_ord long, vector array<double>")
+    queries = vectors.filter("chunk_ord % 20 = 0 OR chunk_ord IN (3, 4, 5, 6, 7)").withColumnRenamed("chunk_ord", "query_id")
+    plain, seen = dense.paired, []
+
+    def paired(q, v, n):
+        seen.append((q.count(), v.count()))
+        return plain(q, v, n)
+
+    q, v = dense.prepare(queries).withColumnRenamed("vector", "query_vector"), dense.prepare(vectors)
+    score = -dense.V.squared_distance(F.col("query_vector"), F.col("vector")) if metric == "l2" else dense.V.dot(F.col("query_vector"), F.col("vector"))
+    for k in (3, 1000):
+        want = lexical.ranked(plain(q, v, 6).select("query_id", "chunk_ord", (F.round(score, 9) + 0.0).alias("score")), k)
+        monkeypatch.setattr(dense, "paired", paired)
+        got = dense.search(queries, vectors, k, metric)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        assert all(b <= k or a <= 5 for a, b in seen)
