@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.plan import stored
 from corvane.operators import answers, dense, evaluation, rules
 from corvane.operators.rules import ATTRIBUTES
 from corvane.plans.common import BRIEFS_SQL, briefs, query_vectors, t, vectors
@@ -70,7 +71,7 @@ def evl9_slo(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evl8_dimension_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 10 of truncated vectors against whole ones, by dimension."""
     q, v = query_vectors(spark, sf_dir), vectors(spark, sf_dir)
-    whole = dense.search(q, v, 10).select("query_id", "chunk_ord", F.lit(1).alias("hit"))
+    whole = stored(dense.search(q, v, 10).select("query_id", "chunk_ord", F.lit(1).alias("hit")), "whole")
 
     def run(config: dict) -> DataFrame:
         short = dense.search(q, v, 10, dimension=config["dimension"]).select("query_id", "chunk_ord")
