@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.plan import shared_dir
+from corvane.functions.plan import shared_dir, stored
 from corvane.operators import dense, inverted, ivf, maxsim
 from corvane.plans import retrieval
 from corvane.plans.common import chunks, query_vectors, questions, t, vectors
@@ -32,11 +32,11 @@ def ret20_ivf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ret20_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether codes and as many probes as calibration asks for find 0.95 of what exact search finds, over all queries."""
+    """Whether as many probes and candidates as calibration asks for find 0.95 of what exact search finds, over all queries."""
     queries, all_vectors = query_vectors(spark, sf_dir), vectors(spark, sf_dir)
     index = ivf.build(all_vectors)
-    probes, _ = ivf.calibrate(index, queries, all_vectors, 10, 0.97)
-    got = ivf.recall(ivf.nearest_rows(queries, index, 10, probes=probes), dense.search(queries, all_vectors, 10))
+    exact = stored(dense.search(queries, all_vectors, 10), "exact")
+    _, _, got = ivf.calibrate_all(index, queries, exact, 10, 0.97)
     return queries.agg(F.count("*").alias("queries")).withColumns({"top_k": F.lit(10), "enough": F.lit(got >= 0.95)})
 
 

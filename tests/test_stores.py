@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import dense, inverted, ivf, lexical
+from corvane.plans import stores
 from corvane.sources.versions import Conflict, Versions
 
 WORDS = "the cat sat on a mat and dog ran over hill with sun moon star river tree house stone bird fish".split()
@@ -56,6 +57,17 @@ def test_ivf_probes_find_nearly_all(spark, clustered, monkeypatch):
     assert "PartitionFilters: [isnotnull(cell" in plan and "components" not in plan.split("ReadSchema")[1]
 
 
+def test_ivf_recall_where_codes_are_too_coarse(spark, tmp_path):
+    """Vectors without clusters, which codes tell apart badly."""
+    x = np.random.default_rng(5).normal(size=(6000, 64)).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in stores.ret20_ivf_recall(spark, str(tmp_path)).collect()] == [(60, 10, True)]
+    queries, vectors = stores.query_vectors(spark, str(tmp_path)), stores.vectors(spark, str(tmp_path))
+    index, exact = ivf.build(vectors), dense.search(queries, vectors, 10)
+    assert ivf.calibrate_all(index, queries, exact, 10, 1.0, most=5)[2] == 1.0
+
+
 def test_ivf_filters_take_more_candidates(spark, clustered):
     vectors = vector_table(spark, clustered)
     queries = vectors.filter("chunk_ord % 500 = 0").select(F.col("chunk_ord").alias("query_id"), "vector")
