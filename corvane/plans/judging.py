@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.plan import small, stored
 from corvane.operators import answers, dense, evidence, judging, lexical, research, rules
 from corvane.plans.answers import _TAILS, STATE, TAILS, _state
 from corvane.plans.common import BRIEFS_SQL, briefs, chunks, query_vectors, questions, t, vectors
@@ -17,9 +18,9 @@ FEW = 10
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25's ten best documents of each question, as results with a path, a section and a text."""
+    """BM25's ten best documents of each question, as results with a path, a section and a text; texts meet the short ranking where they are read."""
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_ord"), F.col("source").alias("path"), F.col("lang").alias("section"), "text")
-    return _bm25(spark, sf_dir, FEW).join(d, "chunk_ord").withColumn("id", F.col("query_id"))
+    return d.join(small(stored(_bm25(spark, sf_dir, FEW), "ranking")), "chunk_ord").withColumn("id", F.col("query_id"))
 
 
 def _evidences(spark: SparkSession, sf_dir: str) -> DataFrame:

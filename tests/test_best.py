@@ -42,6 +42,19 @@ def test_rankings_make_no_pairs(spark, monkeypatch, query):
     assert got.count() and ("status" not in got.columns or got.filter("status = 'ok'").count())
 
 
+def test_results_take_texts_without_an_exchange(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no table were short
+    try:
+        found = judging._results(spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        want = retrieval._bm25(spark, "/root/testdata/sf0.001", judging.FEW).select("query_id", "chunk_ord", "rank")
+        assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("metric", ["dot", "l2"])
 def test_dense_search_pairs_only_odd_vectors(spark, monkeypatch, metric):
     rng = random.Random(3)
