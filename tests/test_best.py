@@ -76,3 +76,15 @@ def test_dense_search_pairs_only_odd_vectors(spark, monkeypatch, metric):
         got = dense.search(queries, vectors, k, metric)
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
         assert all(b <= k or a <= 5 for a, b in seen)
+
+
+@pytest.mark.parametrize("query", [retrieval.ret18_dense_topk])
+def test_registered_dense_rankings_pair_no_sound_vectors(spark, monkeypatch, query):
+    plain = dense.paired
+
+    def paired(q, v, n):
+        assert v.count() == 0 or q.count() == 0, "all pairs of queries and vectors"
+        return plain(q, v, n)
+
+    monkeypatch.setattr(dense, "paired", paired)
+    assert query(spark, "/root/testdata/sf0.001").count()
