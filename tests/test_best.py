@@ -78,7 +78,7 @@ def test_dense_search_pairs_only_odd_vectors(spark, monkeypatch, metric):
         assert all(b <= k or a <= 5 for a, b in seen)
 
 
-@pytest.mark.parametrize("query", [retrieval.ret18_dense_topk])
+@pytest.mark.parametrize("query", [retrieval.ret15_matryoshka_topk_32, retrieval.ret18_dense_topk])
 def test_registered_dense_rankings_pair_no_sound_vectors(spark, monkeypatch, query):
     plain = dense.paired
 
