@@ -78,6 +78,15 @@ def test_dense_search_pairs_only_odd_vectors(spark, monkeypatch, metric):
         assert all(b <= k or a <= 5 for a, b in seen)
 
 
+@pytest.mark.parametrize("query", [judging.evl1_evidence_metrics, judging.win7_claimed_gains])
+def test_metrics_of_rankings_make_no_pairs(spark, monkeypatch, query):
+    def pairs(*_):
+        raise AssertionError("all pairs of queries and chunks")
+
+    monkeypatch.setattr(lexical, "bm25", pairs)
+    assert query(spark, "/root/testdata/sf0.001").count()
+
+
 @pytest.mark.parametrize("query", [retrieval.ret15_matryoshka_topk_32, retrieval.ret18_dense_topk])
 def test_registered_dense_rankings_pair_no_sound_vectors(spark, monkeypatch, query):
     plain = dense.paired
