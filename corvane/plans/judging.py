@@ -42,9 +42,17 @@ def evl1_evidence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("id").alias("item_id"), *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")), F.array_join(F.transform("gains", lambda g: g.cast("string")), ",").alias("gains"))
 
 
+def _qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25's ten best documents of each question with their quality labels, which meet the short ranking where they are read."""
+    best = stored(_bm25(spark, sf_dir, FEW), "ranking")
+    labels = t(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_ord"), "quality")
+    known = labels.join(small(best.select("chunk_ord").distinct()), "chunk_ord", "left_semi")
+    return best.join(small(known), "chunk_ord", "left")
+
+
 def win7_claimed_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gains of BM25's ten best documents of each question; a document is evidence doc_id mod 5 and, if labelled good, evidence 0."""
-    d = _bm25(spark, sf_dir, FEW).join(t(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_ord"), "quality"), "chunk_ord", "left")
+    d = _qualities(spark, sf_dir)
     found = F.array_distinct(F.filter(F.array((F.col("chunk_ord") % 5).cast("int"), F.when(F.col("quality") == 1, 0)), lambda x: x.isNotNull()))
     rows = d.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", found.alias("m")))), lambda s: s["m"]).alias("m"))
     gains = F.array(*map(F.lit, (2, 2, 1, 1, 1)))

@@ -55,6 +55,20 @@ def test_results_take_texts_without_an_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_qualities_meet_the_ranking_without_an_exchange(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no table were short
+    try:
+        found = judging._qualities(spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select(F.col("doc_id").alias("chunk_ord"), "quality")
+        want = retrieval._bm25(spark, "/root/testdata/sf0.001", judging.FEW).join(labels, "chunk_ord", "left").select(found.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("metric", ["dot", "l2"])
 def test_dense_search_pairs_only_odd_vectors(spark, monkeypatch, metric):
     rng = random.Random(3)
