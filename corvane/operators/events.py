@@ -26,24 +26,44 @@ def sliding_counts(events: DataFrame, seconds: int, ts: str = "ts", by: list[str
     return events.withColumn("window_count", F.count("*").over(w))
 
 
+#: Blocks to a window's length; it divides a million, so that a block has whole microseconds.
+BLOCKS = 64
+
+
 def spikes(events: DataFrame, seconds: int, threshold: int, ts: str = "ts", by: list[str] | None = None) -> DataFrame:
     """sliding_counts with is_spike; every event counts, whatever became of it.
 
-    Without a group the window is over all events. It is cut into blocks of the
-    window's length: an event needs its own block and the one before, so each
-    block is a task's work and no task gets all events.
+    Without a group the window is over all events. Time is cut into blocks of a
+    64th of the window's length. A block begins with the number of events in the
+    64 before it; each of its own adds one, and each of the 64th block before
+    takes one away when it leaves the window. The counts are running sums, so
+    work grows with the events and not with those in a window, and no task gets
+    all events. Events without a time count each other, as in SQL.
     """
     if by:
         return sliding_counts(events, seconds, ts, by).withColumn("is_spike", F.col("window_count") >= threshold)
     span = seconds * 1_000_000
-    block = F.floor(micros(ts) / span)
-    tagged = events.withColumn("__own", F.lit(True)).withColumn("__block", block)
-    later = events.select(*(F.col(c) for c in events.columns)).withColumn("__own", F.lit(False)).withColumn("__block", block + 1)
-    w = Window.partitionBy("__block").orderBy(micros(ts)).rangeBetween(-span, 0)
-    counted = tagged.unionByName(later).withColumn("window_count", F.count("*").over(w)).filter("__own").drop("__own", "__block")
+    length = span // BLOCKS
+    src = events.withColumn("__t", micros(ts)).withColumn("__block", F.col("__t") - F.pmod("__t", F.lit(length)))
+    timed = src.filter("__t is not null").select("__t", "__block")
+    arriving = src.withColumn("__step", F.lit(1).cast("long")).withColumn("__own", F.lit(True))
+    leaving = timed.select((F.col("__t") + span + 1).alias("__t"), (F.col("__block") + span).alias("__block"), F.lit(-1).cast("long").alias("__step"), F.lit(False).alias("__own"))
+    before = _before(timed.groupBy("__block").agg(F.count("*").alias("__n")), span)
+    begin = before.select(F.col("__block").alias("__t"), "__block", F.col("__n").alias("__step"), F.lit(False).alias("__own"))
+    w = Window.partitionBy("__block").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = arriving.unionByName(leaving.unionByName(begin), allowMissingColumns=True)
+    counted = steps.withColumn("window_count", F.sum("__step").over(w)).filter("__own").drop("__t", "__block", "__step", "__own")
     return counted.withColumn("is_spike", F.col("window_count") >= threshold)
 
 
+def _before(counts: DataFrame, span: int) -> DataFrame:
+    """(__block, __n) of each block: __n of all blocks that begin up to `span` before it, without its own; a task gets those of two spans."""
+    window = F.col("__block") - F.pmod("__block", F.lit(span))
+    both = counts.select("__block", "__n", F.lit(True).alias("__own"), window.alias("__window")).unionByName(counts.select("__block", "__n", F.lit(False).alias("__own"), (window + span).alias("__window")))
+    w = Window.partitionBy("__window").orderBy("__block").rangeBetween(-span, -1)
+    return both.withColumn("__n", F.coalesce(F.sum("__n").over(w), F.lit(0))).filter("__own").select("__block", "__n")
+
+
 def alert_reasons(failed: Column, spike: Column, slow: Column) -> Column:
     """Sorted names of the alerts that hold."""
     named = F.array(F.when(failed, "failed_call"), F.when(slow, "slow_call"), F.when(spike, "traffic_spike"))

@@ -4,13 +4,16 @@ import html
 import math
 import random
 import re
+import time
 from datetime import datetime, timedelta
 from html.entities import html5
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import catalog
 from corvane.functions import text as T
 from corvane.operators import chunking, dense, evaluation, events, evidence, fusion, ivf, judging, lexical, research, rules
 from corvane.sources import manifest, store
@@ -205,6 +208,43 @@ def test_blocked_spikes_equal_one_window(spark):
     assert got == {i: sum(s - 60 <= t <= s for t, _ in rows) for i, (s, _) in enumerate(rows)}
 
 
+def _odd_events(spark, tmp_path):
+    """Events at borders of windows and blocks, at equal times, before 1970 and without a time."""
+    rng, us, first = random.Random(4), timedelta(microseconds=1), datetime(2024, 1, 1, 5)
+    times = [first + timedelta(hours=h) + d for h in range(4) for d in (-us, 0 * us, 0 * us, us)] + [None] * 3
+    times += [datetime(1969, 12, 31, 22) + rng.randrange(4 * 3600 * 10**6) * us for _ in range(300)] + [first + timedelta(seconds=rng.randrange(900) * 56.25) for _ in range(300)]
+    rows = [(i, x, rng.choice(["error", "view"]), rng.choice([None, 1.0, 40.0])) for i, x in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+
+
+def _equals_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL[name]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert len(got) == 619 and sorted(got) == sorted(want)
+
+
+def test_alerts_of_odd_times_equal_sql(spark, tmp_path):
+    _odd_events(spark, tmp_path)
+    _equals_sql(spark, tmp_path, "ops5_alerts")
+
+
+def test_spikes_take_no_longer_where_events_are_dense(spark):
+    def took(step):
+        e = spark.range(60_000).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * step).alias("ts"))
+        began = time.monotonic()
+        counts = [r[0] for r in events.spikes(e, 3600, 5).orderBy("event_id").select("window_count").collect()]
+        return counts, time.monotonic() - began
+
+    took(3600 * 10**6)  # compiles
+    thin, usual = took(3600 * 10**6)
+    dense, seconds = took(50_000)
+    assert thin == [1] + [2] * 59_999 and dense == list(range(1, 60_001))
+    assert seconds < 4 * usual + 5
+
+
 def test_deep_budget(spark):
     e = _events(spark, [(i * 3600 * 5, 1) for i in range(40)]).withColumn("deep", F.col("event_id") % 2 == 0)
     got = [r.accepted for r in events.deep_budget(e, {"daily": 3, "monthly": 20, "daily_deep": 1}).orderBy("event_id").collect()]
