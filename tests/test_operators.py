@@ -231,6 +231,11 @@ def test_alerts_of_odd_times_equal_sql(spark, tmp_path):
     _equals_sql(spark, tmp_path, "ops5_alerts")
 
 
+def test_spikes_of_odd_times_equal_sql(spark, tmp_path):
+    _odd_events(spark, tmp_path)
+    _equals_sql(spark, tmp_path, "ops4_spikes")
+
+
 def test_spikes_take_no_longer_where_events_are_dense(spark):
     def took(step):
         e = spark.range(60_000).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * step).alias("ts"))
